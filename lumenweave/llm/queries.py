@@ -2,10 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from lumenweave.llm import format_duplicates
-from lumenweave.storage import read_tables
+from lumenweave.functions.metadata import fields, picture_key
+from lumenweave.llm import format_duplicates, mixing, related_splits
+from lumenweave.storage import read_tables, write_table
+
+# ---------------------------------------------------------------- 1
+
+
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    records, wanted = read_tables(spark, folder, "records", "mix_targets")
+    targets = wanted.withColumn("target_no", F.row_number().over(Window.orderBy("source", "task")))  # a fixed table
+    pairs = F.broadcast(targets.select("target_no", mixing.spelled(F.col("source")).alias("s"), mixing.spelled(F.col("task")).alias("t")))
+    once = records.groupBy("record_id").agg(F.min("source").alias("source"), F.min("task").alias("task"))
+    spelled = once.select("record_id", mixing.spelled(F.col("source")).alias("s"), mixing.spelled(F.col("task")).alias("t"))
+    patterns = pairs.groupBy("s", "t").agg(F.array_sort(F.collect_list("target_no")).alias("pattern"))
+    members = spelled.join(F.broadcast(patterns), ["s", "t"]).select("record_id", "pattern", F.lit(1).cast("long").alias("size"))
+    chosen, report = mixing.mix(members, targets)
+    return targets, chosen, report
+
+
+def p1_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record of the mixture, the pair it is drawn for and how often it is used."""
+    targets, chosen, _ = _mixture(spark, folder)
+    return chosen.join(F.broadcast(targets.select("target_no", "source", "task")), "target_no").select("record_id", "source", "task", "n_uses")
+
+
+def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of the mixture that each listed pair really has."""
+    targets, _, report = _mixture(spark, folder)
+    return report.join(targets.select("target_no", "source", "task"), "target_no").select("source", "task", "target_share", "actual_share", "n_records", "n_uses")
+
+
+# ---------------------------------------------------------------- 2
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +50,64 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return format_duplicates.groups(format_duplicates.collapse(format_duplicates.canonical_keys(records)))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+# ---------------------------------------------------------------- 5
+
+
+def linking_values(records: DataFrame) -> DataFrame:
+    """``record_id`` and its picture key, author, annotator and document, each with a prefix, one row for each record."""
+    j = fields(F.col("metadata"), "image_path", "coco_id", "author_name", "annotator_id", "ucsf_document_id")
+    r = records.select("record_id", F.col("image")["path"].alias("path"), j.alias("j"))
+
+    def bare(c: str):
+        text = F.regexp_replace(F.lower(F.col("j")[c]), r"[\s\p{Z}]+", "")
+        return F.when(text != "", text)
+
+    columns = [
+        F.concat(F.lit("p:"), picture_key(F.coalesce("path", F.col("j.image_path")), F.col("j.coco_id"))).alias("picture"),
+        F.concat(F.lit("a:"), bare("author_name")).alias("author"),
+        F.concat(F.lit("n:"), F.regexp_replace(F.trim("j.annotator_id"), r"^([0-9]+)\.0+$", "$1")).alias("annotator"),
+        F.concat(F.lit("d:"), F.trim("j.ucsf_document_id")).alias("document"),
+    ]
+    kept = r.select("record_id", *columns)
+    kept = kept.select("record_id", "picture", "author", *[F.when(F.length(c) > 2, F.col(c)).alias(c) for c in ("annotator", "document")])
+    return kept.groupBy("record_id").agg(*[F.min(c).alias(c) for c in VALUES])
+
+
+VALUES = ["picture", "author", "annotator", "document"]
+
+
+def _grouped(spark: SparkSession, folder: str) -> DataFrame:
+    (records,) = read_tables(spark, folder, "records")
+    linked = write_table(linking_values(records), "linking-values")
+    grouped = related_splits.group_records(linked, VALUES)
+    return write_table(grouped.join(linked.select("record_id", F.substring("picture", 3, 1_000).alias("name")), "record_id"), "grouped")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    grouped = _grouped(spark, folder)
+    return related_splits.named_groups(grouped, grouped)
+
+
+def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """The new split of every record; ``group_key`` is the same for all records of a group."""
+    (targets,) = read_tables(spark, folder, "split_targets")
+    return related_splits.assign_splits(_grouped(spark, folder), targets).select("record_id", F.col("root").alias("group_key"), "new_split")
+
+
+def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of the records that each split really has."""
+    (targets,) = read_tables(spark, folder, "split_targets")
+    return related_splits.shares(related_splits.assign_splits(_grouped(spark, folder), targets), targets)
+
+
+QUERIES = {
+    "p1_mixture": p1_mixture,
+    "p1_shares": p1_shares,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
+    "p5_found": p5_found,
+    "p5_splits": p5_splits,
+    "p5_shares": p5_shares,
+}
 
 ORACLE: dict[str, str] = {}
