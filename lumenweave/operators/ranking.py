@@ -28,7 +28,7 @@ def with_bucket(df: DataFrame, identifier: str, seed: int, buckets: int) -> Data
     """Adds ``_hash`` and its ``_bucket``: buckets are ranges of the hash, so their order is the order of the hash."""
     h = seeded_hash(identifier, seed)
     # shiftrightunsigned by 1 makes it non-negative; the quotient of 2^63 by the buckets gives equal ranges
-    width = (2**63 - 1) // buckets + 1
+    width = (2**63 - 1) // buckets + (buckets > 1)  # fits a long also for one bucket
     return df.withColumn("_hash", F.shiftrightunsigned(h, 1)).withColumn("_bucket", F.expr(f"_hash div {width}L"))
 
 
