@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.metadata import fields, picture_key
-from lumenweave.llm import format_duplicates, mixing, related_splits
+from lumenweave.llm import cross_split, format_duplicates, mixing, related_splits
 from lumenweave.storage import read_tables, write_table
 
 # ---------------------------------------------------------------- 1
@@ -50,6 +50,25 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return format_duplicates.groups(format_duplicates.collapse(format_duplicates.canonical_keys(records)))
 
 
+# ---------------------------------------------------------------- 3
+
+
+def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    (records,) = read_tables(spark, folder, "records")
+    base = write_table(cross_split.sides(records), "sides")
+    return base, cross_split.overlaps(base)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_split.found_pairs(_overlaps(spark, folder)[1])
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation records whose picture is in the training side, per split and source."""
+    base, pairs = _overlaps(spark, folder)
+    return cross_split.report(pairs, base, mixing.spelled(F.col("source")))
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -105,6 +124,8 @@ QUERIES = {
     "p1_shares": p1_shares,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p5_shares": p5_shares,
