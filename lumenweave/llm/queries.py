@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.metadata import fields, picture_key
-from lumenweave.llm import cross_split, format_duplicates, mixing, related_splits
+from lumenweave.llm import bpe, cross_split, format_duplicates, mixing, related_splits, sequence_packing
 from lumenweave.storage import read_tables, write_table
 
 # ---------------------------------------------------------------- 1
@@ -119,6 +119,36 @@ def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
     return related_splits.shares(related_splits.assign_splits(_grouped(spark, folder), targets), targets)
 
 
+# ---------------------------------------------------------------- 7
+
+#: Folder of the public vocabularies.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def p7_ids(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    (documents,) = read_tables(spark, folder, "documents")
+    return bpe.encode_texts(documents, "doc_id", "text", f"{tokenizers}/byte_bpe_50k.json")
+
+
+# ---------------------------------------------------------------- 8
+
+
+def _packed(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
+    documents, budgets = read_tables(spark, folder, "documents", "sequence_budgets")
+    sizes = write_table(bpe.count_tokens(documents, "doc_id", "text", f"{tokenizers}/byte_bpe_50k.json"), "token-counts")
+    return sequence_packing.pack(sizes, budgets), budgets
+
+
+def p8_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Which tokens of which text lie in which sequence, for every stage."""
+    return _packed(spark, folder)[0]
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How many sequences each stage has and how full they are."""
+    return sequence_packing.report(*_packed(spark, folder))
+
+
 QUERIES = {
     "p1_mixture": p1_mixture,
     "p1_shares": p1_shares,
@@ -129,6 +159,9 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p5_shares": p5_shares,
+    "p7_ids": p7_ids,
+    "p8_sequences": p8_sequences,
+    "p8_report": p8_report,
 }
 
 ORACLE: dict[str, str] = {}
