@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.metadata import fields, picture_key
-from lumenweave.llm import bpe, cross_split, format_duplicates, mixing, related_splits, sequence_packing
+from lumenweave.llm import bpe, cross_split, format_duplicates, mixing, related_splits, sequence_packing, text_quality
 from lumenweave.storage import read_tables, write_table
 
 # ---------------------------------------------------------------- 1
@@ -149,6 +149,23 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return sequence_packing.report(*_packed(spark, folder))
 
 
+# ---------------------------------------------------------------- 9
+
+
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    documents, common = read_tables(spark, folder, "documents", "common_words")
+    return text_quality.measure(documents, "doc_id", "text", common)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _measured(spark, folder).filter("kind IS NOT NULL").select("doc_id", "kind")
+
+
+def p9_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of every text, the published rules that it fails and the rule that gave its kind."""
+    return _measured(spark, folder)
+
+
 QUERIES = {
     "p1_mixture": p1_mixture,
     "p1_shares": p1_shares,
@@ -162,6 +179,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_sequences": p8_sequences,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_stats": p9_stats,
 }
 
 ORACLE: dict[str, str] = {}
