@@ -210,8 +210,9 @@ def pack(sizes: DataFrame, budgets: DataFrame, *, seed: int = 41) -> DataFrame:
     stages = [(k, r.stage_name, int(r.capacity_tokens)) for k, r in enumerate(budgets.collect()) if r.capacity_tokens and r.capacity_tokens > 0]
     if any(c > MOST_CAPACITY for _, _, c in stages):
         raise ValueError(f"a capacity is above {MOST_CAPACITY}")
-    stage_table = F.broadcast(spark.createDataFrame(stages, "stage_no int, stage_name string, capacity long"))
-    by_stage = sizes.crossJoin(stage_table)  # a fixed table of a few rows
+    one = [F.struct(F.lit(k).alias("stage_no"), F.lit(name).alias("stage_name"), F.lit(c).cast("long").alias("capacity")) for k, name, c in stages]
+    of_stages = F.array(*one) if one else F.array().cast("array<struct<stage_no:int,stage_name:string,capacity:bigint>>")
+    by_stage = sizes.select("doc_id", "n_tokens", F.inline(of_stages))
     whole = F.expr("n_tokens div capacity")
     rest = by_stage.filter("n_tokens % capacity > 0").select("stage_no", "doc_id", whole.cast("int").alias("piece"), (whole * F.col("capacity")).alias("start"), (F.col("n_tokens") % F.col("capacity")).alias("n_tokens"))
     counted = rest.groupBy("stage_no", "n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each length
@@ -244,7 +245,10 @@ def pack(sizes: DataFrame, budgets: DataFrame, *, seed: int = 41) -> DataFrame:
 
     ranked = rank_in_group(rest, ["stage_no", "n_tokens"], "doc_id", seed=seed, rows=n_rest)
     placed = ranked.select("stage_no", "doc_id", "piece", "start", "n_tokens", "rank").mapInArrow(place, _PLACED)
-    packed = placed.join(stage_table, "stage_no").select("stage_name", F.concat(F.lit("s"), F.col("sequence_no").cast("string")).alias("sequence_id"), "doc_id", "piece", "start", "n_tokens", "offset")
+    names = F.array(*[F.lit(name) for _, name, _ in stages]).cast("array<string>")
+    numbers = F.array(*[F.lit(k) for k, _, _ in stages]).cast("array<int>")
+    stage_name = F.get(names, F.array_position(numbers, F.col("stage_no")).cast("int") - 1).alias("stage_name")
+    packed = placed.select(stage_name, F.concat(F.lit("s"), F.col("sequence_no").cast("string")).alias("sequence_id"), "doc_id", "piece", "start", "n_tokens", "offset")
     full = by_stage.filter("n_tokens >= capacity").select("stage_name", "doc_id", "capacity", F.explode(F.sequence(F.lit(1), whole.cast("int"))).alias("k"))
     full = full.select(
         "stage_name", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-"), (F.col("k") - 1).cast("string")).alias("sequence_id"), "doc_id",

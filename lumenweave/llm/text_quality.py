@@ -133,7 +133,7 @@ class Measure:
         ascii_run = _has(lines, r"[A-Za-z0-9+/=_\-]{40,}")
         hexes = _count(lines, r"\b[0-9a-fA-F]{2}\b")
         common_share = _share(common, n_words)
-        garbled = (marks > 0.08 * n) & (common_share < 0.12) & (other >= 2)
+        garbled = (marks > 0.08 * n) & (common_share < 0.12) & (other >= 1) & (_count(lines, "[A-Za-z]") > 0.5 * letters)
         kind, rule = np.full(count, -1), np.full(count, "", dtype=object)
 
         def name(where: np.ndarray, what: str, why: str) -> None:
