@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.metadata import fields, picture_key
-from lumenweave.llm import bpe, cross_split, format_duplicates, mixing, related_splits, sequence_packing, text_quality
+from lumenweave.llm import bpe, broken_pairs, cross_split, format_duplicates, mixing, related_splits, sequence_packing, text_quality
 from lumenweave.storage import read_tables, write_table
 
 # ---------------------------------------------------------------- 1
@@ -119,6 +119,14 @@ def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
     return related_splits.shares(related_splits.assign_splits(_grouped(spark, folder), targets), targets)
 
 
+# ---------------------------------------------------------------- 6
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    records, common = read_tables(spark, folder, "records", "common_words")
+    return broken_pairs.defective_pairs(records, common)
+
+
 # ---------------------------------------------------------------- 7
 
 #: Folder of the public vocabularies.
@@ -176,6 +184,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p5_shares": p5_shares,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_sequences": p8_sequences,
     "p8_report": p8_report,
