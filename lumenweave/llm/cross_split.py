@@ -218,7 +218,7 @@ def _ordered(base: DataFrame, shard_texts: int, slack: int, mixings: int) -> tup
     routed = thumbs.mapInArrow(_router(shards, prefix, slack, mixings), "shard int, side tinyint, kind tinyint, text_id long, text binary")
     by_key = keys.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "side", F.lit(KEY).cast("tinyint").alias("kind"), "text_id", F.encode("key", "utf-8").alias("text"))
     together = routed.unionByName(by_key)
-    return thumbs, together.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "side", "kind")
+    return thumbs, together.repartitionById(min(shards, 100_000), F.col("shard")).sortWithinPartitions("shard", "side", "kind")
 
 
 def linked_texts(base: DataFrame, *, limit: int = 6 * POSITIONS, slack: int = 10, shard_texts: int = 40_000, mixings: int = 3) -> tuple[DataFrame, DataFrame]:
