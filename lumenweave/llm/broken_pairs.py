@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from lumenweave.storage import write_table
 
 WITHHELD = ("test", "teststd", "testdev")
+_SALTS = 8
 _TERMINAL = r"""[.!?。！？][\s"'”’»)\]」』]*$"""
 #: First person, or the assistant, and a refusal. Quoted words are removed before.
 _ENGLISH_REFUSAL = (
@@ -281,7 +282,13 @@ def defective_pairs(records: DataFrame, common_words: DataFrame) -> DataFrame:
     signals = neighbours(long_enough, parts=parts)
     limits = length_limits(pairs).withColumn("at_limit", F.lit(True))
     keyed = pairs.withColumn("text", text).withColumn("n_chars", F.length("answer"))
-    # Only texts with a neighbour that continues them meet the signals; a hot response is one row there and is spread by AQE.
-    joined = keyed.join(signals, "text", "left").join(limits, "n_chars", "left").select("record_id", "field_name", "pos", "question", "answer", "shortened", "completed", "at_limit")
+    # Texts too short to be compared skip the join; the others are salted, as one of them may hold a third of all rows.
+    salted = keyed.filter("n_chars >= 8").withColumn("salt", F.pmod(F.xxhash64("record_id", "pos"), F.lit(_SALTS)))
+    repeated = signals.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    compared = salted.join(repeated, ["text", "salt"], "left")
+    kept = ["record_id", "field_name", "pos", "question", "answer", "n_chars"]
+    short = keyed.filter("n_chars IS NULL OR n_chars < 8").select(*kept, F.lit(None).cast("boolean").alias("shortened"), F.lit(None).cast("boolean").alias("completed"))
+    joined = compared.select(*kept, "shortened", "completed").unionByName(short).join(limits, "n_chars", "left")
+    joined = joined.select("record_id", "field_name", "pos", "question", "answer", "shortened", "completed", "at_limit")
     found = joined.mapInArrow(_classifier(common), "record_id long, field_name string, pos long, defect string")
     return found.dropDuplicates(["record_id", "field_name", "pos"])
