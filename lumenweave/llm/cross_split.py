@@ -38,6 +38,8 @@ EVALUATION = ("validation", "val", "test", "teststd", "testdev")
 POSITIONS, QUARTERS, LENGTH = 64, 4, 16
 #: Upper edges of the first three grey steps.
 EDGES = (98, 128, 158)
+#: Symbols, from a text's end, whose ranges are looked up instead of searched.
+LOOKED_UP = 6
 _MARK = 5  # code of the end of the first quarter's text
 _ROUTED = pa.schema([("shard", pa.int32()), ("side", pa.int8()), ("kind", pa.int8()), ("text_id", pa.int64()), ("text", pa.binary())])
 _CANDIDATE = pa.schema([("kind", pa.int8()), ("train_id", pa.int64()), ("eval_id", pa.int64()), ("spans", pa.int32())])
@@ -136,7 +138,9 @@ class _Shard:
             for k in thumbs:
                 levels = np.frombuffer(b"".join(self.texts[k]), np.uint8).reshape(-1, LENGTH)
                 codes.append(np.hstack([_symbols(levels), np.full((len(levels), 1), _MARK + k, np.uint8)]))
-            self.index["levels"] = (FMIndex(np.vstack(codes).ravel(), LENGTH + 1), np.concatenate([x for k in thumbs for x in self.ids[k]]))
+            index = FMIndex(np.vstack(codes).ravel(), LENGTH + 1)
+            tables = {k: index.ending_in(_MARK + k, len(EDGES) + 1, LOOKED_UP) for k in thumbs}
+            self.index["levels"] = (index, tables, np.concatenate([x for k in thumbs for x in self.ids[k]]))
         if KEY in self.ids:
             # Every key stands between two marks, 1; its bytes follow as they are.
             joined = b"\x01" + b"\x01".join(self.texts[KEY]) + b"\x01"
@@ -160,11 +164,11 @@ class _Shard:
             return np.concatenate(rows), np.concatenate(found)
         if "levels" not in self.index:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        index, ids = self.index["levels"]
+        index, tables, ids = self.index["levels"]
+        if kind not in tables:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         levels = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, LENGTH).astype(np.int16)
-        mark = np.full((len(levels), 1), _MARK + kind, np.uint8)
-        none = np.zeros((len(levels), 1), np.uint8)
-        q, position = index.locate(*index.search(np.hstack([_symbols(levels), mark]), np.hstack([_second(levels, self.slack), none])))
+        q, position = index.locate(*index.search_from(tables[kind], len(EDGES) + 1, LOOKED_UP, _symbols(levels), _second(levels, self.slack)))
         return q, ids[position // (LENGTH + 1)]
 
 
@@ -187,8 +191,8 @@ def _searcher(slack: int):
                     shard.build()
                 if not shard.index:
                     continue
-                for i in range(0, b - a, 4096):
-                    q, found = shard.find(int(kind[a]), texts[i : i + 4096])
+                for i in range(0, b - a, 16_384):
+                    q, found = shard.find(int(kind[a]), texts[i : i + 16_384])
                     if len(q):
                         own = ids[a + i : b][q]
                         code = np.full(len(q), 1 if kind[a] == KEY else 0, np.int8)

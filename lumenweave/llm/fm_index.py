@@ -71,8 +71,12 @@ class FMIndex:
         ``other`` holds a second symbol that a place may have, or 0: both are followed.
         """
         q = np.arange(len(patterns))
-        low, high = np.zeros(len(q), np.int64), np.full(len(q), self.size, np.int64)
-        for j in range(patterns.shape[1] - 1, -1, -1):
+        return self._go_on(q, np.zeros(len(q), np.int64), np.full(len(q), self.size, np.int64), patterns.shape[1] - 1, patterns, other)
+
+    def _go_on(self, q: np.ndarray, low: np.ndarray, high: np.ndarray, start: int, patterns: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        for j in range(start, -1, -1):
+            if not len(q):
+                break
             symbols = patterns[q, j].astype(np.int64)
             if other is not None:
                 second = other[q, j].astype(np.int64)
@@ -82,10 +86,29 @@ class FMIndex:
             low, high = self.extend(symbols, low, high)
             alive = low < high
             q, low, high = q[alive], low[alive], high[alive]
-            if not len(q):
-                break
         return q, low, high
 
+    def ending_in(self, mark: int, letters: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of all texts of ``length`` symbols from 1 to ``letters`` before the mark, numbered from their last symbol on."""
+        low, high = self.extend(np.array([mark]), np.array([0]), np.array([self.size]))
+        for _ in range(length):
+            symbols = np.tile(np.arange(1, letters + 1), len(low))
+            low, high = self.extend(symbols, np.repeat(low, letters), np.repeat(high, letters))
+        return low, high
+
+    def search_from(self, table: tuple[np.ndarray, np.ndarray], letters: int, length: int, patterns: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``search`` of patterns before a mark whose last ``length`` symbols are looked up in the table of ``ending_in``."""
+        q, number = np.arange(len(patterns)), np.zeros(len(patterns), np.int64)
+        last = patterns.shape[1]
+        for j in range(last - 1, last - length - 1, -1):
+            symbols, second = patterns[q, j].astype(np.int64), other[q, j].astype(np.int64)
+            more = np.flatnonzero(second)
+            number = np.concatenate([number * letters + symbols - 1, number[more] * letters + second[more] - 1])
+            q = np.concatenate([q, q[more]])
+        low, high = table[0][number], table[1][number]
+        alive = low < high
+        return self._go_on(q[alive], low[alive], high[alive], last - length - 1, patterns, other)
+
     def locate(self, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(pattern, position in the text)`` of every occurrence in the ranges."""
         n = high - low
