@@ -47,12 +47,18 @@ def drop_written() -> None:
         _WRITTEN.pop(path, None)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is not taken; it is deleted when the process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
