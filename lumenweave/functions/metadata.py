@@ -15,27 +15,31 @@ COLLECTIONS = {
     "textvqa": "textvqa",
     "grit": "grit",
 }
-_BAD = "_unparsed"
+
+
+def _in_list(json_text: Column) -> Column:
+    """The text as the only element of a list: what follows a first value then spoils the list."""
+    return F.concat(F.lit("["), json_text, F.lit("]"))
 
 
 def variant(json_text: Column) -> Column:
-    """The JSON text as a variant; null where it does not parse or is not an object.
+    """The JSON text as a variant; null where it does not parse.
 
     Text after the first JSON value counts as a failure, as does a key that occurs twice.
     """
-    whole = F.from_json(json_text, f"struct<{_BAD}:string>", {"columnNameOfCorruptRecord": _BAD})
-    return F.when(whole.isNotNull() & whole[_BAD].isNull(), F.try_parse_json(json_text))
+    whole = F.try_parse_json(_in_list(json_text))
+    return F.when(F.try_variant_get(whole, "$[1]", "variant").isNull(), F.try_variant_get(whole, "$[0]", "variant"))
 
 
 def fields(json_text: Column, *names: str) -> Column:
-    """A struct of the named top-level fields as text; all null where the text does not parse.
+    """A struct of the named top-level fields as text; all null where the text does not parse or is no object.
 
     One pass over the text reads all fields; ``parsed`` tells whether it parses.
     """
-    schema = "struct<" + ",".join(f"`{n}`:string" for n in names) + f",{_BAD}:string>"
-    j = F.from_json(json_text, schema, {"columnNameOfCorruptRecord": _BAD})
-    ok = j.isNotNull() & j[_BAD].isNull()
-    return F.struct(*[F.when(ok, j[n]).alias(n) for n in names], ok.alias("parsed"))
+    schema = "array<struct<" + ",".join(f"`{n}`:string" for n in names) + ">>"
+    j = F.from_json(_in_list(json_text), schema)
+    ok = F.coalesce((F.size(j) == 1) & F.get(j, F.lit(0)).isNotNull(), F.lit(False))
+    return F.struct(*[F.when(ok, F.get(j, F.lit(0))[n]).alias(n) for n in names], ok.alias("parsed"))
 
 
 def last_number(path: Column) -> Column:

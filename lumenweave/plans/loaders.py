@@ -290,8 +290,9 @@ def grit(pictures: DataFrame, *, least_side: int | None = None) -> DataFrame:
     regions = augment.regions_from_chunks(F.col("_c"), F.col("caption"), F.col("width"), F.col("height"))
     plain = F.transform(regions, lambda r: F.struct(r["bbox"].cast("array<float>").alias("bbox"), r["phrase"].alias("phrase")))
     marked = curation.markup(F.col("caption"), F.transform("_c", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+    rows = rows.select("*", plain.alias("_regions"), marked.alias("_marked"))
     meta = pack_metadata(**{k: F.col(k) for k in ("url", "width", "height", "original_width", "original_height", "noun_chunks")}, image_path=F.col("path"))
-    return to_record(rows, task=F.lit("grounded_captioning"), source=F.lit("grit"), image=_image(F.col("path")), caption=marked, region=plain, metadata=meta)
+    return to_record(rows, task=F.lit("grounded_captioning"), source=F.lit("grit"), image=_image(F.col("path")), caption=F.col("_marked"), region=F.col("_regions"), metadata=meta)
 
 
 def llava_pretrain(annotations: DataFrame, details: DataFrame, path: PathOf) -> DataFrame:
@@ -333,15 +334,22 @@ def nocaps(rows: DataFrame, path: PathOf) -> DataFrame:
 
 
 def localized_narratives(rows: DataFrame, path: PathOf, *, window: float = 0.4) -> DataFrame:
-    """``image_id, caption, width, height, traces`` (arrays of x, y, t): every trace clamped, scaled, cut into windows and thinned to their middles.
+    """``image_id, caption, width, height, traces`` (arrays of x, y, t): each trace clamped, scaled, cut into windows and thinned to their middles.
 
-    Narratives without traces go.
+    Narratives without traces go; a trace without points stays empty.
     """
     keyed = rows.filter(F.size("traces") > 0).withColumn("_key", F.to_json(F.struct("image_id", "caption")))
-    points = traces.clamp_scale(F.flatten("traces"), F.col("width"), F.col("height"))
-    scaled = keyed.withColumn("_points", points)
-    placed = traces.segment_trace(scaled, "_key", "_points", window)
-    middle = placed.groupBy("_key", "segment").agg(traces.midpoint(grouping.ordered_list("place", "place")).alias("place"))
-    chosen = middle.groupBy("_key").agg(F.array_sort(F.collect_list("place")).alias("_places"))
-    out = scaled.join(chosen, "_key").withColumn("trace", F.transform("_places", lambda i: F.get(F.col("_points"), i)))
-    return _caption(out, "localized_narratives", path(F.col("image_id")), F.col("caption"), image_id=F.col("image_id"), trace=F.col("trace"))
+    scaled = keyed.withColumn("_scaled", F.transform("traces", lambda t: traces.clamp_scale(t, F.col("width"), F.col("height"))))
+    each = scaled.select("_key", F.posexplode("_scaled").alias("_trace", "_points")).withColumn("_id", F.concat_ws("#", F.col("_trace").cast("string"), "_key"))
+    placed = traces.segment_trace(each, "_id", "_points", window)
+    middle = placed.groupBy("_id", "segment").agg(traces.midpoint(F.array_sort(F.collect_set("place"))).alias("place"))
+    of_trace = middle.groupBy("_id").agg(F.array_sort(F.collect_list("place")).alias("_places"))
+    number, key = F.substring_index("_id", "#", 1).cast("int"), F.expr("substring(_id, locate('#', _id) + 1)")
+    chosen = of_trace.groupBy(key.alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct(number.alias("k"), "_places"))).alias("_kept"))
+    out = scaled.join(chosen, "_key", "left")
+
+    def thinned(points: Column, k: Column) -> Column:
+        return F.transform(F.coalesce(F.try_element_at("_kept", k), F.array().cast("array<int>")), lambda i: F.get(points, i))
+
+    out = out.withColumn("traces_downsampled", F.transform("_scaled", thinned))
+    return _caption(out, "localized_narratives", path(F.col("image_id")), F.col("caption"), image_id=F.col("image_id"), traces_downsampled=F.col("traces_downsampled"), traces=F.col("traces"))

@@ -64,7 +64,7 @@ def _(spark, folder):
     traces = F.from_json("metadata", "struct<traces:array<array<struct<x:double,y:double,t:double>>>>")["traces"]
     narrated = rows.select(F.col("record_id").alias("image_id"), "caption", F.lit(640).alias("width"), F.lit(480).alias("height"), traces.alias("traces")).filter(F.size(F.flatten("traces")) > 0)
     out = loaders.localized_narratives(narrated, loaders.in_folder("coco", ".jpg"))
-    return out.select("image.path", "caption", F.size(F.from_json(F.get_json_object("metadata", "$.trace"), "array<struct<x:double>>")).alias("n_points"))
+    return out.select("image.path", "caption", F.size(F.flatten(F.from_json(F.get_json_object("metadata", "$.traces_downsampled"), "array<array<struct<x:double>>>"))).alias("n_points"))
 
 
 @q(

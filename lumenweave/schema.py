@@ -39,7 +39,9 @@ def to_record(df: DataFrame, **columns: Column) -> DataFrame:
     unknown = set(columns) - set(RECORD.names)
     if unknown:
         raise ValueError(f"no such columns: {sorted(unknown)}")
-    return df.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD.fields])
+    # In two steps: a new column may be made from an old one whose name another new column takes.
+    made = df.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f"_new_{f.name}") for f in RECORD.fields])
+    return made.toDF(*RECORD.names)
 
 
 def pack_metadata(**values: Column) -> Column:

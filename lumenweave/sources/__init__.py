@@ -32,9 +32,13 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: T.Struct
     return spark.read.schema(schema).json(path)
 
 
-def read_parquet(spark: SparkSession, path: str | list[str], *, status: str | None = None, ignore_corrupt: bool = False) -> DataFrame:
-    """Parquet files; ``status`` keeps rows of that status, pushed into the scan; corrupt files can be skipped."""
+def read_parquet(spark: SparkSession, path: str | list[str], *, status: str | None = None, ignore_corrupt: bool = False, schema: T.StructType | str | None = None) -> DataFrame:
+    """Parquet files; ``status`` keeps rows of that status, pushed into the scan; corrupt files can be skipped.
+
+    Where the first file may be corrupt, the schema must be given.
+    """
     reader = spark.read.option("ignoreCorruptFiles", ignore_corrupt)
+    reader = reader.schema(schema) if schema is not None else reader
     df = reader.parquet(*([path] if isinstance(path, str) else path))
     return df.filter(F.col("status") == status) if status is not None else df
 
