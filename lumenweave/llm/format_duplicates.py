@@ -29,7 +29,8 @@ _SALTS = 64
 
 def canonical_text(text: Column) -> Column:
     """The text's letters, marks and digits without case; null as the empty text."""
-    return F.regexp_replace(F.lower(F.upper(F.coalesce(text, F.lit("")))), _IGNORED, "")
+    # Upper case first, as ß becomes SS; Catalyst would drop it from a direct lower(upper(...)).
+    return F.lower(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), _IGNORED, ""))
 
 
 def _canonical_regions(region: Column) -> Column:

@@ -85,12 +85,14 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _repeated_words(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Words within a stretch that repeats with some period at least three times."""
+    """Words within a stretch that repeats with some period at least four times."""
     marked = np.zeros(len(codes), bool)
     for period in range(1, min(_MOST_PERIOD, len(codes) - 1) + 1):
         same = (codes[period:] == codes[:-period]) & (doc[period:] == doc[:-period])
         number, lengths = _runs(same, doc[period:])
-        long = (number >= 0) & (lengths[number] >= max(2 * period, 5))
+        if not len(lengths):
+            continue
+        long = (number >= 0) & (lengths[number] >= max(3 * period, 8))
         at = np.flatnonzero(long)
         marked[at + period] = True
         marked[at] = True
@@ -125,7 +127,7 @@ class Measure:
         plain = _count(lines, _PLAIN)
         other = np.maximum(n - letters - digits - spaces - plain, 0)
         marks = n - letters - digits - spaces
-        pipes, tabs, gaps = _count(lines, r"\|"), _count(lines, "\t"), _count(lines, r"\S {2,}\S")
+        pipes, tabs, gaps = _count(lines, r"\|"), _count(lines, "\t"), _count(pc.utf8_rtrim_whitespace(lines), r"\S {2,}")
         tight = np.maximum(_count(lines, r",[^\s,]"), _count(lines, r";[^\s;]"))
         bullet, ended, inside = _has(lines, _BULLET), _has(lines, _ENDS), _has(lines, _BOUNDARY)
         longest = np.zeros(count, np.int64)
