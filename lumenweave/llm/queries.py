@@ -78,7 +78,7 @@ def linking_values(records: DataFrame) -> DataFrame:
     r = records.select("record_id", F.col("image")["path"].alias("path"), j.alias("j"))
 
     def bare(c: str):
-        text = F.regexp_replace(F.lower(F.col("j")[c]), r"[\s\p{Z}]+", "")
+        text = F.lower(F.regexp_replace(F.upper(F.col("j")[c]), r"[\s\p{Z}]+", ""))
         return F.when(text != "", text)
 
     columns = [
