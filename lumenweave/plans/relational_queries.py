@@ -481,10 +481,10 @@ def _(spark, folder):
     return traces.segment_trace(keyed, "key", "points", 0.4)
 
 
-@q("clamp_scale", f"WITH {_TRACES} SELECT record_id, trace, place, round(least(greatest(x, 0), 1) * 640, 6) AS x, round(least(greatest(y, 0), 1) * 480, 6) AS y FROM pts")
+@q("clamp_scale", f"WITH {_TRACES} SELECT record_id, trace, place, round(least(greatest(x, 0), 1) * 640, 6) + 0.0::DOUBLE AS x, round(least(greatest(y, 0), 1) * 480, 6) + 0.0::DOUBLE AS y FROM pts")
 def _(spark, folder):
     p = _points(spark, folder).select("record_id", F.col("trace").cast("long").alias("trace"), F.posexplode(traces.clamp_scale(F.col("points"), F.lit(640), F.lit(480))).alias("place", "p"))
-    return p.select("record_id", "trace", F.col("place").cast("long").alias("place"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    return p.select("record_id", "trace", F.col("place").cast("long").alias("place"), (F.round("p.x", 6) + 0.0).alias("x"), (F.round("p.y", 6) + 0.0).alias("y"))  # no negative zeros
 
 
 @q("segment_midpoint", f"WITH {_TRACES}, n AS (SELECT record_id, trace, count(*) // 2 AS m FROM pts GROUP BY ALL) SELECT n.record_id, n.trace, pts.t FROM n JOIN pts ON n.record_id = pts.record_id AND n.trace = pts.trace AND place = m")
