@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.operators.ranking import buckets_for
+from lumenweave.operators.ranking import running_total
 
 
 def enforced_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -52,14 +52,7 @@ def three_way_grouped_join(images: DataFrame, regions: DataFrame, expressions: D
 
 def numbered(df: DataFrame, pos: str, name: str = "_n") -> DataFrame:
     """Adds a dense number from 0 in the order of a sortable, unique position, by range partitions and their counts."""
-    rows = df.count()
-    parts = df.repartitionByRange(max(1, buckets_for(rows)), pos).withColumn("_part", F.spark_partition_id())
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(pos)
-    ranked = parts.withColumn("_r", F.row_number().over(inside))
-    return ranked.join(offsets, "_part").select(*df.columns, (F.col("_before") + F.col("_r") - 1).alias(name))
+    return running_total(df.withColumn("_one", F.lit(1).cast("long")), [pos], "_one", name).drop("_one")
 
 
 def positional_zip(left: DataFrame, right: DataFrame, left_pos: str, right_pos: str, *, check: list[str] | None = None) -> DataFrame:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweave.operators.grouping import ordered_list
+from lumenweave.operators.ranking import number_in_group, running_total
 
 
 def pack(df: DataFrame, keys: list[str], order: list[str], max_items: int, item: str | Column) -> DataFrame:
     """``keys, chunk, items``: at most ``max_items`` items of a key in each chunk, in order.
 
-    The window and the aggregation share one shuffle by the keys.
+    Numbers come from range partitions, so a key that holds a large part of the rows is not numbered in one task;
+    the lists that are collected hold ``max_items`` items at most.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    numbered = df.withColumn("_n", F.row_number().over(window)).withColumn("chunk", F.floor((F.col("_n") - 1) / max_items))
-    return numbered.groupBy(*keys, "chunk").agg(ordered_list(item, "_n").alias("items"))
+    value = F.col(item) if isinstance(item, str) else item
+    narrow = df.select(*keys, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], value.alias("_v"))
+    numbered = number_in_group(narrow, keys, [f"_o{i}" for i in range(len(order))], "_n")
+    chunked = numbered.withColumn("chunk", F.floor((F.col("_n") - 1) / max_items))
+    return chunked.groupBy(*keys, "chunk").agg(ordered_list("_v", "_n").alias("items"))
 
 
 def array_chunks(items: Column, max_items: int) -> Column:
@@ -37,15 +41,10 @@ def unpack(df: DataFrame, column: str, pos_name: str = "pos", item_name: str = "
 
 
 def unpack_index(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """``unpack`` with a dense global ``index`` in the order of (keys, place).
-
-    Offsets come from a running sum over the rows' array sizes, not over items.
-    """
-    sizes = df.select(*keys, F.size(column).alias("_size")).filter("_size > 0")
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    items = unpack(df.select(*keys, column), column)
-    return items.join(offsets, keys).select(*keys, "pos", "item", (F.col("_before") + F.col("pos")).alias("index"))
+    """``unpack`` with a dense global ``index`` in the order of (keys, place). The keys must be unique."""
+    placed = running_total(df.select(*keys, column).withColumn("_size", F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0))), keys, "_size", "_before")
+    items = placed.select(*keys, "_before", F.posexplode(column).alias("pos", "item"))
+    return items.select(*keys, "pos", "item", (F.col("_before") + F.col("pos")).alias("index"))
 
 
 def repack(df: DataFrame, key: str, pos: str) -> DataFrame:

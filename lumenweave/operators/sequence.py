@@ -174,6 +174,20 @@ def word_tokens(text: Column, vocabulary: int = 50_000) -> Column:
     return F.transform(words, lambda w: (F.pmod(F.crc32(F.encode(w, "utf-8")), F.lit(vocabulary)) + 1).cast("int"))
 
 
+def byte_tokens(text: Column) -> Column:
+    """One id from 1 to 256 for each byte of the text: a tokenizer that can be undone."""
+    code = F.hex(F.encode(text, "utf-8"))
+    places = F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1)
+    digits = F.transform(places, lambda i: (F.conv(code.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
+    return F.when(F.length(code) > 0, digits).when(text.isNotNull(), F.array().cast("array<int>"))
+
+
+def byte_text(ids: Column) -> Column:
+    """The text of ``byte_tokens``; ids outside 1 to 256, such as padding and image tokens, are skipped."""
+    bytes_ = F.filter(ids, lambda i: (i >= 1) & (i <= 256))
+    return F.decode(F.unhex(F.array_join(F.transform(bytes_, lambda i: F.lpad(F.hex(i - 1), 2, "0")), "")), "utf-8")
+
+
 def tokenized(df: DataFrame, turns: str, tokenizer: object | None = None) -> DataFrame:
     """Adds ``input_ids`` and ``labels`` of the turns, labels masked outside targets.
 

@@ -234,8 +234,8 @@ def _(spark, folder):
 @q("lookup_elements", "SELECT n_nationkey, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
 def _(spark, folder):
     n, r = read_tables(spark, folder, "nation", "region")
-    table = F.broadcast(r.agg(F.map_from_entries(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("m")))  # five regions
-    looked = n.join(table).select("n_nationkey", joins.lookup_elements(F.array("n_regionkey"), F.col("m")).alias("x"))
+    table = F.create_map(*[F.lit(x) for row in r.select("r_regionkey", "r_name").collect() for x in row])  # a fixed table of five regions
+    looked = n.select("n_nationkey", joins.lookup_elements(F.array("n_regionkey"), table).alias("x"))
     return looked.select("n_nationkey", F.get("x", F.lit(0)).alias("r_name"))
 
 

@@ -226,6 +226,14 @@ def _(spark, folder):
     return r.select("record_id", F.size(sequence.word_tokens(F.concat(format_text(F.col("caption")), F.lit(_EOS)))).alias("n_tokens"))
 
 
+@q("byte_roundtrip", "SELECT DISTINCT question_id, question AS text, strlen(question) AS n_bytes FROM vqa_questions")
+def _(spark, folder):
+    """Questions as byte tokens, padded, and read back."""
+    (v,) = read_tables(spark, folder, "vqa_questions")
+    ids = v.select("question_id", sequence.byte_tokens(F.col("question")).alias("ids")).distinct()
+    return ids.select("question_id", sequence.byte_text(F.concat("ids", F.array(F.lit(0), F.lit(-200)))).alias("text"), F.size("ids").cast("long").alias("n_bytes"))
+
+
 # ---- constraints
 
 

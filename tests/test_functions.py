@@ -323,6 +323,41 @@ def test_ranks_do_not_depend_on_partitions(spark):
     assert ranks[0] == ranks[1] == ranks[2]
 
 
+@pytest.mark.parametrize("rows_a_bucket", [20_000, 30])
+def test_numbers_of_hot_groups(spark, monkeypatch, rows_a_bucket):
+    monkeypatch.setattr(ranking, "ROWS_A_BUCKET", rows_a_bucket)
+    rows = [("hot" if i % 3 else None if i % 2 else "cold", (i * 7) % 500, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o int, i int")
+    got = ranking.number_in_group(df.repartition(5), ["g"], ["o", "i"], "n").collect()
+    for g in ("hot", "cold", None):
+        ordered = sorted((o, i) for x, o, i in rows if x == g)
+        assert {(r.o, r.i): r.n for r in got if r.g == g} == {k: n for n, k in enumerate(ordered, 1)}
+    total = {r.i: r.t for r in ranking.running_total(df, ["i"], "o", "t").collect()}
+    assert total == {i: sum(o for _, o, j in rows if j < i) for _, _, i in rows}
+    assert ranking.number_in_group(df.limit(0), ["g"], ["o"], "n").count() == 0
+    assert ranking.running_total(df.limit(0), ["i"], "o", "t").count() == 0
+
+
+def test_byte_tokens(spark):
+    texts = ["", "aé日🤦", None, "x" * 5_000]
+    assert column(spark, texts, "string", lambda c: sequence.byte_text(sequence.byte_tokens(c))) == texts
+    assert column(spark, ["é"], "string", sequence.byte_tokens) == [[b + 1 for b in "é".encode()]]
+
+
+def test_pictures(spark, tmp_path):
+    row = bytes([0, 0, 255, 0, 255, 0, 0, 0])  # two pixels, padded to four bytes
+    body = row + bytes([0, 0, 255, 0, 0, 255, 0, 0])
+    head = b"BM" + (54 + len(body)).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little")
+    info = (40).to_bytes(4, "little") + (2).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(4) + len(body).to_bytes(4, "little") + bytes(16)
+    (tmp_path / "p.bmp").write_bytes(head + info + body)
+    (tmp_path / "q.bmp").write_bytes(b"no picture")
+    got = sources.read_pictures(spark, f"file://{tmp_path}")
+    share = sources.dominant_color_share(F.col("pixels"), 3).alias("share")
+    assert [(r.width, r.height, r.share) for r in got.select("width", "height", share).collect()] == [(2, 2, 0.75)]
+    assert got.filter(sources.keep_picture(F.col("width"), F.col("height"), share, least_side=1)).count() == 1
+    assert got.filter(sources.keep_picture(F.col("width"), F.col("height"), share, least_side=2)).count() == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "list.json").write_text(json.dumps([{"a": 1}, {"a": 2}]))
     (tmp_path / "root.json").write_text(json.dumps({"questions": [{"q": "x"}, {"q": "y"}]}))
