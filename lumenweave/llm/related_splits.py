@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lumenweave.operators.ranking import rank_in_group
 from lumenweave.storage import write_table
 
+_RECORDS_A_TASK = 1_000_000
 _EDGE = pa.schema([("a", pa.string()), ("b", pa.string())])
 
 
@@ -122,7 +123,10 @@ def group_records(linked: DataFrame, values: list[str]) -> DataFrame:
     ``linked`` has one row for each record and its values as text, each with a prefix that tells its kind.
     """
     first = F.coalesce(*values)
-    several = linked.select(first.alias("a"), F.explode(F.array_compact(F.array(*values))).alias("b")).filter("a <> b")
+    # A task's forest is held in memory: it gets a bounded number of records.
+    parts = -(-linked.count() // _RECORDS_A_TASK)
+    spread = linked if linked.rdd.getNumPartitions() >= parts else linked.repartition(parts)
+    several = spread.select(first.alias("a"), F.explode(F.array_compact(F.array(*values))).alias("b")).filter("a <> b")
     parts = components(several)
     own = linked.select("record_id", first.alias("node"))
     # Only values that meet another value have a component of their own; the rest are their own root.
