@@ -23,6 +23,8 @@ PRETRAINING = frozenset({"llava_pretrain"})
 INSTRUCTION_TUNING = frozenset(
     {"ai2d", "aok_vqa", "coco", "docvqa", "gqa", "grit", "infographics_vqa", "llava_instruct", "ocr_vqa", "refcoco", "refcoco_plus", "refcocog", "text_caps", "visual7w", "visual_genome", "vqa_v2", "vsr"}
 )
+if not PRETRAINING | INSTRUCTION_TUNING <= CORPORA.keys():
+    raise ValueError("a subset names a corpus that the catalog lacks")
 _TUNING_SPLITS = ("train", "validation")
 
 

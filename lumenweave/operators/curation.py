@@ -32,6 +32,13 @@ def overlaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return spans.withColumn("_hit", F.coalesce(F.col(end) > following, F.lit(False))).groupBy(key).agg(F.bool_or("_hit").alias("has_overlap"))
 
 
+def without_overlaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """The rows as they are; a key with overlapping spans fails the query."""
+    checked = overlaps(df, key, start, end)
+    bad = F.assert_true(~F.coalesce(F.col("has_overlap"), F.lit(False)), F.concat(F.lit("overlapping spans of "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return df.join(checked, key, "left").filter(bad.isNull()).drop("has_overlap")
+
+
 def missing_share(whole: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """``n_missing, percent``: distinct keys that a filter lost, and their share in percent, to two digits."""
     before = whole.select(*keys).distinct()

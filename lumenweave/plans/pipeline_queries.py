@@ -109,6 +109,34 @@ def _(spark, folder):
     return evaluators.evaluate_letters(truth, predictions, on="record_id", by=["source"])
 
 
+@q(
+    "evaluate_exact",
+    """WITH d AS (SELECT question_id, min(multiple_choice_answer) AS p, min(answers[1].answer) AS answer, min(answer_type) AS kind FROM vqa_annotations WHERE answers IS NOT NULL GROUP BY question_id)
+    SELECT kind, round(avg(CASE WHEN lower(p) = lower(answer) THEN 1.0 ELSE 0.0 END) * 100, 2) AS accuracy FROM d GROUP BY kind""",
+)
+def _(spark, folder):
+    (a,) = read_tables(spark, folder, "vqa_annotations")
+    first = F.get("answers", F.lit(0))["answer"]
+    d = a.filter("answers IS NOT NULL").groupBy("question_id").agg(F.min("multiple_choice_answer").alias("p"), F.min(first).alias("answer"), F.min("answer_type").alias("kind"))
+    predictions = d.select("question_id", F.concat("p", F.lit(".<|endoftext|>")).alias("prediction"))
+    return evaluators.evaluate_exact(d, predictions, by=["kind"])
+
+
+@q(
+    "evaluate_boxes",
+    f"""WITH {_ONCE}, e AS (SELECT unnest(region) AS r FROM once WHERE task = 'visual_grounding'), b AS (SELECT r.bbox[1]::DOUBLE AS x1, r.bbox[2]::DOUBLE AS y1, r.bbox[3]::DOUBLE AS x2, r.bbox[4]::DOUBLE AS y2 FROM e WHERE r IS NOT NULL AND len(r.bbox) = 4 AND list_aggregate(r.bbox, 'count') = 4),
+    o AS (SELECT *, greatest(least(x2, 400) - greatest(x1, 100), 0) * greatest(least(y2, 400) - greatest(y1, 100), 0) AS i FROM b)
+    SELECT round(avg(CASE WHEN i / ((x2 - x1) * (y2 - y1) + 90000.0 - i) > 0.1 THEN 1.0 ELSE 0.0 END) * 100, 2) AS accuracy FROM o""",
+)
+def _(spark, folder):
+    (r,) = read_tables(spark, folder, "records")
+    regions = r.filter("task = 'visual_grounding'").dropDuplicates(["record_id"]).select("record_id", F.posexplode("region").alias("pos", "r"))
+    whole = regions.filter((F.size("r.bbox") == 4) & F.forall("r.bbox", lambda v: v.isNotNull()))
+    truth = whole.select(F.struct("record_id", "pos").alias("region_id"), F.transform("r.bbox", lambda v: v.cast("double")).alias("box"), F.lit(1000).alias("width"), F.lit(1000).alias("height"))
+    predictions = truth.select("region_id", F.lit("[0.10,0.10,0.40,0.40].<|endoftext|>").alias("prediction"))
+    return evaluators.evaluate_boxes(truth, predictions, on="region_id", threshold=0.1)
+
+
 @q("evaluate_captions")  # n-gram overlap; tested on small cases
 def _(spark, folder):
     (r,) = read_tables(spark, folder, "records")

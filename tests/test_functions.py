@@ -383,6 +383,56 @@ def test_sources(spark, tmp_path):
     assert sources.read_parquet(spark, at("once"), ignore_corrupt=True, schema="id long").count() == 2
 
 
+def test_sidecar_source(spark, tmp_path):
+    from lumenweave.sources.sidecars import SidecarSource
+
+    for shard, names in (("s1", ("a", "b")), ("s2", ("c",)), ("empty", ())):
+        (tmp_path / shard).mkdir()
+        for n in names:
+            (tmp_path / shard / f"{n}.jpg").write_bytes(b"x")
+    (tmp_path / "s1" / "a.json").write_text('{"k": 1}')
+    spark.dataSource.register(SidecarSource)
+    got = spark.read.format("sidecars").load(f"file://{tmp_path}")
+    assert sorted((r.shard, r.stem, r.note) for r in got.collect()) == [("s1", "a", '{"k": 1}'), ("s1", "b", None), ("s2", "c", None)]
+
+
+def test_without_overlaps(spark):
+    df = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (2, 1, 2)], "k int, a int, b int")
+    assert curation.without_overlaps(df, "k", "a", "b").count() == 3
+    with pytest.raises(Exception, match="overlapping spans of 3"):
+        curation.without_overlaps(df.union(spark.createDataFrame([(3, 0, 6), (3, 5, 9)], df.schema)), "k", "a", "b").collect()
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from lumenweave import storage
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value or default
+
+        def set(self, key, value):
+            self.value = value
+
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getConf(self):
+            return Conf(None)
+
+    class Session:
+        def __init__(self, master, folder):
+            self.conf, self.sparkContext = Conf(folder), Context(master)
+
+    assert storage.shared_folder(Session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert storage.shared_folder(Session("local[2]", None)).startswith("file:///")
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        storage.shared_folder(Session("spark://host:7077", None))
+
+
 def test_dominant_color(spark):
     df = spark.createDataFrame([(bytearray([1, 1, 2, 2, 1, 1]),)], "b binary")
     assert df.select(sources.dominant_color_share(F.col("b"), 2)).first()[0] == pytest.approx(2 / 3)
