@@ -57,7 +57,9 @@ def _quarters(mixings: int) -> np.ndarray:
 
 def sides(records: DataFrame) -> DataFrame:
     """``record_id, side, split, source, key, bytes``: side 0 is evaluation, side 1 is training."""
-    j = fields(F.col("metadata"), "image_path", "coco_id")
+    # Only a text that may name the field is parsed; a field's name could also be written with escapes.
+    named = F.contains("metadata", F.lit("coco_id")) | F.contains("metadata", F.lit("\\u"))
+    j = fields(F.when(F.col("image")["path"].isNull() | named, F.col("metadata")), "image_path", "coco_id")
     r = records.filter(F.col("split").isin(*TRAINING, *EVALUATION)).select("record_id", "split", "source", F.col("image")["path"].alias("path"), F.col("image")["bytes"].alias("bytes"), j.alias("j"))
     side = F.when(F.col("split").isin(*TRAINING), 1).otherwise(0).cast("tinyint")
     levels = F.when(F.octet_length("bytes") == POSITIONS, F.col("bytes"))
@@ -225,7 +227,7 @@ def _ordered(base: DataFrame, shard_texts: int, slack: int, mixings: int) -> tup
     return thumbs, together.repartitionById(min(shards, 100_000), F.col("shard")).sortWithinPartitions("shard", "side", "kind")
 
 
-def linked_texts(base: DataFrame, *, limit: int = 6 * POSITIONS, slack: int = 10, shard_texts: int = 40_000, mixings: int = 3) -> tuple[DataFrame, DataFrame]:
+def linked_texts(base: DataFrame, *, limit: int = 6 * POSITIONS, slack: int = 10, shard_texts: int = 40_000, mixings: int = 4) -> tuple[DataFrame, DataFrame]:
     """``(by thumbnail, by key)``, each ``train_id, eval_id``: the smallest record of each matching text.
 
     ``limit``: largest sum of grey level differences. ``slack``, ``mixings``: see above.

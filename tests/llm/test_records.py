@@ -187,8 +187,10 @@ def test_same_keys(spark, records):
         row(9, "train", "coco/a/000000000001.jpg"), row(2, "val", "x/coco/1.jpg"), row(2, "val", "x/coco/1.jpg"), row(3, "restval", "visual_genome/7.jpg", 1), row(4, None, "coco/1.jpg"),
         row(5, "test", "visual_genome/7.jpg"), row(6, "train", None), row(7, "test", "nowhere/1.jpg"), row(8, "testdev", "coco/11.jpg"), row(10, "other", "coco/1.jpg"),
     ]
+    rows += [{"record_id": 11, "split": "train", "image": ("visual_genome/8.jpg", None), "metadata": '{"coco\\u005fid": 1}'}, {"record_id": 12, "split": "train", "metadata": '{"image_path": "coco/1.png"}'}]
+    rows += [{"record_id": 13, "split": "train", "image": ("coco/2.jpg", None), "metadata": '{"coco_id": 1'}, {"record_id": 14, "split": "train", "image": ("coco/1.jpg", None)}]
     got = {tuple(r) for r in cross_split.found_pairs(cross_split.overlaps(cross_split.sides(records(*rows)))).collect()}
-    assert got == {(2, 9), (2, 3)}
+    assert got == {(2, 9), (2, 3), (2, 11), (2, 12), (2, 14)}
     assert cross_split.overlaps(cross_split.sides(records())).count() == 0
     assert cross_split.overlaps(cross_split.sides(records(*[r for r in rows if r["split"] == "train"]))).count() == 0
 
