@@ -227,7 +227,7 @@ def _ordered(base: DataFrame, shard_texts: int, slack: int, mixings: int) -> tup
     return thumbs, together.repartitionById(min(shards, 100_000), F.col("shard")).sortWithinPartitions("shard", "side", "kind")
 
 
-def linked_texts(base: DataFrame, *, limit: int = 6 * POSITIONS, slack: int = 10, shard_texts: int = 40_000, mixings: int = 4) -> tuple[DataFrame, DataFrame]:
+def linked_texts(base: DataFrame, *, limit: int = 6 * POSITIONS, slack: int = 8, shard_texts: int = 40_000, mixings: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(by thumbnail, by key)``, each ``train_id, eval_id``: the smallest record of each matching text.
 
     ``limit``: largest sum of grey level differences. ``slack``, ``mixings``: see above.
