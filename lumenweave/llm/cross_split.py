@@ -3,16 +3,18 @@
 Distinct pictures of the evaluation side are cut into shards, and each shard is
 put into a compressed full-text index; the distinct pictures of the training
 side are streamed through backward search. A picture key matches as a whole
-text. A thumbnail is written as texts of 16 symbols, one for each quarter of
-several fixed mixings of its positions; a symbol is the position's grey level in
-four steps. A position within ``slack`` levels of a step's edge is searched with
-both symbols, so a quarter whose levels all differ by at most ``slack`` always
-matches. Three positions may thus differ by any amount, and more are found as
-long as they leave one quarter of one mixing alone. Matching quarters are merged
-into candidates and counted, and the exact distance decides.
-
-A training text only visits shards that hold its last symbols: rows are routed
-by them, so nothing is broadcast and no side is repeated as a whole. Copies of
+text. A thumbnail's 64 places stand in a ring of 16 blocks of four, in a seeded
+order; from every block on, the 16 places that follow are a text of symbols, the
+grey levels in four steps. If two thumbnails differ by at most ``limit`` in all,
+there is a block from which on every run of m blocks differs by at most
+m/16 of it (else the ring could be cut into runs that together exceed it). So
+backward search follows every symbol as long as the summed distance from the
+levels to the symbols' steps stays within that share, and no pair is missed.
+Few texts that are left in a range are compared by their levels at once. Matches
+are merged into candidates and counted, and the exact distance decides.
+
+A training text only visits shards that hold last symbols within its share: rows
+are routed by them, so nothing is broadcast and no side is repeated as a whole. Copies of
 one thumbnail or key are one text; record pairs come last, by membership.
 
 Defined cases: null splits are on neither side; records without a key and
@@ -35,24 +37,28 @@ from lumenweave.storage import write_table
 
 TRAINING = ("train", "restval")
 EVALUATION = ("validation", "val", "test", "teststd", "testdev")
-POSITIONS, QUARTERS, LENGTH = 64, 4, 16
+POSITIONS, BLOCK, LENGTH = 64, 4, 16
+BLOCKS = POSITIONS // BLOCK
 #: Upper edges of the first three grey steps.
 EDGES = (98, 128, 158)
 #: Symbols, from a text's end, whose ranges are looked up instead of searched.
-LOOKED_UP = 6
-_MARK = 5  # code of the end of the first quarter's text
+LOOKED_UP = 8
+#: Texts in a range that are compared at once instead of being searched on, and training texts and pairs held at once.
+NARROW, TEXTS_AT_ONCE, PAIRS_AT_ONCE = 8, 4_096, 1_000_000
+_MARK = 5  # code of the end of the first block's text
 _ROUTED = pa.schema([("shard", pa.int32()), ("side", pa.int8()), ("kind", pa.int8()), ("text_id", pa.int64()), ("text", pa.binary())])
 _CANDIDATE = pa.schema([("kind", pa.int8()), ("train_id", pa.int64()), ("eval_id", pa.int64()), ("spans", pa.int32())])
 
 
-def _quarters(mixings: int) -> np.ndarray:
-    """Positions of every quarter of every mixing. In the first, each has two positions of each row and column; the others are seeded."""
-    p = np.arange(POSITIONS)
-    quarter = (p % 8 + 2 * (p // 8) + (p // 32)) % QUARTERS
-    out = [p[quarter == q] for q in range(QUARTERS)]
-    for seed in range(1, mixings):
-        out += list(np.random.default_rng(seed).permutation(POSITIONS).reshape(QUARTERS, LENGTH))
-    return np.stack(out)
+def _starts() -> np.ndarray:
+    """For every block of the ring, the positions of its text; the block itself comes last, as search goes backwards."""
+    ring = np.random.default_rng(1).permutation(POSITIONS)
+    return np.stack([ring[(np.arange(LENGTH)[::-1] + BLOCK * b) % POSITIONS] for b in range(BLOCKS)])
+
+
+def _shares(limit: int) -> np.ndarray:
+    """The largest summed difference after each place of a text, from its end."""
+    return limit * (np.arange(LENGTH) // BLOCK + 1) // BLOCKS
 
 
 def sides(records: DataFrame) -> DataFrame:
@@ -74,43 +80,40 @@ def _symbols(levels: np.ndarray) -> np.ndarray:
     return (1 + np.searchsorted(np.array(EDGES), levels, side="right")).astype(np.uint8)
 
 
-def _second(levels: np.ndarray, slack: int) -> np.ndarray:
-    """The neighbouring symbol of a position within ``slack`` of an edge; 0 elsewhere."""
-    out = np.zeros(levels.shape, np.uint8)
-    for k, edge in enumerate(EDGES):
-        below = (levels < edge) & (levels + slack >= edge)
-        above = (levels >= edge) & (levels - slack < edge)
-        out[below], out[above] = k + 2, k + 1
-    return out
+def _costs() -> np.ndarray:
+    """The distance from each grey level to each step."""
+    level = np.arange(256)[:, None]
+    low, high = np.array([0, *EDGES]), np.array([*EDGES, 256]) - 1
+    return np.maximum(np.maximum(low - level, level - high), 0).astype(np.int16)
 
 
-def _router(shards: int, prefix: int, slack: int, mixings: int):
-    quarters = _quarters(mixings)
+def _router(shards: int, parts: int, prefix: int, limit: int):
+    """``parts``: shards for the texts of one block, by their last ``prefix`` symbols."""
+    starts, shares, costs = _starts(), _shares(limit), _costs()
+    letters = len(EDGES) + 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             side, ids = batch.column("side").to_numpy(), batch.column("text_id").to_numpy()
-            levels = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8).reshape(-1, POSITIONS).astype(np.int16)
-            for q in range(len(quarters)):
-                text = levels[:, quarters[q]]
-                symbols, second = _symbols(text), np.where(side[:, None] == 1, _second(text, slack), 0)
-                row, bucket = np.arange(len(ids)), np.full(len(ids), q, np.int64)
-                for j in range(LENGTH - prefix, LENGTH):
-                    more = np.flatnonzero(second[row, j])
-                    last = np.concatenate([symbols[row, j], second[row[more], j]]).astype(np.int64)
-                    row, bucket = np.concatenate([row, row[more]]), np.concatenate([bucket, bucket[more]])
-                    bucket = bucket * 4 + last - 1
-                shard = ((bucket * 0x9E3779B1) >> 7) % shards
+            levels = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+            for b in range(BLOCKS):
+                text = levels[:, starts[b]]
+                row, bucket, spent = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+                for k in range(prefix):
+                    total = spent[:, None] + costs[text[row, LENGTH - 1 - k]]
+                    # The evaluation side has its own symbols only.
+                    at, symbol = np.nonzero(total <= np.where(side[row] == 1, shares[k], 0)[:, None])
+                    row, bucket, spent = row[at], bucket[at] * letters + symbol, total[at, symbol]
+                shard = (b * parts + bucket * parts // letters**prefix) % shards
                 # A text goes to a shard once, even if several of its variants lie there.
                 _, one = np.unique(row * shards + shard, return_index=True)
                 row, shard = row[one], shard[one]
-                raw = text.astype(np.uint8)
-                flat = pa.py_buffer(np.ascontiguousarray(raw[row]).tobytes())
+                flat = pa.py_buffer(np.ascontiguousarray(text[row]).tobytes())
                 offsets = pa.py_buffer(np.arange(0, LENGTH * (len(row) + 1), LENGTH, dtype=np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.astype(np.int32)), pa.array(side[row]), pa.array(np.full(len(row), q, np.int8)), pa.array(ids[row]), pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, flat])], schema=_ROUTED
+                    [pa.array(shard.astype(np.int32)), pa.array(side[row]), pa.array(np.full(len(row), b, np.int8)), pa.array(ids[row]), pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, flat])], schema=_ROUTED
                 )
 
     return route
@@ -122,8 +125,8 @@ KEY = 99  # kind of the rows that carry picture keys
 class _Shard:
     """The index of one shard's evaluation texts, built when its first training text arrives."""
 
-    def __init__(self, slack: int) -> None:
-        self.slack = slack
+    def __init__(self, limit: int) -> None:
+        self.shares, self.costs = _shares(limit), _costs()
         self.ids: dict[int, list[np.ndarray]] = {}
         self.texts: dict[int, list[bytes]] = {}
         self.index: dict[str, tuple] | None = None
@@ -136,13 +139,11 @@ class _Shard:
         self.index = {}
         thumbs = [k for k in self.ids if k != KEY]
         if thumbs:
-            codes = []
-            for k in thumbs:
-                levels = np.frombuffer(b"".join(self.texts[k]), np.uint8).reshape(-1, LENGTH)
-                codes.append(np.hstack([_symbols(levels), np.full((len(levels), 1), _MARK + k, np.uint8)]))
-            index = FMIndex(np.vstack(codes).ravel(), LENGTH + 1)
+            levels = np.frombuffer(b"".join(t for k in thumbs for t in self.texts[k]), np.uint8).reshape(-1, LENGTH)
+            marks = np.repeat(_MARK + np.array(thumbs), [len(self.texts[k]) for k in thumbs]).astype(np.uint8)
+            index = FMIndex(np.hstack([_symbols(levels), marks[:, None]]).ravel(), LENGTH + 1)
             tables = {k: index.ending_in(_MARK + k, len(EDGES) + 1, LOOKED_UP) for k in thumbs}
-            self.index["levels"] = (index, tables, np.concatenate([x for k in thumbs for x in self.ids[k]]))
+            self.index["levels"] = (index, tables, np.concatenate([x for k in thumbs for x in self.ids[k]]), np.ascontiguousarray(levels.T).astype(np.int16))
         if KEY in self.ids:
             # Every key stands between two marks, 1; its bytes follow as they are.
             joined = b"\x01" + b"\x01".join(self.texts[KEY]) + b"\x01"
@@ -166,17 +167,29 @@ class _Shard:
             return np.concatenate(rows), np.concatenate(found)
         if "levels" not in self.index:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        index, tables, ids = self.index["levels"]
+        index, tables, ids, held = self.index["levels"]
         if kind not in tables:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        levels = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, LENGTH).astype(np.int16)
-        q, position = index.locate(*index.search_from(tables[kind], len(EDGES) + 1, LOOKED_UP, _symbols(levels), _second(levels, self.slack)))
-        return q, ids[position // (LENGTH + 1)]
-
-
-def _searcher(slack: int):
+        levels = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, LENGTH)
+        q, low, high = index.search_within(tables[kind], len(EDGES) + 1, LOOKED_UP, self.costs[levels], self.shares, NARROW)
+        rows, found, asked = [np.empty(0, np.int64)], [np.empty(0, np.int64)], levels.T.astype(np.int16)
+        cuts = np.flatnonzero(np.diff(np.cumsum(high - low) // PAIRS_AT_ONCE)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(q)], strict=True):
+            own, position = index.locate(q[a:b], low[a:b], high[a:b])
+            text = position // (LENGTH + 1)
+            spent = np.zeros(len(own), np.int32)
+            for place in range(LENGTH - 1, -1, -1):
+                spent = spent + np.abs(asked[place][own] - held[place][text])
+                near = np.flatnonzero(spent <= self.shares[LENGTH - 1 - place])
+                own, text, spent = own[near], text[near], spent[near]
+            rows.append(own)
+            found.append(ids[text])
+        return np.concatenate(rows), np.concatenate(found)
+
+
+def _searcher(limit: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, current = _Shard(slack), -1
+        shard, current = _Shard(limit), -1
         for batch in batches:
             number, side, kind, ids = (batch.column(c).to_numpy() for c in ("shard", "side", "kind", "text_id"))
             cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(side) != 0) | (np.diff(kind) != 0)) + 1
@@ -184,7 +197,7 @@ def _searcher(slack: int):
                 if a == b:
                     continue
                 if number[a] != current:
-                    shard, current = _Shard(slack), number[a]
+                    shard, current = _Shard(limit), number[a]
                 texts = batch.column("text").slice(a, b - a).to_pylist()
                 if side[a] == 0:
                     shard.add(int(kind[a]), ids[a:b], texts)
@@ -193,8 +206,8 @@ def _searcher(slack: int):
                     shard.build()
                 if not shard.index:
                     continue
-                for i in range(0, b - a, 16_384):
-                    q, found = shard.find(int(kind[a]), texts[i : i + 16_384])
+                for i in range(0, b - a, TEXTS_AT_ONCE):
+                    q, found = shard.find(int(kind[a]), texts[i : i + TEXTS_AT_ONCE])
                     if len(q):
                         own = ids[a + i : b][q]
                         code = np.full(len(q), 1 if kind[a] == KEY else 0, np.int8)
@@ -214,27 +227,27 @@ def _exact(limit: int):
     return check
 
 
-def _ordered(base: DataFrame, shard_texts: int, slack: int, mixings: int) -> tuple[DataFrame, DataFrame]:
+def _ordered(base: DataFrame, shard_texts: int, limit: int) -> tuple[DataFrame, DataFrame]:
     thumbs, keys = write_table(_texts(base, "bytes"), "thumbnails"), _texts(base, "key")
     n = thumbs.filter("side = 0").count()
-    shards = max(1, -(-n * QUARTERS * mixings // shard_texts))
-    prefix = 3
-    while QUARTERS * mixings * 4**prefix < 16 * shards and prefix < LENGTH - 4:
+    parts = max(1, -(-n // shard_texts))
+    shards = BLOCKS * parts if parts > 1 else max(1, -(-n * BLOCKS // shard_texts))
+    prefix = 0
+    while parts > 1 and (len(EDGES) + 1) ** prefix < 16 * parts and prefix < LENGTH - 4:
         prefix += 1
-    routed = thumbs.mapInArrow(_router(shards, prefix, slack, mixings), "shard int, side tinyint, kind tinyint, text_id long, text binary")
+    routed = thumbs.mapInArrow(_router(shards, parts, prefix, limit), "shard int, side tinyint, kind tinyint, text_id long, text binary")
     by_key = keys.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "side", F.lit(KEY).cast("tinyint").alias("kind"), "text_id", F.encode("key", "utf-8").alias("text"))
     together = routed.unionByName(by_key)
     return thumbs, together.repartitionById(min(shards, 100_000), F.col("shard")).sortWithinPartitions("shard", "side", "kind")
 
 
-def linked_texts(base: DataFrame, *, limit: int = 6 * POSITIONS, slack: int = 8, shard_texts: int = 40_000, mixings: int = 5) -> tuple[DataFrame, DataFrame]:
+def linked_texts(base: DataFrame, *, limit: int = 6 * POSITIONS, shard_texts: int = 40_000) -> tuple[DataFrame, DataFrame]:
     """``(by thumbnail, by key)``, each ``train_id, eval_id``: the smallest record of each matching text.
 
-    ``limit``: largest sum of grey level differences. ``slack``, ``mixings``: see above.
-    ``shard_texts``: texts that an index holds.
+    ``limit``: largest sum of grey level differences. ``shard_texts``: texts that an index holds.
     """
-    thumbs, ordered = _ordered(base, shard_texts, slack, mixings)
-    found = write_table(ordered.mapInArrow(_searcher(slack), "kind tinyint, train_id long, eval_id long, spans int"), "matches")
+    thumbs, ordered = _ordered(base, shard_texts, limit)
+    found = write_table(ordered.mapInArrow(_searcher(limit), "kind tinyint, train_id long, eval_id long, spans int"), "matches")
     merged = found.groupBy("kind", "train_id", "eval_id").agg(F.sum("spans").alias("spans"))
     candidates = merged.filter("kind = 0").select("train_id", "eval_id")
     levels = lambda side, a, b: thumbs.filter(F.col("side") == side).select(F.col("text_id").alias(a), F.col("bytes").alias(b))

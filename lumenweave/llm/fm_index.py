@@ -109,6 +109,41 @@ class FMIndex:
         alive = low < high
         return self._go_on(q[alive], low[alive], high[alive], last - length - 1, patterns, other)
 
+    def search_within(self, table: tuple[np.ndarray, np.ndarray], letters: int, length: int, costs: np.ndarray, shares: np.ndarray, narrow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(pattern, low, high)`` of all texts before a mark whose summed cost stays within the share of each place, from the last backwards.
+
+        ``costs``: pattern, place, letter. ``shares``: the largest sum after each place from the end. ``table``: see ``search_from``.
+        A range of up to ``narrow`` rows is not searched on, so it may hold texts that exceed later shares.
+        """
+        q, number, spent = np.arange(len(costs), dtype=np.int32), np.zeros(len(costs), np.int32), np.zeros(len(costs), np.int16)
+        last, filled = costs.shape[1], table[0] < table[1]
+        by_place = np.ascontiguousarray(costs.transpose(1, 2, 0))
+
+        def branch(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The rows that go on, their letters and their sums."""
+            totals = [spent + by_place[last - 1 - k, c][q] for c in range(letters)]
+            kept = [np.flatnonzero(t <= shares[k]) for t in totals]
+            return np.concatenate(kept), np.repeat(np.arange(letters, dtype=np.int32), [len(x) for x in kept]), np.concatenate([t[x] for t, x in zip(totals, kept, strict=True)])
+
+        for k in range(length):
+            at, letter, spent = branch(k)
+            number = number[at] * letters + letter
+            some = np.flatnonzero(filled.reshape(letters ** (k + 1), -1).any(1)[number])
+            q, number, spent = q[at[some]], number[some], spent[some]
+        low, high = table[0][number], table[1][number]
+        found = []
+        for k in range(length, last):
+            wide = high - low > narrow
+            found.append((q[~wide], low[~wide], high[~wide]))
+            q, low, high, spent = q[wide], low[wide], high[wide], spent[wide]
+            at, letter, spent = branch(k)
+            q = q[at]
+            low, high = self.extend(letter + 1, low[at], high[at])
+            alive = low < high
+            q, low, high, spent = q[alive], low[alive], high[alive], spent[alive]
+        found.append((q, low, high))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def locate(self, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(pattern, position in the text)`` of every occurrence in the ranges."""
         n = high - low

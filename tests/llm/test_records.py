@@ -179,6 +179,23 @@ def test_near_thumbnails(spark, records):
     assert len(brute) > 150
 
 
+@pytest.mark.parametrize("shard_texts", [40, 40_000])
+def test_connected_patches(spark, records, shard_texts):
+    rng = np.random.default_rng(7)
+    rows, pixels = [], []
+    for i in range(150):
+        base = np.clip(rng.normal(128, (44, 26, 17)[i % 3], (8, 8)), 40, 215).astype(np.uint8)
+        h, w, by = ((4, 4, 24), (2, 8, 24), (3, 4, 32))[i // 3 % 3]
+        y, x, near = rng.integers(0, 9 - h), rng.integers(0, 9 - w), base.copy()
+        near[y : y + h, x : x + w] += np.uint8(by)
+        for split, picture in (("train", base), ("val", near)):
+            rows.append({"record_id": len(rows), "split": split, "image": (None, bytearray(picture.tobytes())), "metadata": "{}"})
+            pixels.append(picture.ravel().astype(int))
+    got = {tuple(r) for r in cross_split.found_pairs(cross_split.overlaps(cross_split.sides(records(*rows)), shard_texts=shard_texts)).collect()}
+    assert got == {(min(a, b), max(a, b)) for a in range(0, 300, 2) for b in range(1, 300, 2) if np.abs(pixels[a] - pixels[b]).sum() <= 384}
+    assert len(got) >= 150
+
+
 def test_same_keys(spark, records):
     def row(i, split, path, coco=None):
         return {"record_id": i, "split": split, "image": (path, None), "metadata": json.dumps({"coco_id": coco})}
