@@ -31,6 +31,33 @@ SUBTYPES = {
     "answers": {"object": {"answer": "$.answer string", "confidence": "$.answer_confidence string"}, "string": {"answer": "$ string"}},
     "traces": {"object": {"x": "$.x double", "y": "$.y double", "t": "$.t double"}},
 }
+#: Structural variants with a table of their own: child -> variant -> state, kind, and typed columns of that kind. All other states go to ``OTHER``.
+VARIANTS = {
+    "ocr_info": {
+        "boxed": ("OBJECT<bounding_box: OBJECT<top_left_x: NUMBER, top_left_y: NUMBER, width: NUMBER>, word: STRING>", "object", ("word", "top_left_x", "top_left_y", "width")),
+        "unboxed": ("OBJECT<word: STRING>", "object", ("word",)),
+        "string": ("STRING", "string", ("word",)),
+    },
+    "timed_caption": {"spoken": ("OBJECT<end_time: NUMBER, start_time: NUMBER, utterance: STRING>", "object", ("utterance", "start_time", "end_time"))},
+    "answers": {"rated": ("OBJECT<answer: STRING, answer_confidence: STRING>", "object", ("answer", "confidence")), "unrated": ("OBJECT<answer: STRING>", "object", ("answer",)), "string": ("STRING", "string", ("answer",))},
+    "traces": {"point": ("OBJECT<t: NUMBER, x: NUMBER, y: NUMBER>", "object", ("x", "y", "t"))},
+}
+OTHER, STRUCT = "other", "struct"
+
+
+def variant_state(node: Column) -> Column:
+    """The state of a node with its field names, in order, and their states; numbers of all kinds have one state."""
+    return F.regexp_replace(F.schema_of_variant(node), r"\b(?:BIGINT|FLOAT|DOUBLE|DECIMAL\(\d+,\d+\))(?=[,>]|$)", "NUMBER")
+
+
+def subtype_of(child: str, node: Column) -> Column:
+    """The table that an element of the list is routed to."""
+    if child in NATIVE:
+        return F.lit(STRUCT)
+    state, out = variant_state(node), F.lit(OTHER)
+    for name, (wanted, _, _) in VARIANTS[child].items():
+        out = F.when(state == wanted, name).otherwise(out)
+    return out
 
 
 def node_state(node: Column) -> Column:
@@ -69,25 +96,25 @@ def _accepted(state: Column) -> Column:
     return ~state.isin("absent", "null")
 
 
-def _node(child: str, pos: Column, sub_pos: Column, state: Column, node: Column) -> Column:
-    return F.struct(F.lit(child).alias("child"), pos.cast("long").alias("pos"), sub_pos.cast("long").alias("sub_pos"), state.alias("state"), node.alias("node"))
+def _node(child: str, pos: Column, sub_pos: Column, state: Column, subtype: Column, node: Column) -> Column:
+    return F.struct(F.lit(child).alias("child"), pos.cast("long").alias("pos"), sub_pos.cast("long").alias("sub_pos"), state.alias("state"), subtype.alias("subtype"), node.alias("node"))
 
 
 def _nothing(with_node: bool) -> Column:
-    kind = "array<struct<child:string,pos:bigint,sub_pos:bigint,state:string,node:" + ("variant" if with_node else "int") + ">>"
+    kind = "array<struct<child:string,pos:bigint,sub_pos:bigint,state:string,subtype:string,node:" + ("variant" if with_node else "int") + ">>"
     return F.array().cast(kind)
 
 
 def _native(name: str, with_node: bool) -> Column:
     null = F.lit(None).cast("variant" if with_node else "int")
-    nodes = F.transform(F.col(name), lambda x, i: F.when(x.isNotNull(), _node(name, i, F.lit(-1), F.lit("object"), null)))
+    nodes = F.transform(F.col(name), lambda x, i: F.when(x.isNotNull(), _node(name, i, F.lit(-1), F.lit("object"), subtype_of(name, null), null)))
     return F.filter(nodes, lambda n: n.isNotNull())
 
 
 def _flat(child: str, path: str, with_node: bool) -> Column:
     items = F.try_variant_get(F.col("_v"), path, "array<variant>")
     payload = (lambda x: x) if with_node else (lambda x: F.lit(None).cast("int"))
-    nodes = F.transform(items, lambda x, i: F.when(_accepted(node_state(x)), _node(child, i, F.lit(-1), node_state(x), payload(x))))
+    nodes = F.transform(items, lambda x, i: F.when(_accepted(node_state(x)), _node(child, i, F.lit(-1), node_state(x), subtype_of(child, x), payload(x))))
     return F.filter(nodes, lambda n: n.isNotNull())
 
 
@@ -97,7 +124,7 @@ def _two_levels(child: str, path: str, with_node: bool) -> Column:
 
     def inner(x: Column, i: Column) -> Column:
         items = F.try_variant_get(x, "$", "array<variant>")  # null unless the node's state is list
-        return F.coalesce(F.transform(items, lambda y, j: F.when(_accepted(node_state(y)), _node(child, i, j, node_state(y), payload(y)))), _nothing(with_node))
+        return F.coalesce(F.transform(items, lambda y, j: F.when(_accepted(node_state(y)), _node(child, i, j, node_state(y), subtype_of(child, y), payload(y)))), _nothing(with_node))
 
     return F.filter(F.flatten(F.transform(outer, inner)), lambda n: n.isNotNull())
 
@@ -113,32 +140,54 @@ def structural_variants(records: DataFrame) -> DataFrame:
 
 
 def child_nodes(records: DataFrame, *, with_node: bool = False) -> DataFrame:
-    """The supertype table: ``record_id, child, pos, sub_pos`` of every non-null list element.
+    """The supertype table: ``record_id, child, pos, sub_pos`` of every element of a subtype table, that is, of every non-null list element.
 
-    ``with_node`` adds the element's ``state`` and, for metadata lists, its value as a variant.
+    ``with_node`` adds the element's ``state``, its ``subtype`` and, for metadata lists, its value as a variant.
     Repeated rows of a record are dropped before the lists are exploded, so only a
-    compact array of positions is shuffled for each record.
+    compact array of positions and tables is shuffled for each record.
     """
     v = records.select("record_id", *NATIVE, variant(F.col("metadata")).alias("_v"))
     lists = [_native(c, with_node) for c in NATIVE]
     lists += [_flat(c, p, with_node) for c, p in FLAT_PATHS.items()]
     lists += [_two_levels(c, p, with_node) for c, p in NESTED_PATHS.items()]
+    keys = ["record_id", "child", "pos", "sub_pos"]
     if with_node:
         exploded = v.select("record_id", F.inline(F.concat(*[F.coalesce(x, _nothing(True)) for x in lists])))
-        keys = ["record_id", "child", "pos", "sub_pos"]
-        return exploded.groupBy(*keys).agg(F.first("state").alias("state"), F.first(F.to_json("node")).alias("node")).withColumn("node", F.try_parse_json("node"))
-    # One small array of (pos, sub_pos) for each list; names are added after the shuffle.
-    packed = [F.transform(x, lambda n: F.struct(n["pos"].cast("int").alias("p"), n["sub_pos"].cast("int").alias("s"))).alias(c) for c, x in zip([*NATIVE, *FLAT_PATHS, *NESTED_PATHS], lists, strict=True)]
+        return exploded.groupBy(*keys).agg(F.first("state").alias("state"), F.first("subtype").alias("subtype"), F.first(F.to_json("node")).alias("node")).withColumn("node", F.try_parse_json("node"))
+    # One small array of (pos, sub_pos, number of the table) for each list; names are added after the shuffle.
     names = [*NATIVE, *FLAT_PATHS, *NESTED_PATHS]
+
+    def compact(c: str, x: Column) -> Column:
+        return F.transform(x, lambda n: F.struct(n["pos"].cast("int").alias("p"), n["sub_pos"].cast("int").alias("s"), (F.array_position(F.lit(tables_of(c)), n["subtype"]) - 1).cast("tinyint").alias("k"))).alias(c)
+
+    packed = [compact(c, x) for c, x in zip(names, lists, strict=True)]
     once = v.select("record_id", F.struct(*packed).alias("l")).filter(" OR ".join(f"size(l.{c}) > 0" for c in names)).dropDuplicates(["record_id"])
     nothing = F.array().cast("array<struct<child:string,pos:bigint,sub_pos:bigint>>")
 
-    def named(c: str) -> Column:
-        link = F.transform(F.col("l")[c], lambda e: F.struct(F.lit(c).alias("child"), e["p"].cast("long").alias("pos"), e["s"].cast("long").alias("sub_pos")))
-        return F.coalesce(link, nothing)
+    def union(c: str) -> Column:
+        """The common keys of the list's tables, one after the other."""
+        link = lambda e: F.struct(F.lit(c).alias("child"), e["p"].cast("long").alias("pos"), e["s"].cast("long").alias("sub_pos"))
+        table = lambda k: F.transform(F.filter(F.col("l")[c], lambda e: e["k"] == k), link)
+        return F.coalesce(F.concat(*[table(k) for k in range(len(tables_of(c)))]), nothing)
+
+    return once.select("record_id", F.inline(F.concat(*[union(c) for c in names])))
+
+
+def tables_of(child: str) -> list[str]:
+    """The subtypes of one list, each with a table."""
+    return [STRUCT] if child in NATIVE else [*VARIANTS[child], OTHER]
+
+
+def variant_table(nodes: DataFrame, child: str, name: str) -> DataFrame:
+    """The typed rows of one structural variant of a metadata list; ``nodes`` is ``child_nodes(..., with_node=True)``."""
+    _, kind, columns = VARIANTS[child][name]
+    typed = [F.try_variant_get(F.col("node"), *SUBTYPES[child][kind][c].split(" ")).alias(c) for c in columns]
+    return nodes.filter((F.col("child") == child) & (F.col("subtype") == name)).select("record_id", "child", "pos", "sub_pos", *typed)
+
 
-    rows = [named(c) for c in names]
-    return once.select("record_id", F.inline(F.concat(*rows)))
+def other_table(nodes: DataFrame) -> DataFrame:
+    """The elements of metadata lists whose state no typed table has: their state and raw value, as JSON."""
+    return nodes.filter(F.col("subtype") == OTHER).select("record_id", "child", "pos", "sub_pos", variant_state(F.col("node")).alias("state"), F.to_json("node").alias("value"))
 
 
 def subtype_table(nodes: DataFrame, child: str) -> DataFrame:

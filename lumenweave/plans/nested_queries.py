@@ -28,6 +28,20 @@ def _subtype(child: str):
     return query
 
 
+def _variant(child: str, name: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        (records,) = read_tables(spark, folder, "records")
+        return nested.variant_table(nested.child_nodes(records, with_node=True), child, name)
+
+    return query
+
+
+def p4_other(spark: SparkSession, folder: str) -> DataFrame:
+    """The list elements of a state that no typed table has, with their raw values."""
+    (records,) = read_tables(spark, folder, "records")
+    return nested.other_table(nested.child_nodes(records, with_node=True))
+
+
 def _native(child: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         (records,) = read_tables(spark, folder, "records")
@@ -41,6 +55,8 @@ QUERIES = {
     "p4_variants": p4_variants,
     **{f"p4_{c}": _subtype(c) for c in nested.SUBTYPES},
     **{f"p4_{c}": _native(c) for c in nested.NATIVE},
+    **{f"p4_{c}_{v}": _variant(c, v) for c, variants in nested.VARIANTS.items() for v in variants},
+    "p4_other": p4_other,
 }
 
 _ONCE = "once AS (SELECT DISTINCT ON (record_id) * FROM records)"

@@ -58,6 +58,31 @@ def test_awkward_rows(spark, records):
     assert "answers:list<list<>|list<null|object|string>|null|" in shapes[7]
 
 
+def test_variants_have_tables(spark, records):
+    box = {"top_left_x": 1, "top_left_y": 2.5, "width": 3e300}
+    metas = [
+        {"ocr": {"ocr_info": [{"word": "a", "bounding_box": box}, {"word": "b"}, "c", {"word": 5}, None]}}, {"answers": [[7, "x", {"answer": "y"}, {"answer_confidence": "no", "answer": "z"}, {"answer": "w", "more": [1]}], "left"]},
+        {"timed_caption": ["said", {"utterance": "u", "start_time": 0, "end_time": 1.5}]}, {"traces": [[{"x": 1, "y": 0.5, "t": 2}, {"x": 1}, True]]},
+    ]
+    made = records(*[{"record_id": i, "metadata": json.dumps(m), "qa_pairs": [("q", "a"), None]} for i, m in enumerate(metas)] * 2)
+    nodes = nested.child_nodes(made, with_node=True)
+    rows = {(c, v): [tuple(r) for r in nested.variant_table(nodes, c, v).collect()] for c, variants in nested.VARIANTS.items() for v in variants}
+    assert rows == {
+        ("ocr_info", "boxed"): [(0, "ocr_info", 0, -1, "a", 1.0, 2.5, 3e300)], ("ocr_info", "unboxed"): [(0, "ocr_info", 1, -1, "b")], ("ocr_info", "string"): [(0, "ocr_info", 2, -1, "c")],
+        ("timed_caption", "spoken"): [(2, "timed_caption", 1, -1, "u", 0.0, 1.5)], ("answers", "rated"): [(1, "answers", 0, 3, "z", "no")], ("answers", "unrated"): [(1, "answers", 0, 2, "y")],
+        ("answers", "string"): [(1, "answers", 0, 1, "x")], ("traces", "point"): [(3, "traces", 0, 0, 1.0, 0.5, 2.0)],
+    }
+    other = {tuple(r)[:4]: json.loads(r.value) for r in nested.other_table(nodes).collect()}
+    assert other == {
+        (0, "ocr_info", 3, -1): {"word": 5}, (1, "answers", 0, 0): 7, (1, "answers", 0, 4): {"answer": "w", "more": [1]}, (2, "timed_caption", 0, -1): "said",
+        (3, "traces", 0, 1): {"x": 1}, (3, "traces", 0, 2): True,
+    }
+    own = {r[:4] for table in rows.values() for r in table} | set(other) | {(i, "qa_pairs", 0, -1) for i in range(4)}
+    got = [tuple(r) for r in nested.child_nodes(made).collect()]
+    assert sorted(got) == sorted(own)
+    assert set(got) == walk([r.asDict(recursive=True) for r in made.collect()])
+
+
 def test_empty(records):
     assert nested.child_nodes(records()).count() == 0
     assert nested.structural_variants(records()).count() == 0
