@@ -2,8 +2,10 @@
 
 Distinct responses are sorted by text over range partitions, and each is
 compared with its neighbours: one whose whole text begins the next one is a
-shortened version, unless the next one only adds a full stop. Counts by length
-show limits at which responses were cut. Rules for empty, copied, refusing and
+shortened version, unless the next one only adds a full stop. It is cut inside a
+word if the next one goes on with a letter and its last word is none that stands
+whole in any response or is common. Counts by length show limits at which
+responses were cut; they only decide on shortened versions without other signs. Rules for empty, copied, refusing and
 foreign responses come first, then breaking off; a pair has the first that holds.
 
 Defined cases: null, empty and blank responses and those without letter or digit
@@ -142,10 +144,11 @@ def is_sentence(text: str) -> bool:
     return not first.islower() and len(text) >= 6
 
 
-def breaks_off(text: str, *, shortened: bool, completed: bool, at_limit: bool) -> bool:
+def breaks_off(text: str, *, shortened: bool, completed: bool, at_limit: bool, inside_word: bool = False) -> bool:
     """Whether the text ends before its sentence, word, quotation or bracket does.
 
     ``shortened``: another response continues it. ``completed``: another one only adds a full stop. ``at_limit``: its length is a limit.
+    ``inside_word``: another one completes its last word, which is no word.
     """
     if re.search(_TERMINAL, text) and not re.search(r"(?:\.\.\.|…)\s*$", text):
         return False
@@ -161,7 +164,7 @@ def breaks_off(text: str, *, shortened: bool, completed: bool, at_limit: bool) -
         return True
     if text.count('"') % 2 or text.count("(") > text.count(")"):
         return True
-    return shortened and at_limit and len(words) >= 2
+    return (inside_word or (shortened and at_limit)) and len(words) >= 2
 
 
 def pairs_of(records: DataFrame) -> DataFrame:
@@ -178,7 +181,11 @@ def _bare_end(c: str) -> F.Column:
     return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
-_COMPARED = "text string, shortened boolean, completed boolean, edge int, part int"
+_SIGNALS = "text string, shortened boolean, completed boolean, in_word boolean"
+_COMPARED = f"{_SIGNALS}, edge int, part int"
+#: A word's characters, and the last word of a text that has more.
+_RUN = r"[\p{L}\p{M}\p{N}]+"
+_LAST = r"(?<=[\s\p{Z}])[\p{L}\p{M}\p{N}]+$"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,23 +195,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, last, first = TaskContext.get().partitionId(), None, True
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        names = ["text", "shortened", "completed", "edge", "part"]
-        kinds = [pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32()]
+        names = ["text", "shortened", "completed", "in_word", "edge", "part"]
+        kinds = [pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     for batch in batches:
         rows = []
         for text in batch.column(0).to_pylist():
             if first:
-                rows.append((text, False, False, 1, part))
+                rows.append((text, False, False, False, 1, part))
                 first = False
             if last is not None and text.startswith(last):
-                rows.append((last, *continues(last, text), 0, part))
+                rows.append((last, *continues(last, text), goes_on_in_word(last, text), 0, part))
             last = text
         if rows:
             yield out(rows)
     if last is not None:
-        yield out([(last, False, False, 2, part)])
+        yield out([(last, False, False, False, 2, part)])
 
 
 def continues(short: str, longer: str) -> tuple[bool, bool]:
@@ -213,16 +220,35 @@ def continues(short: str, longer: str) -> tuple[bool, bool]:
     return any(c.isalnum() for c in rest), bool(re.fullmatch(r"""[.!?。！？]["'”’»)]*""", rest))
 
 
+def goes_on_in_word(short: str, longer: str) -> bool:
+    """Whether the longer text goes on with a letter directly after one; scripts without case have no words to cut."""
+    return all(c.isalpha() and c.lower() != c.upper() for c in (short[-1:], longer[len(short) :][:1]))
+
+
+def cut_words(signals: DataFrame, responses: DataFrame, common: list[tuple[str, str]]) -> DataFrame:
+    """``signals`` with ``inside_word``: the text goes on in its last word, which no response has whole and which isn't common.
+
+    ``responses``: all distinct texts. The last word of a text of several words may be cut itself, and doesn't count.
+    """
+    ends = signals.withColumn("word", F.when(F.col("in_word"), F.lower(F.regexp_extract("text", _LAST, 0))))
+    asked = ends.filter("word <> ''").select("word").distinct()
+    whole = responses.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("text", _LAST, "")), F.lit(_RUN), F.lit(0)))).alias("word"))
+    listed = signals.sparkSession.createDataFrame([(w.lower(),) for _, w in common], "word string")
+    known = whole.unionByName(listed).join(asked, "word", "left_semi").distinct().withColumn("known", F.lit(True))
+    inside = F.col("in_word") & (F.col("word") != "") & F.col("known").isNull()
+    return ends.join(known, "word", "left").select("text", "shortened", "completed", F.coalesce(inside, F.lit(False)).alias("inside_word"))
+
+
 def neighbours(responses: DataFrame, *, parts: int) -> DataFrame:
-    """``text, shortened, completed`` of the texts that begin the next text in sorted order."""
+    """``text, shortened, completed, in_word`` of the texts that begin the next text in sorted order."""
     ordered = responses.repartitionByRange(parts, "text").sortWithinPartitions("text")
     compared = write_table(ordered.mapInArrow(_compare, _COMPARED), "neighbours")
     # Two texts for each partition meet across its borders.
     edges = compared.filter("edge > 0").orderBy("part", F.col("edge")).select("text", "edge").collect()
-    across = [(a.text, *continues(a.text, b.text)) for a, b in zip(edges, edges[1:], strict=False) if a.edge == 2 and b.edge == 1 and b.text.startswith(a.text)]
-    inside = compared.filter("edge = 0").select("text", "shortened", "completed")
+    across = [(a.text, *continues(a.text, b.text), goes_on_in_word(a.text, b.text)) for a, b in zip(edges, edges[1:], strict=False) if a.edge == 2 and b.edge == 1 and b.text.startswith(a.text)]
+    inside = compared.filter("edge = 0").select("text", "shortened", "completed", "in_word")
     if across:
-        inside = inside.unionByName(responses.sparkSession.createDataFrame(across, "text string, shortened boolean, completed boolean"))
+        inside = inside.unionByName(responses.sparkSession.createDataFrame(across, _SIGNALS))
     return inside
 
 
@@ -240,9 +266,9 @@ def _classifier(common: list[tuple[str, str]]):
         languages = Languages(common)
         for batch in batches:
             found, defects = [], []
-            columns = [batch.column(c).to_pylist() for c in ("question", "answer", "shortened", "completed", "at_limit")]
-            for i, (question, answer, shortened, completed, at_limit) in enumerate(zip(*columns, strict=True)):
-                defect = defect_of(question, answer, languages, shortened=bool(shortened), completed=bool(completed), at_limit=bool(at_limit))
+            columns = [batch.column(c).to_pylist() for c in ("question", "answer", "shortened", "completed", "inside_word", "at_limit")]
+            for i, (question, answer, shortened, completed, inside_word, at_limit) in enumerate(zip(*columns, strict=True)):
+                defect = defect_of(question, answer, languages, shortened=bool(shortened), completed=bool(completed), inside_word=bool(inside_word), at_limit=bool(at_limit))
                 if defect:
                     found.append(i)
                     defects.append(defect)
@@ -253,7 +279,7 @@ def _classifier(common: list[tuple[str, str]]):
     return classify
 
 
-def defect_of(question: str | None, answer: str | None, languages: Languages, *, shortened: bool = False, completed: bool = False, at_limit: bool = False) -> str | None:
+def defect_of(question: str | None, answer: str | None, languages: Languages, *, shortened: bool = False, completed: bool = False, inside_word: bool = False, at_limit: bool = False) -> str | None:
     """The defect of one pair, or None."""
     if answer is None or not any(c.isalnum() for c in answer):
         return "empty"
@@ -266,7 +292,7 @@ def defect_of(question: str | None, answer: str | None, languages: Languages, *,
         return "refusal"
     if languages.differs(asked, text):
         return "other_language"
-    if breaks_off(text, shortened=shortened, completed=completed, at_limit=at_limit):
+    if breaks_off(text, shortened=shortened, completed=completed, inside_word=inside_word, at_limit=at_limit):
         return "truncated"
     return None
 
@@ -277,18 +303,23 @@ def defective_pairs(records: DataFrame, common_words: DataFrame) -> DataFrame:
     common = [(r.lang, r.word) for r in common_words.select("lang", "word").distinct().collect() if r.lang and r.word]
     pairs = write_table(pairs_of(records), "pairs")
     text = _bare_end("answer")
-    long_enough = pairs.filter(F.length("answer") >= 8).select(text.alias("text")).distinct()
+    texts = write_table(pairs.filter("answer IS NOT NULL").select(text.alias("text")).distinct(), "texts")
+    # One short word is no case of breaking off.
+    several = r"[\s\p{Z}]"
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    signals = neighbours(long_enough, parts=parts)
+    near = write_table(neighbours(texts.filter((F.length("text") >= 8) | F.col("text").rlike(several)), parts=parts), "signals")
+    signals = cut_words(near, texts, common)
     limits = length_limits(pairs).withColumn("at_limit", F.lit(True))
     keyed = pairs.withColumn("text", text).withColumn("n_chars", F.length("answer"))
+    is_compared = F.coalesce((F.length("text") >= 8) | F.col("text").rlike(several), F.lit(False))
     # Texts too short to be compared skip the join; the others are salted, as one of them may hold a third of all rows.
-    salted = keyed.filter("n_chars >= 8").withColumn("salt", F.pmod(F.xxhash64("record_id", "pos"), F.lit(_SALTS)))
+    salted = keyed.filter(is_compared).withColumn("salt", F.pmod(F.xxhash64("record_id", "pos"), F.lit(_SALTS)))
     repeated = signals.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
     compared = salted.join(repeated, ["text", "salt"], "left")
     kept = ["record_id", "field_name", "pos", "question", "answer", "n_chars"]
-    short = keyed.filter("n_chars IS NULL OR n_chars < 8").select(*kept, F.lit(None).cast("boolean").alias("shortened"), F.lit(None).cast("boolean").alias("completed"))
-    joined = compared.select(*kept, "shortened", "completed").unionByName(short).join(limits, "n_chars", "left")
-    joined = joined.select("record_id", "field_name", "pos", "question", "answer", "shortened", "completed", "at_limit")
+    flags = ["shortened", "completed", "inside_word"]
+    short = keyed.filter(~is_compared).select(*kept, *[F.lit(None).cast("boolean").alias(c) for c in flags])
+    joined = compared.select(*kept, *flags).unionByName(short).join(limits, "n_chars", "left")
+    joined = joined.select("record_id", "field_name", "pos", "question", "answer", *flags, "at_limit")
     found = joined.mapInArrow(_classifier(common), "record_id long, field_name string, pos long, defect string")
     return found.dropDuplicates(["record_id", "field_name", "pos"])

@@ -327,6 +327,17 @@ def test_neighbours_across_partitions(spark):
     assert broken_pairs.neighbours(df.limit(0), parts=3).count() == 0
 
 
+def test_cut_inside_a_word(spark, records):
+    answers = {
+        "a man riding a hor": "truncated", "a man riding a horse": None, "a hor": "truncated", "a horse": None, "red ca": "truncated", "red car": None, "red carpet": None, "car": None, "old car on a road": None,
+        "near a wat": "truncated", "near a waterfall": None, "in the": "truncated", "in them": None, "big park": None, "big parking-lot": None, "park": None, "gree": None, "green": None, "bus 1": None, "bus 12": None,
+    }
+    rows = [{"record_id": i, "split": "train", "qa_pairs": [("What can be seen in the picture?", a)]} for i, a in enumerate(answers)]
+    common = spark.createDataFrame(COMMON, "lang string, word string")
+    got = {r.record_id: r.defect for r in broken_pairs.defective_pairs(records(*rows), common).collect()}
+    assert {a: got.get(i) for i, a in enumerate(answers)} == answers
+
+
 def test_length_limits(spark):
     rows = [("x" * (i % 60 + 10),) for i in range(600)] + [("y" * 33,)] * 100 + [("z" * 40 + ".",)] * 300 + [(None,)]
     assert [r.n_chars for r in broken_pairs.length_limits(spark.createDataFrame(rows, "answer string")).collect()] == [33]
