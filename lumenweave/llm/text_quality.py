@@ -5,7 +5,8 @@ fixed thresholds give the reasons for which a document fails as prose. For the
 document's kind the same counts are taken of each line; fixed thresholds on
 bullets, separators, symbols, repetition and common words name a line's kind and
 the rule that did so, and the kind that holds more than half of the characters
-is the document's.
+is the document's. Repetition may have any period: words are compared, and
+characters on lines with hardly any spaces.
 
 Defined cases: null, empty and blank texts have zero counts, no failures, no
 kind; very long texts are measured whole; repeated rows stay; extra columns are
@@ -49,7 +50,10 @@ _BULLET = r"^\s*([-*•+–—▪◦‣·]\s+\S|\(?[0-9]{1,4}[.)]\s+\S|\(?[a-zA-
 _TAGGED_ROW = r"^\s*<[^<>]+>\s{2,}\["
 _BORDER = r"^\s*[+|][-+=|: ]{3,}$"
 _WORD_EDGE = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) + "«»“”„‘’¿¡…—–。、"
+#: Periods that are tried one by one; longer ones are found by their repeated windows.
 _MOST_PERIOD = 64
+#: A line has hardly any spaces if its words have so many characters on average.
+_UNSPACED = 20
 
 _STATS = [
     ("n_chars", "long"), ("word_count", "long"), ("line_count", "long"), ("mean_word_length", "double"), ("symbol_ratio", "double"),
@@ -84,8 +88,44 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return number, np.bincount(number[flags], minlength=int(starts.sum()))
 
 
+def _window_keys(codes: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each window of the length and its document."""
+    value = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    value = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    power = np.multiply.accumulate(np.full(len(codes), 0xD6E8FEB86659FD93, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((value ^ (value >> np.uint64(32))) * power)])
+    n = len(codes) - length + 1
+    return (sums[length:] - sums[:-length]) * power[::-1][:n] + (doc[:n].astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB)
+
+
+def _mark_long_periods(codes: np.ndarray, doc: np.ndarray, marked: np.ndarray) -> None:
+    """Marks stretches that repeat at least four times with a period above ``_MOST_PERIOD``.
+
+    In a stretch of period p, a window of p or more occurs last exactly p before. Windows of
+    doubling lengths thus show all periods from half their length to their length.
+    """
+    sizes, length = np.bincount(doc), 2 * _MOST_PERIOD
+    while sizes.max(initial=0) >= 4 * (length // 2 + 1):
+        place = np.flatnonzero(sizes[doc] >= 4 * (length // 2 + 1))
+        c, owner = codes[place], doc[place]
+        starts = np.flatnonzero(owner[length - 1 :] == owner[: len(owner) - length + 1])
+        key = _window_keys(c, owner, length)[starts]
+        order = np.argsort(key, kind="stable")
+        again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        back = np.zeros(len(c), np.int64)
+        back[starts[order[again + 1]]] = starts[order[again + 1]] - starts[order[again]]
+        number, lengths = _runs((back > length // 2) & (back <= length), back)
+        _, first = np.unique(number[number >= 0], return_index=True)
+        first = np.flatnonzero(number >= 0)[first]
+        for at, matching in zip(first, lengths + length - 1, strict=True):
+            period = back[at]
+            if matching >= 3 * period and np.array_equal(c[at : at + matching], c[at - period : at - period + matching]):
+                marked[place[at - period : at + matching]] = True
+        length *= 2
+
+
 def _repeated_words(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Words within a stretch that repeats with some period at least four times."""
+    """Words, or characters, within a stretch that repeats with some period at least four times."""
     marked = np.zeros(len(codes), bool)
     for period in range(1, min(_MOST_PERIOD, len(codes) - 1) + 1):
         same = (codes[period:] == codes[:-period]) & (doc[period:] == doc[:-period])
@@ -96,9 +136,19 @@ def _repeated_words(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(long)
         marked[at + period] = True
         marked[at] = True
+    _mark_long_periods(codes, doc, marked)
     return marked
 
 
+def _repeated_characters(lines: pa.Array, doc: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """How many characters of each chosen line lie within a stretch that repeats; 0 for the others."""
+    line = np.flatnonzero(chosen)
+    texts = lines.take(pa.array(line)).to_pylist()
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    line = np.repeat(line, [len(t) for t in texts])
+    return np.bincount(line, weights=_repeated_words(codes, doc[line]), minlength=len(chosen))
+
+
 class Measure:
     def __init__(self, common: list[str]) -> None:
         self.common = pa.array(sorted(set(common)), pa.string())
@@ -123,6 +173,9 @@ class Measure:
         per_line = lambda weights=None: np.bincount(words["line"], weights=weights, minlength=count)
         n_words, common = per_line(), per_line(words["common"])
         repeated, word_chars = per_line(words["repeated"] * words["size"]), per_line(words["size"])
+        unspaced = (n_words > 0) & (word_chars >= _UNSPACED * n_words)
+        if unspaced.any():
+            repeated = np.maximum(repeated, _repeated_characters(lines, doc, unspaced))
         letters, digits, spaces, blocks = (_count(lines, p) for p in (_LETTERS, _DIGITS, _SPACES, _BLOCKS))
         plain = _count(lines, _PLAIN)
         other = np.maximum(n - letters - digits - spaces - plain, 0)

@@ -155,6 +155,40 @@ def test_kinds():
     assert all((r is None) == (k is None) for r, k in zip(got["kind_rule"], got["kind"], strict=True))
 
 
+def repeated_by_definition(codes):
+    """Items of stretches that repeat four times with any period."""
+    out = np.zeros(len(codes), bool)
+    for period in range(1, len(codes)):
+        run = 0
+        for i in range(period, len(codes) + 1):
+            if i < len(codes) and codes[i] == codes[i - period]:
+                run += 1
+                continue
+            if run >= max(3 * period, 8):
+                out[i - run - period : i] = True
+            run = 0
+    return out
+
+
+def test_repetition_of_any_period():
+    rng = np.random.default_rng(5)
+    docs = [np.concatenate([rng.integers(0, letters, rng.integers(0, 90)), np.tile(rng.integers(0, letters, period), 6)[: int(period * times)], rng.integers(0, letters, 30)]) for period, times, letters in [(65, 4, 50), (64, 4.5, 9), (100, 3.9, 50), (128, 4, 3), (129, 5, 50), (200, 4.2, 2), (300, 3, 50), (3, 6, 9)]]
+    docs.append(np.tile(np.concatenate([np.tile(rng.integers(0, 40, 70), 2), [41]]), 5))
+    got = text_quality._repeated_words(np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs]))
+    assert got.tolist() == np.concatenate([repeated_by_definition(d) for d in docs]).tolist()
+    assert got.any()
+    assert not got.all()
+
+
+def test_repeated_passages_are_junk():
+    rng = np.random.default_rng(6)
+    said = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
+    kana = "".join(chr(0x3042 + c) for c in rng.integers(0, 60, 90))
+    texts = [(said(65) + ". ") * 8, (said(150) + ".\n") * 6, (said(700) + ". ") * 5, "写真には白い犬が写っています。" * 12, kana * 5, said(400) + ".", (said(100) + ". ") * 2, "".join(chr(0x3042 + c) for c in rng.integers(0, 60, 400)) + "。"]
+    got = text_quality.Measure(["the"])(pa.array(texts, pa.string()))
+    assert got["kind_rule"] == ["repetition"] * 5 + [None] * 3
+
+
 def test_statistics():
     got = text_quality.Measure(["the"])(pa.array(["The cat.\n# ... x\nthe cat", None, "the " * 60], pa.string()))
     assert got["word_count"] == [7, 0, 60]
