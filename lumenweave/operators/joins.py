@@ -22,6 +22,23 @@ def enforced_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame
     return joined.filter(checked.isNull()).drop("_found")
 
 
+def hot_keys(counted: DataFrame, count: str, rows: int, *, hot_share: float = 1e-4, hot_rows: int = 10_000) -> DataFrame:
+    """The keys of ``counted`` with at least ``max(hot_rows, hot_share * rows)`` rows: no more than ``1 / hot_share`` of them."""
+    return counted.filter(F.col(count) >= max(hot_rows, int(hot_share * rows))).drop(count)
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key; left rows of hot keys are not shuffled.
+
+    ``hot`` is from ``hot_keys``, so it and its part of ``right`` are small enough to be broadcast. ``how``: inner or left.
+    Left rows with a null key have no match.
+    """
+    hot = F.broadcast(hot.select(*on))
+    few = F.broadcast(right.join(hot, on, "left_semi"))
+    of_hot = left.join(hot, on, "left_semi").join(few, on, how)
+    return of_hot.unionByName(left.join(hot, on, "left_anti").join(right, on, how))
+
+
 def missing_keys(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, on, "left_anti").select(*on)
 
@@ -80,14 +97,17 @@ def lookup_elements(ids: Column, table: Column) -> Column:
 def first_existing(df: DataFrame, candidates: list[Column], listing: DataFrame, path: str, *, required: bool = False) -> DataFrame:
     """Adds ``found_path``: the first candidate that the listing has. ``required`` fails on a row without one.
 
-    The candidates are exploded and joined once, whatever their number.
+    Every distinct candidate is looked up once; rows, equal ones too, are never merged, and their columns may have any type.
     """
-    key = [c for c in df.columns]
-    exploded = df.withColumn("_row", F.struct(*key)).select("_row", F.posexplode(F.array(*candidates)).alias("_rank", "_path"))
-    known = listing.select(F.col(path).alias("_path")).distinct()
-    hits = exploded.join(known.withColumn("_is", F.lit(True)), "_path", "left")
-    best = F.min(F.when(F.col("_is"), F.struct("_rank", "_path")))["_path"]
-    out = hits.groupBy("_row").agg(best.alias("found_path")).select("_row.*", "found_path")
+    asked = df.select(F.explode(F.array_compact(F.array(*candidates))).alias("_path")).distinct()
+    known = listing.select(F.col(path).alias("_path")).distinct().join(asked, "_path", "left_semi").withColumn("_is", F.lit(True))
+    out = df
+    for i, c in enumerate(candidates):
+        out = out.withColumn(f"_c{i}", c)
+    for i in range(len(candidates)):
+        out = out.join(known.select(F.col("_path").alias(f"_c{i}"), F.col("_is").alias(f"_is{i}")), f"_c{i}", "left")
+    found = F.coalesce(*[F.when(F.col(f"_is{i}"), F.col(f"_c{i}")) for i in range(len(candidates))])
+    out = out.select(*df.columns, found.alias("found_path"))
     if required:
         out = out.filter(F.assert_true(F.col("found_path").isNotNull(), F.lit("no candidate path exists")).isNull())
     return out

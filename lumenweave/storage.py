@@ -54,11 +54,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+def write_table(df: DataFrame, name: str, *, file_rows: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read back.
+
+    ``file_rows``: rows that a file may have (0: any number), so that tasks that read the table are even in rows, too.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
