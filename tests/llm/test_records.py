@@ -293,14 +293,15 @@ COMMON = [("en", w) for w in "the a an of and to in is it on with that for are t
 @pytest.mark.parametrize(
     ("question", "answer", "wanted"),
     [
-        ("What is it?", None, "empty"), ("What is it?", "", "empty"), ("What is it?", "  \t", "empty"), ("What is it?", "...", "empty"), (None, "a cat", None), ("", "", "empty"),
+        ("What is it?", None, "empty"), ("What is it?", "", "empty"), ("What is it?", "  \t", "empty"), ("What is it?", "...", "empty"), (None, "a cat", "unended"), ("", "", "empty"),
         ("What is it?", "what is it", "copy"), ("What is it?", "Q: What is it?\nA:", "copy"), ("<image>\nWhat is it?", "Question: What is it?", "copy"), ("What is it?", "What is it? What is it?", "copy"), ("What is it?", "- What Is It", "copy"),
         ("What is it?", "It is what it is.", None), ("Where is the dog?", "I'm sorry, but I can’t help with that", "refusal"), ("Where is it?", "AS AN ASSISTANT, I AM UNABLE TO ANSWER THIS.", "refusal"), ("Where?", "He looks sorry that the dog is broken.", None),
         ("What is on the sign?", 'The notice reads "we cannot help".', None), ("Is the lock broken?", "The door can't be opened because the lock is broken.", None), ("What is it?", "unanswerable", None), ("Qué hay en la mesa?", "Lo siento, no puedo responder a eso.", "refusal"),
         ("Where is the dog in the picture?", "Der Hund ist auf dem Bild und die Katze nicht.", "other_language"), ("¿Qué hay al lado de la mesa?", "There is a dog on the table and it is in the garden.", "other_language"),
-        ("What is on the board?", 'The board says "der die das und" to the left.', None), ("Where is the dog?", "写真には白い犬が写っています。", "other_language"), ("駅には何がありますか？", "写真には白い犬が写っています。", None), ("駅には何がありますか？", "写真には白い犬が写って", "truncated"),
-        ("What is it?", "In the garden there is a", "truncated"), ("What is it?", "a cat next to the", "truncated"), ("What is it?", "a cat next to the dog", None), ("What is it?", "The sign says \"fr", "truncated"), ("What is it?", "We see the...", "truncated"), ("What is it?", "The dog, ", "truncated"),
-        ("What is it?", "yes", None), ("How many are there?", "12", None), ("What is it?", "It is a cat!", None), ("What is it?", "x" * 100_000, None), ("What is it?", "It is a cat and " * 5_000, "truncated"), ("What is it?", "The dog (about 3 years old", "truncated"),
+        ("What is on the board?", 'The board says "der die das und" to the left.', None), ("Where is the dog?", "写真には白い犬が写っています。", "other_language"), ("駅には何がありますか？", "写真には白い犬が写っています。", None), ("駅には何がありますか？", "写真には白い犬が写って", "unended"),
+        ("What is it?", "I cannot see a dog in this picture.", None), ("Can we pass?", "No, we cannot pass because the road is closed.", None), ("What is it?", "I can't view images.", "refusal"), ("What is it?", "I cannot see the picture, so I can't help.", "refusal"),
+        ("What is it?", "In the garden there is a", "hint"), ("What is it?", "a cat next to the", "hint"), ("What is it?", "a cat next to the dog", "unended"), ("What is it?", "The sign says \"fr", "hint"), ("What is it?", "We see the...", "truncated"), ("What is it?", "The dog, ", "truncated"),
+        ("What is it?", "yes", None), ("How many are there?", "12", None), ("What is it?", "It is a cat!", None), ("What is it?", "x" * 100_000, None), ("What is it?", "It is a cat and " * 5_000, "hint"), ("What is it?", "The dog (about 3 years old", "hint"),
     ],
 )
 def test_defects(question, answer, wanted):
@@ -308,25 +309,54 @@ def test_defects(question, answer, wanted):
 
 
 def test_signals():
-    languages = broken_pairs.Languages(COMMON)
     assert broken_pairs.continues("The cat", "The cat.") == (False, True)
     assert broken_pairs.continues("The cat", "The cat sat.") == (True, False)
     assert broken_pairs.continues("The cat", "The cat,") == (False, False)
-    assert broken_pairs.defect_of("What is it?", "The cat sat", languages, completed=True) is None
-    assert broken_pairs.defect_of("What is it?", "a big ca", languages, shortened=True, at_limit=True) == "truncated"
+    assert [broken_pairs.is_name(t) for t in ("New York", "Vincent van Gogh", "Main Street", "The table", "van Gogh")] == [True, True, True, False, False]
 
 
 def test_neighbours_across_partitions(spark):
     rng = random.Random(2)
-    texts = {"ab" * rng.randint(4, 12) + rng.choice(["", ".", " c", "d"]) for _ in range(300)} | {f"text {i}" for i in range(60)}
+    texts = {"ab" * rng.randint(4, 12) + rng.choice(["", ".", " c", "d"]) for _ in range(300)} | {f"text {i}" for i in range(60)} | {f"the {rng.choice('ab')} {'x' * rng.randint(1, 5)}{i}{rng.choice(['.', '', ''])}" for i in range(400)}
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    order = sorted(texts)
-    wanted = {a: broken_pairs.continues(a, b) for a, b in zip(order, order[1:], strict=False) if b.startswith(a)}
-    for parts in (2, 13):
-        assert {r.text: (r.shortened, r.completed) for r in broken_pairs.neighbours(df, parts=parts).collect()} == wanted
+    known = [broken_pairs._Known(t) for t in sorted(texts)]
+    wanted = {k.text: found for i, k in enumerate(known) if (found := broken_pairs.signals_of(known, i))}
+    assert len(wanted) > 100
+    for parts in (2, 13, 60):
+        got = broken_pairs.neighbours(df, parts=parts).collect()
+        assert len(got) == len({r.text for r in got})
+        assert {r.text: tuple(r)[1:] for r in got} == wanted
     assert broken_pairs.neighbours(df.limit(0), parts=3).count() == 0
 
 
+def defects(records, answers, common, **options):
+    rows = [{"record_id": i, "split": "train", "qa_pairs": [("What can be seen in the picture?", a)]} for i, a in enumerate(answers)]
+    found = {r.record_id: r.defect for r in broken_pairs.defective_pairs(records(*rows), common, **options).collect()}
+    return {a: found.get(i) for i, a in enumerate(answers)}
+
+
+def test_neighbours_decide_on_sentences(spark, records):
+    common = spark.createDataFrame(COMMON, "lang string, word string")
+    cut = ["The table looks old because", "The table looks ol", "In the garden there", "An old horse looks for"]
+    whole = ["The table looks old because it is wet.", "The table looks new.", "In the garden there are trees.", "An old horse eats grass.", "New York", "New York is big.", "Vincent van Gogh", "Vincent van Gogh painted it.", "Main Street", "a red cup on a mat", "a red cup.", "a red cup in a box", "The cat sat on a mat", "yes"]
+    for options in ({}, {"hot_rows": 1, "hot_share": 0.0}):
+        got = defects(records, [*cut, *whole], common, **options)
+        assert [got[a] for a in cut] == ["truncated"] * 4
+        assert [a for a in whole if got[a]] == []
+    # Without their neighbours they are no case, but for the last one's hanging word.
+    assert [defects(records, cut[:3], common)[a] for a in cut[:3]] == ["truncated", None, None]
+
+
+def test_length_limits_decide(spark, records):
+    common = spark.createDataFrame(COMMON, "lang string, word string")
+    ended = [f"my word{i} is {'y' * 30} here." for i in range(40)]
+    cut = [f"my word{i} is {'y' * 30} here."[:24] for i in range(10, 40)]
+    got = defects(records, [*ended, *cut, "my word7 then is", "my cat a b c d e f g h ij"], common)
+    assert all(got[a] == "truncated" for a in cut)
+    few = defects(records, [*ended[:12], *cut[:2]], common)
+    assert all(few[a] is None for a in ended[:12])
+
+
 def test_cut_inside_a_word(spark, records):
     answers = {
         "a man riding a hor": "truncated", "a man riding a horse": None, "a hor": "truncated", "a horse": None, "red ca": "truncated", "red car": None, "red carpet": None, "car": None, "old car on a road": None,
@@ -339,8 +369,8 @@ def test_cut_inside_a_word(spark, records):
 
 
 def test_length_limits(spark):
-    rows = [("x" * (i % 60 + 10),) for i in range(600)] + [("y" * 33,)] * 100 + [("z" * 40 + ".",)] * 300 + [(None,)]
-    assert [r.n_chars for r in broken_pairs.length_limits(spark.createDataFrame(rows, "answer string")).collect()] == [33]
+    rows = [("x" * (i % 60 + 10),) for i in range(600)] + [("y" * 33,)] * 100 + [("z" * 40 + ".",)] * 300
+    assert [r.n_chars for r in broken_pairs.length_limits(spark.createDataFrame(rows, "text string")).collect()] == [33]
 
 
 def test_pairs(spark, records):
