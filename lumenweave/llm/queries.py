@@ -41,13 +41,14 @@ def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     (records,) = read_tables(spark, folder, "records")
-    return format_duplicates.copies(format_duplicates.collapse(format_duplicates.canonical_keys(records)))
+    members, _ = format_duplicates.collapse(format_duplicates.canonical_keys(records))
+    return format_duplicates.copies(members)
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The kept record of each content that occurs several times and its number of copies, itself included."""
     (records,) = read_tables(spark, folder, "records")
-    return format_duplicates.groups(format_duplicates.collapse(format_duplicates.canonical_keys(records)))
+    return format_duplicates.collapse(format_duplicates.canonical_keys(records))[1]
 
 
 # ---------------------------------------------------------------- 3
@@ -73,38 +74,39 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def linking_values(records: DataFrame) -> DataFrame:
-    """``record_id`` and its picture key, author, annotator and document, each with a prefix, one row for each record."""
-    j = fields(F.col("metadata"), "image_path", "coco_id", "author_name", "annotator_id", "ucsf_document_id")
+    """``record_id``, the distinct ``values`` that link it (its picture key, author, annotator and document, each with a prefix) and its picture's key as ``name``.
+
+    One row for each record; if its repeated rows differ, all their values count.
+    """
+    # Only a text that may name a field is parsed; a field's name could also be written with escapes.
+    named = F.lit(False)
+    for text in ("coco_id", "author_name", "annotator_id", "ucsf_document_id", "\\u"):
+        named = named | F.contains("metadata", F.lit(text))
+    parsed = F.when(F.col("image")["path"].isNull() | named, F.col("metadata"))
+    j = fields(parsed, "image_path", "coco_id", "author_name", "annotator_id", "ucsf_document_id")
     r = records.select("record_id", F.col("image")["path"].alias("path"), j.alias("j"))
 
     def bare(c: str):
-        text = F.lower(F.regexp_replace(F.upper(F.col("j")[c]), r"[\s\p{Z}]+", ""))
-        return F.when(text != "", text)
-
-    columns = [
-        F.concat(F.lit("p:"), picture_key(F.coalesce("path", F.col("j.image_path")), F.col("j.coco_id"))).alias("picture"),
-        F.concat(F.lit("a:"), bare("author_name")).alias("author"),
-        F.concat(F.lit("n:"), F.regexp_replace(F.trim("j.annotator_id"), r"^([0-9]+)\.0+$", "$1")).alias("annotator"),
-        F.concat(F.lit("d:"), F.trim("j.ucsf_document_id")).alias("document"),
-    ]
-    kept = r.select("record_id", *columns)
-    kept = kept.select("record_id", "picture", "author", *[F.when(F.length(c) > 2, F.col(c)).alias(c) for c in ("annotator", "document")])
-    return kept.groupBy("record_id").agg(*[F.min(c).alias(c) for c in VALUES])
-
+        return F.lower(F.regexp_replace(F.upper(F.col("j")[c]), r"[\s\p{Z}]+", ""))
 
-VALUES = ["picture", "author", "annotator", "document"]
+    values = [
+        F.concat(F.lit("p:"), picture_key(F.coalesce("path", F.col("j.image_path")), F.col("j.coco_id"))),
+        F.concat(F.lit("a:"), bare("author_name")),
+        F.concat(F.lit("n:"), F.regexp_replace(F.trim("j.annotator_id"), r"^([0-9]+)\.0+$", "$1")),
+        F.concat(F.lit("d:"), F.trim("j.ucsf_document_id")),
+    ]
+    kept = r.select("record_id", F.filter(F.array_compact(F.array(*values)), lambda v: F.length(v) > 2).alias("v"))
+    once = kept.groupBy("record_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("v")))).alias("values"))
+    return once.withColumn("name", F.expr("substring(array_min(filter(values, v -> v LIKE 'p:%')), 3)"))
 
 
 def _grouped(spark: SparkSession, folder: str) -> DataFrame:
     (records,) = read_tables(spark, folder, "records")
-    linked = write_table(linking_values(records), "linking-values")
-    grouped = related_splits.group_records(linked, VALUES)
-    return write_table(grouped.join(linked.select("record_id", F.substring("picture", 3, 1_000).alias("name")), "record_id"), "grouped")
+    return write_table(related_splits.group_records(write_table(linking_values(records), "linking-values")), "grouped")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    grouped = _grouped(spark, folder)
-    return related_splits.named_groups(grouped, grouped)
+    return related_splits.named_groups(_grouped(spark, folder))
 
 
 def p5_splits(spark: SparkSession, folder: str) -> DataFrame:

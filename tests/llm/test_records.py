@@ -84,7 +84,7 @@ def test_spelling(spark, name, wanted):
 
 
 def copies_of(made, **options):
-    return {tuple(r) for r in format_duplicates.copies(format_duplicates.collapse(format_duplicates.canonical_keys(made), **options)).collect()}
+    return {tuple(r) for r in format_duplicates.copies(format_duplicates.collapse(format_duplicates.canonical_keys(made), **options)[0]).collect()}
 
 
 def test_formatting_copies(spark, records):
@@ -112,8 +112,9 @@ def test_formatting_copies(spark, records):
     wanted = {(3, 5), (10, 11), (15, 16), (18, 19)}
     assert copies_of(made) == wanted
     assert copies_of(made, hot_rows=1, hot_share=0.0) == wanted  # every repeated key is hot
-    members = format_duplicates.collapse(format_duplicates.canonical_keys(made), hot_rows=1, hot_share=0.0)
-    assert {tuple(r) for r in format_duplicates.groups(members).collect()} == {(3, 2), (10, 2), (15, 2), (18, 2)}
+    for options in ({}, {"hot_rows": 1, "hot_share": 0.0}):
+        _, groups = format_duplicates.collapse(format_duplicates.canonical_keys(made), **options)
+        assert {tuple(r) for r in groups.collect()} == {(3, 2), (10, 2), (15, 2), (18, 2)}
     assert copies_of(records()) == set()
 
 
@@ -122,6 +123,23 @@ def test_a_third_of_the_rows_are_copies(spark, records):
     assert copies_of(records(*rows), hot_rows=20) == {(0, i) for i in range(3, 300, 3)}
 
 
+def test_hot_copies_spread_over_salts(spark, records, monkeypatch):
+    monkeypatch.setattr(format_duplicates, "_ROWS_A_SALT", 10)
+    rows = [{"record_id": i, "task": "t", "caption": "same" if i % 3 == 0 else f"text {i // 2}", "metadata": "{}"} for i in range(600)]
+    keys = format_duplicates.canonical_keys(records(*rows, *rows[:30]))
+    members, groups = format_duplicates.collapse(keys, hot_rows=20)
+    assert {r.kept_id: r.n_copies for r in groups.collect()}[0] == 200
+    assert members.count() == members.distinct().count()
+    salts = format_duplicates._salted(keys.withColumn("n", F.lit(200))).groupBy("salt").count().collect()
+    assert len(salts) == 20
+    assert max(r["count"] for r in salts) < 70
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("5 < 3", "5 > 3", False), ("C++", "C", False), ("$5", "5", False), ("a\u200bb", "AB!", True), ("-3", "3", True)])
+def test_what_counts_as_formatting(spark, a, b, same):
+    got = spark.createDataFrame([(a, b)], "a string, b string").select(*[format_duplicates.canonical_text(F.col(c)) for c in "ab"]).first()
+    assert (got[0] == got[1]) == same
+
 # ---------------------------------------------------------------- 3
 
 
@@ -236,12 +254,29 @@ def test_components_of_any_size(spark):
     df = spark.createDataFrame(edges, "a string, b string").repartition(8)
     wanted = brute_components(edges)
     assert dict(map(tuple, related_splits.components(df).collect())) == wanted
-    contracted = dict(map(tuple, related_splits.components(df, max_forest=40).collect()))
-    assert contracted == {k: v for k, v in wanted.items() if k in contracted}
-    assert set(wanted) - set(contracted) <= {k for k, v in wanted.items() if list(wanted.values()).count(v) == 1}
+    for hot in ({}, {"hot_rows": 2, "hot_share": 0.0}):
+        contracted = dict(map(tuple, related_splits.components(df, max_forest=40, **hot).collect()))
+        assert contracted == {k: v for k, v in wanted.items() if k in contracted}
+        assert set(wanted) - set(contracted) <= {k for k, v in wanted.items() if list(wanted.values()).count(v) == 1}
     assert related_splits.components(df.limit(0)).count() == 0
 
 
+def test_one_component_is_no_single_task(spark, monkeypatch):
+    """A component of all values: no forest holds more edges than it may."""
+    largest = []
+    forests = related_splits._forests
+
+    def counted(edges):
+        largest.append(max((r["count"] for r in edges.groupBy(F.spark_partition_id()).count().collect()), default=0))
+        return forests(edges)
+
+    df = spark.createDataFrame([("a", f"v{i:04d}") for i in range(2_000)], "a string, b string").repartition(40)
+    monkeypatch.setattr(related_splits, "_forests", counted)
+    got = related_splits.components(df, max_forest=150, hot_rows=100)
+    assert got.filter("root = 'a'").count() == 2_001
+    assert max(largest) <= 200
+
+
 def test_related_records(spark, records):
     def row(i, path=None, **meta):
         return {"record_id": i, "image": (path, None), "metadata": json.dumps(meta)}
@@ -249,24 +284,26 @@ def test_related_records(spark, records):
     rows = [
         row(1, "ocr_vqa/1.jpg", author_name="Ann  Lee"), row(2, "ocr_vqa/2.jpg", author_name=" ann lee"), row(3, "ocr_vqa/2.jpg"), row(4, "coco/9.jpg", annotator_id=7), row(5, "coco/8.jpg", annotator_id="7"),
         row(6, "coco/5.jpg", author_name=" ", annotator_id=None), row(7, None, ucsf_document_id="d"), row(8, None, ucsf_document_id="d"), row(9), row(10, "coco/5.jpg"), row(10, "coco/5.jpg"), {"record_id": 11, "metadata": "{"},
-        row(12, None, author_name="7"), row(13, "grit/3.jpg", ucsf_document_id=""),
+        row(12, None, author_name="7"), row(13, "grit/3.jpg", ucsf_document_id=""), row(14, "coco/" + "x" * 2_000 + "77.jpg"), row(15, "coco/77.jpg", author_name="z" * 3_000), row(16, None, author_name="Z" * 3_000),
+        row(17, "coco/90.jpg", author_name="one"), row(17, "coco/91.jpg", author_name="two"), row(18, "grit/90.jpg", author_name="One"), row(19, "grit/91.jpg", author_name="TWO"), row(20, "coco/91.jpg"),
     ]
     made = records(*rows, extra=", root string, name string, picture string")
     linked = queries.linking_values(made)
-    grouped = related_splits.group_records(linked, queries.VALUES)
-    named = grouped.join(linked.select("record_id", F.substring("picture", 3, 100).alias("name")), "record_id")
-    got = {r.record_id: r.group_id for r in related_splits.named_groups(named, named).collect()}
+    grouped = related_splits.group_records(linked)
+    got = {r.record_id: r.group_id for r in related_splits.named_groups(grouped).collect()}
+    hot = {"hot_rows": 2, "hot_share": 0.0}
+    assert {r.record_id: r.group_id for r in related_splits.named_groups(related_splits.group_records(linked, **hot), **hot).collect()} == got
     ocr, nine, five = "ocrvqa/000000000001", "coco/000000000008", "coco/000000000005"
-    assert got == {1: ocr, 2: ocr, 3: ocr, 4: nine, 5: nine, 6: five, 10: five, 7: None, 8: None}
+    assert got == {1: ocr, 2: ocr, 3: ocr, 4: nine, 5: nine, 6: five, 10: five, 7: None, 8: None} | dict.fromkeys((14, 15, 16), "coco/000000000077") | dict.fromkeys((17, 18, 19, 20), "coco/000000000090")
     wanted = spark.createDataFrame([("train", 0.6), ("test", 0.4), ("none", 0.0), (None, 0.1)], "split string, target_share double")
     assigned = related_splits.assign_splits(grouped, wanted).collect()
-    assert sorted(r.record_id for r in assigned) == list(range(1, 14))
+    assert sorted(r.record_id for r in assigned) == list(range(1, 21))
     by_root = defaultdict(set)
     for r in assigned:
         by_root[r.root].add(r.new_split)
     assert all(len(s) == 1 for s in by_root.values())
     assert {s for x in by_root.values() for s in x} == {"train", "test"}
-    empty = related_splits.group_records(queries.linking_values(records()), queries.VALUES)
+    empty = related_splits.group_records(queries.linking_values(records()))
     assert related_splits.assign_splits(empty, wanted).count() == 0
 
 
@@ -283,6 +320,13 @@ def test_greedy_reaches_the_targets():
             for name, k in quotas[s]:
                 got[name] += s * k
         assert all(abs(got[name] - share * total) <= max(s for s, _ in sizes) for name, share in targets)
+        gap, one_by_one = {name: total * share for name, share in targets}, Counter()
+        for s, n in reversed(sizes):
+            for _ in range(n):
+                name = max(gap, key=gap.get)
+                gap[name] -= s
+                one_by_one[name, s] += 1
+        assert one_by_one == Counter({(name, s): k for s in quotas for name, k in quotas[s]})
 
 
 # ---------------------------------------------------------------- 6
@@ -343,8 +387,8 @@ def test_neighbours_decide_on_sentences(spark, records):
         got = defects(records, [*cut, *whole], common, **options)
         assert [got[a] for a in cut] == ["truncated"] * 4
         assert [a for a in whole if got[a]] == []
-    # Without their neighbours they are no case, but for the last one's hanging word.
-    assert [defects(records, cut[:3], common)[a] for a in cut[:3]] == ["truncated", None, None]
+    # Without whole ones beside them only a hanging word, and a word that another one completes, tell.
+    assert [defects(records, cut[:3], common)[a] for a in cut[:3]] == ["truncated", "truncated", None]
 
 
 def test_length_limits_decide(spark, records):
