@@ -19,6 +19,7 @@ CORPORA = {
     "grit": ("grounded_captioning",), "llava_pretrain": ("captioning",), "llava_instruct": ("chat",), "pope_adversarial": ("vqa",),
     "pope_popular": ("vqa",), "pope_random": ("vqa",), "vsr": ("image_text_match",), "nocaps": ("captioning",), "localized_narratives": ("captioning",),
 }
+#: The corpora of both stages. Fixed values.
 PRETRAINING = frozenset({"llava_pretrain"})
 INSTRUCTION_TUNING = frozenset(
     {"ai2d", "aok_vqa", "coco", "docvqa", "gqa", "grit", "infographics_vqa", "llava_instruct", "ocr_vqa", "refcoco", "refcoco_plus", "refcocog", "text_caps", "visual7w", "visual_genome", "vqa_v2", "vsr"}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE_SPACE = r"^\s+|\s+$"
+#: White space of all scripts: separators, and the control characters that count as such.
+_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+_EDGE_SPACE = rf"^{_SPACE}|{_SPACE}$"
 
 
 def strip(c: Column) -> Column:
@@ -40,10 +42,14 @@ def format_text(c: Column, *, strip_text: bool = True, capitalized: bool = True,
     return c
 
 
+#: The words that are left out. Fixed values.
+ARTICLES = ("a", "an", "the", "some")
+
+
 def remove_articles(c: Column) -> Column:
     """Without the words a, an, the and some; white space runs become one space."""
-    bare = F.regexp_replace(c, r"(?iU)\b(a|an|the|some)\b", "")
-    return strip(F.regexp_replace(bare, r"\s+", " "))
+    bare = F.regexp_replace(c, rf"(?iU)\b({'|'.join(ARTICLES)})\b", "")
+    return strip(F.regexp_replace(bare, _SPACE, " "))
 
 
 def span_phrase(c: Column, start: Column, end: Column) -> Column:

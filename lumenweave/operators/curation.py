@@ -61,9 +61,14 @@ def min_size(*sides: Column, least: int) -> Column:
     return ok
 
 
-def hash_split(df: DataFrame, identifier: str, *, share: float = 0.9, seed: int = 11, names: tuple[str, str] = ("train", "validation")) -> DataFrame:
-    """Adds ``new_split``: the first name for about ``share`` of the identifiers, by a seeded hash; disjoint by construction."""
-    bucket = F.pmod(seeded_hash(identifier, seed), F.lit(1_000_000))
+def hash_split(df: DataFrame, identifier: str, *, share: float = 0.9, seed: int = 11, names: tuple[str, str] = ("train", "validation"), portable: bool = False) -> DataFrame:
+    """Adds ``new_split``: the first name for about ``share`` of the identifiers, by a seeded hash; disjoint by construction.
+
+    ``portable`` takes the first 32 bits of the MD5 of ``seed:identifier``, which other engines can compute, too.
+    """
+    text = F.concat(F.lit(f"{seed}:"), F.col(identifier).cast("string"))
+    drawn = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") if portable else seeded_hash(identifier, seed)
+    bucket = F.pmod(drawn, F.lit(1_000_000))
     return df.withColumn("new_split", F.when(bucket < int(share * 1_000_000), names[0]).otherwise(names[1]))
 
 
@@ -90,6 +95,6 @@ def markup(caption: Column, spans: Column) -> Column:
 
 
 def running_offset(df: DataFrame, key: str, start: str, count: str) -> DataFrame:
-    """Adds ``offset``: the sum of the counts of the key's rows before this one, in order of start."""
+    """Adds ``offset``: the sum of the counts of the key's rows before this one, in order of start; one sorted pass over each key."""
     before = Window.partitionBy(key).orderBy(start).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("offset", F.sum(count).over(before) - F.col(count))

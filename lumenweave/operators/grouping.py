@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenweave.operators.ranking import ranged
+
 
 def majority_vote(df: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
     """``keys, winner, n``: the most frequent value; ties go to the one seen first."""
@@ -14,13 +16,26 @@ def majority_vote(df: DataFrame, keys: list[str], value: str, pos: str) -> DataF
 
 
 def run_groups(df: DataFrame, key: str, pos: str, partition: list[str] | None = None) -> DataFrame:
-    """Adds ``run_id``: a key that comes again after another one starts a new run.
+    """Adds ``run_id``: a key that comes again after another one starts a new run. The position must be unique.
 
-    Runs are counted within ``partition``; without one, the order is over the whole table, in one task.
+    Runs are counted within ``partition``. Without one the order is over the whole table: its ranges are cut into
+    runs apart, and the last key and the runs of each range, one row for each, tell where the next one goes on.
     """
-    order = Window.partitionBy(*(partition or [])).orderBy(pos)
-    changed = ~F.col(key).eqNullSafe(F.lag(key).over(order)) | (F.row_number().over(order) == 1)
-    return df.withColumn("_new", changed.cast("int")).withColumn("run_id", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    if partition:
+        order = Window.partitionBy(*partition).orderBy(pos)
+        changed = ~F.col(key).eqNullSafe(F.lag(key).over(order)) | (F.row_number().over(order) == 1)
+        return df.withColumn("_new", changed.cast("int")).withColumn("run_id", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    cut = ranged(df, [pos])
+    inside = Window.partitionBy("_part").orderBy(pos)
+    new = (F.row_number().over(inside) > 1) & ~F.col(key).eqNullSafe(F.lag(key).over(inside))
+    marked = cut.withColumn("_new", new.cast("int"))
+    ends = marked.groupBy("_part").agg(F.sum("_new").alias("_runs"), F.min_by(F.struct(key), pos).alias("_first"), F.max_by(F.struct(key), pos).alias("_last"))
+    parts = Window.orderBy("_part")  # one row for each range
+    before = F.lag("_last").over(parts)
+    starts = ends.select("_part", "_runs", (before.isNull() | ~F.col("_first").eqNullSafe(before)).cast("int").alias("_start"))
+    base = F.coalesce(F.sum(F.col("_runs") + F.col("_start")).over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_start")
+    counted = marked.withColumn("_within", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return counted.join(starts.select("_part", base.alias("_base")), "_part").select(*df.columns, (F.col("_base") + F.col("_within")).alias("run_id"))
 
 
 def ordered_list(value: str | Column, *order: str) -> Column:
@@ -51,7 +66,7 @@ def dominant_share(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def inverted_index(df: DataFrame, item: str, term: str) -> DataFrame:
-    """``term, items``: the distinct items of each term, sorted."""
+    """``term, items``: the distinct items of each term, sorted, as one list: for terms of bounded frequency. See ``packing.posting_lists``."""
     return df.select(term, item).distinct().groupBy(term).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 

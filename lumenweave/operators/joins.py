@@ -27,6 +27,15 @@ def hot_keys(counted: DataFrame, count: str, rows: int, *, hot_share: float = 1e
     return counted.filter(F.col(count) >= max(hot_rows, int(hot_share * rows))).drop(count)
 
 
+def split_hot(df: DataFrame, hot: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of hot keys (from ``hot_keys``) and the others; null keys equal each other."""
+    few = F.broadcast(hot.select(*[F.col(c).alias(f"_hot_{c}") for c in on]))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_hot_{c}"))
+    return df.join(few, same, "left_semi"), df.join(few, same, "left_anti")
+
+
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key; left rows of hot keys are not shuffled.
 
@@ -90,10 +99,21 @@ def positional_zip(left: DataFrame, right: DataFrame, left_pos: str, right_pos:
 
 
 def lookup_elements(ids: Column, table: Column) -> Column:
-    """Each id of an array replaced by its value in a map; null where it has none."""
+    """Each id of an array replaced by its value in a map of the row itself; null where it has none."""
     return F.transform(ids, lambda i: F.try_element_at(table, i))
 
 
+def lookup_in_table(df: DataFrame, keys: list[str], ids: str, table: DataFrame, id_column: str, value: str, name: str = "values") -> DataFrame:
+    """``keys, name``: the array's ids replaced, in order, by their values in a table with one row for each id; null where it has none.
+
+    ``keys`` identify a row. The table may have any size: ids are exploded, joined and collected again.
+    """
+    each = df.select(*keys, F.posexplode_outer(ids).alias("_place", "_id"))
+    found = each.join(table.select(F.col(id_column).alias("_id"), F.col(value).alias("_value")), "_id", "left")
+    listed = F.array_sort(F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_place", "_value"))))
+    return found.groupBy(*keys).agg(listed.alias("_l")).select(*keys, F.col("_l")["_value"].alias(name))
+
+
 def first_existing(df: DataFrame, candidates: list[Column], listing: DataFrame, path: str, *, required: bool = False) -> DataFrame:
     """Adds ``found_path``: the first candidate that the listing has. ``required`` fails on a row without one.
 

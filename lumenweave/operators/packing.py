@@ -2,26 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.operators.grouping import ordered_list
+from lumenweave.operators.joins import hot_keys, split_hot
 from lumenweave.operators.ranking import number_in_group, running_total
 
 
-def pack(df: DataFrame, keys: list[str], order: list[str], max_items: int, item: str | Column) -> DataFrame:
+#: Rows of one key that a window may number in one task; beyond it a key is numbered over range partitions.
+ROWS_A_KEY = 1_000_000
+
+
+def numbered_in_key(df: DataFrame, keys: list[str], order: list[str], name: str, *, rows_a_key: int | None = None) -> DataFrame:
+    """Adds ``name``: 1, 2, ... of each key's rows in the given order, which must be total.
+
+    One shuffle by key; only keys whose counted rows exceed ``rows_a_key`` take the way over range partitions.
+    """
+    limit = ROWS_A_KEY if rows_a_key is None else rows_a_key
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows, most = counted.agg(F.sum("_n"), F.max("_n")).first()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    if (most or 0) <= limit:
+        return df.withColumn(name, place)
+    hot, rest = split_hot(df, hot_keys(counted, "_n", rows, hot_share=0.0, hot_rows=limit + 1), keys)
+    return rest.withColumn(name, place).unionByName(number_in_group(hot, keys, order, name))
+
+
+def pack(df: DataFrame, keys: list[str], order: list[str], max_items: int, item: str | Column, *, rows_a_key: int | None = None) -> DataFrame:
     """``keys, chunk, items``: at most ``max_items`` items of a key in each chunk, in order.
 
-    Numbers come from range partitions, so a key that holds a large part of the rows is not numbered in one task;
-    the lists that are collected hold ``max_items`` items at most.
+    The lists that are collected hold ``max_items`` items at most. ``rows_a_key``: see ``numbered_in_key``.
     """
     value = F.col(item) if isinstance(item, str) else item
     narrow = df.select(*keys, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], value.alias("_v"))
-    numbered = number_in_group(narrow, keys, [f"_o{i}" for i in range(len(order))], "_n")
+    numbered = numbered_in_key(narrow, keys, [f"_o{i}" for i in range(len(order))], "_n", rows_a_key=rows_a_key)
     chunked = numbered.withColumn("chunk", F.floor((F.col("_n") - 1) / max_items))
     return chunked.groupBy(*keys, "chunk").agg(ordered_list("_v", "_n").alias("items"))
 
 
+def posting_lists(df: DataFrame, term: str, item: str, max_items: int) -> DataFrame:
+    """``term, chunk, items``: the distinct items of each term, sorted, in lists of at most ``max_items``, however frequent it is."""
+    return pack(df.select(term, item).distinct(), [term], [item], max_items, item)
+
+
 def array_chunks(items: Column, max_items: int) -> Column:
     """The array cut into arrays of at most ``max_items``; an empty array gives none."""
     starts = F.sequence(F.lit(0), F.size(items) - 1, F.lit(max_items))
@@ -48,5 +72,8 @@ def unpack_index(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 
 def repack(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """``key, first_pos, positions``: the positions of each key, with the place of its first for ordering."""
+    """``key, first_pos, positions``: the positions of each key as one list, with the place of its first for ordering; keys of bounded size.
+
+    ``posting_lists`` gives the positions of keys of any size in chunks.
+    """
     return df.groupBy(key).agg(F.min(pos).alias("first_pos"), F.array_sort(F.collect_list(pos)).alias("positions"))

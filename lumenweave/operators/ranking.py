@@ -53,7 +53,7 @@ def rank_in_group(df: DataFrame, group: list[str], identifier: str, *, seed: int
     return joined.select(*[ranked[c] for c in df.columns], (F.col("_rank") - 1 + F.col("_before")).cast("long").alias("rank"))
 
 
-def _ranged(df: DataFrame, order: list[str], rows: int | None) -> DataFrame:
+def ranged(df: DataFrame, order: list[str], rows: int | None = None) -> DataFrame:
     """Range partitions of the order with their number ``_part``; a hot key spreads over several of them.
 
     Written to the shared folder: ranges are sampled, so they must be drawn once for all that reads them, and stay after a loss.
@@ -68,11 +68,11 @@ def number_in_group(df: DataFrame, group: list[str], order: list[str], name: str
     Rows are partitioned by ranges of (group, order); a group's rows before a partition are counted, not collected.
     Null groups are one group. The order must be total for a result that does not depend on the partitioning.
     """
-    ranged = _ranged(df, [*group, *order], rows)
-    counts = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    cut = ranged(df, [*group, *order], rows)
+    counts = cut.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)))
+    numbered = cut.withColumn("_in", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)))
     condition = numbered["_part"] == offsets["_part"]
     for c in group:
         condition = condition & numbered[c].eqNullSafe(offsets[c])
@@ -85,10 +85,10 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str, *, row
 
     Sums by range partition give each partition's start; no task sees more than its own rows.
     """
-    ranged = _ranged(df, order, rows)
-    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_s"))
+    cut = ranged(df, order, rows)
+    sums = cut.groupBy("_part").agg(F.sum(value).alias("_s"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = sums.select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    summed = cut.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return summed.join(offsets, "_part").select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))

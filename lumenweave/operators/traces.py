@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ def tumbling_segment(t: Column, window: float) -> Column:
     return F.floor(t / window)
 
 
-def segment_times(times: list[float], window: float) -> list[list[int]]:
-    """The places of each segment of an ordered trace.
+def segment_starts(times: np.ndarray, window: float) -> tuple[np.ndarray, int]:
+    """``(first place of each segment, places used)`` of an ordered trace.
 
     A single point, or a trace that ends before the first window does, is one
     segment. Else windows are scanned one after another from the one after the
@@ -31,20 +33,30 @@ def segment_times(times: list[float], window: float) -> list[list[int]]:
     """
     n = len(times)
     if n == 0:
-        return []
+        return np.empty(0, np.int64), 0
     if n == 1 or times[-1] < window:
-        return [list(range(n))]
-    out: list[list[int]] = []
-    current, step = [0], int(times[0] // window) + 1
-    for i in range(1, n):
-        if times[i] <= step * window:
-            current.append(i)
+        return np.zeros(1, np.int64), n
+    starts, step, rising = [0], int(times[0] // window) + 1, bool((times[1:] >= times[:-1]).all())
+    at = 1
+    while True:
+        # The first place after the window's end; times that do not rise are looked through.
+        if rising:
+            at = max(at, int(np.searchsorted(times, step * window, side="right")))
         else:
-            out.append(current)
-            current, step = [i], step + 1
-    if len(current) > 1:
-        out.append(current)
-    return out
+            late = np.flatnonzero(times[at:] > step * window)
+            at = at + int(late[0]) if len(late) else n
+        if at >= n:
+            break
+        starts.append(at)
+        at, step = at + 1, step + 1
+    used = n - 1 if starts[-1] == n - 1 else n
+    return np.array(starts[:-1] if used < n else starts, np.int64), used
+
+
+def segment_times(times: list[float], window: float) -> list[list[int]]:
+    """The places of each segment; see ``segment_starts``."""
+    starts, used = segment_starts(np.asarray(times, float), window)
+    return [list(range(a, b)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), used], strict=True)] if len(starts) else []
 
 
 def segment_trace(df: DataFrame, key: str, points: str, window: float) -> DataFrame:
@@ -54,16 +66,37 @@ def segment_trace(df: DataFrame, key: str, points: str, window: float) -> DataFr
     """
     kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, trace in zip(batch["k"], batch["t"], strict=True):
-                for s, places in enumerate(segment_times([] if trace is None else list(trace), window)):
-                    rows += [(k, s, p) for p in places]
-            yield pd.DataFrame(rows, columns=[key, "segment", "place"])
+            lists = batch.column("t")
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            rows, segments, places = [], [], []
+            for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)):
+                starts, used = segment_starts(flat[offsets[i] : offsets[i + 1]], window)
+                sizes = np.diff(np.append(starts, used))
+                rows.append(np.full(used if len(starts) else 0, i))
+                segments.append(np.repeat(np.arange(len(starts)), sizes))
+                places.append(np.arange(used if len(starts) else 0))
+            if rows:
+                columns = [batch.column("k").take(pa.array(np.concatenate(rows))), *[pa.array(np.concatenate(x).astype(np.int32)) for x in (segments, places)]]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "segment", "place"])
 
     times = df.select(F.col(key).alias("k"), F.transform(points, lambda p: p["t"].cast("double")).alias("t"))
-    return times.mapInPandas(run, f"`{key}` {kind}, segment int, place int")
+    return times.mapInArrow(run, f"`{key}` {kind}, segment int, place int")
+
+
+def middle_places(times: Column, window: float) -> Column:
+    """For each trace of an array of arrays of times, the places of its segments' middle points, the later one of two."""
+
+    @F.pandas_udf("array<array<int>>")
+    def middles(batch: pd.Series) -> pd.Series:
+        def one(trace: np.ndarray | None) -> list[int]:
+            starts, used = segment_starts(np.asarray([] if trace is None else trace, float), window)
+            return (starts + np.diff(np.append(starts, used)) // 2).tolist() if len(starts) else []
+
+        return pd.Series([None if traces is None else [one(t) for t in traces] for traces in batch])
+
+    return middles(times)
 
 
 def midpoint(segment: Column) -> Column:

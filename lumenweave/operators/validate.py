@@ -43,7 +43,7 @@ def has_payload(task: Column, caption: Column, region: Column, qa_pairs: Column,
 
 
 def validate(df: DataFrame, rules: dict[str, Column], mode: str = "fail") -> DataFrame:
-    """``fail`` stops at a row that breaks a rule; ``flag`` adds ``broken_rules``; ``quarantine`` keeps only rows that break one, with it.
+    """``fail`` stops at a row that breaks a rule; ``skip`` leaves it out; ``flag`` adds ``broken_rules``; ``quarantine`` keeps only rows that break one, with it.
 
     A rule that is null for a row is broken.
     """
@@ -51,6 +51,8 @@ def validate(df: DataFrame, rules: dict[str, Column], mode: str = "fail") -> Dat
     flagged = df.withColumn("broken_rules", broken)
     if mode == "flag":
         return flagged
+    if mode == "skip":
+        return flagged.filter(F.size("broken_rules") == 0).drop("broken_rules")
     if mode == "quarantine":
         return flagged.filter(F.size("broken_rules") > 0)
     if mode != "fail":

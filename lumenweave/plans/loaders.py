@@ -4,6 +4,9 @@ Every loader takes DataFrames (see ``lumenweave.sources`` for reading them) and
 returns the nine columns of the record. Where files have an order that matters,
 the source has a position column, ``pos``. Answers are null where a split
 withholds them. Paths are built by a function of the picture's id.
+
+Where a source promises something of its rows (ten answers, two turns, whole boxes), ``mode``
+says what becomes of a row that breaks it: ``fail`` ends the query, ``skip`` leaves the row out.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions import boxes as B
 from lumenweave.functions.text import numbered_image, ocr_context, upper_first
-from lumenweave.operators import augment, curation, grouping, joins, packing, traces
+from lumenweave.operators import augment, curation, grouping, joins, packing, traces, validate
 from lumenweave.schema import pack_metadata, to_record
 
 PathOf = Callable[[Column], Column]
@@ -54,20 +57,36 @@ def _packed_questions(questions: DataFrame, keys: list[str], order: list[str], m
     return packed.select(*keys, "chunk", F.transform("items", lambda i: i["pair"]).alias("qa_pairs"), *[F.col("items")[k].alias(k) for k in details])
 
 
-def vqa_v2(questions: DataFrame, answers: DataFrame | None, path: PathOf, *, most: int = 20, source: str = "vqa_v2") -> DataFrame:
+def _in_runs(questions: DataFrame, key: str) -> DataFrame:
+    """Adds ``run_id``: the runs of one picture's questions in the order of ``pos``, the row's unique place in the file. Only keys and places are sorted."""
+    runs = grouping.run_groups(questions.select(F.col("pos").alias("_pos"), F.col(key).alias("_key")), "_key", "_pos")
+    return questions.join(runs.select(F.col("_pos").alias("pos"), "run_id"), "pos")
+
+
+#: How many annotators answered each question. Fixed value.
+ANNOTATORS = 10
+
+
+def _ten(answers: Column) -> dict[str, Column]:
+    return {"ten_answers": validate.exactly(answers, ANNOTATORS)}
+
+
+def vqa_v2(questions: DataFrame, answers: DataFrame | None, path: PathOf, *, most: int = 20, source: str = "vqa_v2", mode: str = "fail") -> DataFrame:
     """Runs of questions of one picture, at most ``most`` in a record; the answer is the annotators' vote.
 
-    Without answers, as in test splits, every question is a record.
+    ``questions`` has ``pos``, its place in the file: a picture that comes again after another one starts a new record.
+    A question needs ten answers. Without answers, as in test splits, every question is a record.
     """
     if answers is None:
         rows = questions.select("image_id", "question_id", F.array(_pair(F.col("question"), _no_answer())).alias("qa_pairs"))
         meta = pack_metadata(image_id=F.col("image_id"), question_ids=F.array("question_id"), image_path=path(F.col("image_id")))
         return to_record(rows, task=F.lit("vqa"), source=F.lit(source), image=_image(path(F.col("image_id"))), qa_pairs=F.col("qa_pairs"), metadata=meta)
-    last = answers.select("question_id", "question_type", "answer_type", F.transform("answers", lambda a: a["answer"]).alias("answers"))
-    joined = joins.enforced_join(questions, last, ["question_id"])
-    runs = grouping.run_groups(joined, "image_id", "pos", ["image_id"]) if "run_id" not in joined.columns else joined
+    sound = validate.validate(answers, _ten(F.col("answers")), mode)
+    last = sound.select("question_id", "question_type", "answer_type", F.transform("answers", lambda a: a["answer"]).alias("answers"))
+    known = questions if mode == "fail" else joins.semi_join(questions, last, ["question_id"])
+    joined = joins.enforced_join(_in_runs(known, "image_id"), last, ["question_id"])
     packed = _packed_questions(
-        runs, ["image_id", "run_id"], ["pos"], most, _pair(F.col("question"), _vote(F.col("answers"))),
+        joined, ["image_id", "run_id"], ["pos"], most, _pair(F.col("question"), _vote(F.col("answers"))),
         question_ids=F.col("question_id"), question_types=F.col("question_type"), answer_types=F.col("answer_type"), answers=F.col("answers"),
     )
     p = path(F.col("image_id"))
@@ -86,17 +105,18 @@ def gqa(questions: DataFrame, path: PathOf, *, short: bool = True, balanced: boo
 
 
 def _run_vqa(questions: DataFrame, key: str, source: str, path: PathOf, *, most: int | None, raised: bool, details: list[str]) -> DataFrame:
-    """Questions of one picture in file order with voted answers; a null list of answers gives null."""
+    """Runs of questions of one picture in file order with voted answers; a null list of answers gives null."""
     question = upper_first(F.col("question")) if raised else F.col("question")
-    packed = _packed_questions(questions, [key], ["pos"], most, _pair(question, _vote(F.col("answers"))), **{d: F.col(d) for d in details}, answers=F.col("answers"))
+    packed = _packed_questions(_in_runs(questions, key), [key, "run_id"], ["pos"], most, _pair(question, _vote(F.col("answers"))), **{d: F.col(d) for d in details}, answers=F.col("answers"))
     p = path(F.col(key))
     meta = pack_metadata(**{d: F.col(d) for d in details}, answers=F.col("answers"), image_path=p)
     return to_record(packed, task=F.lit("vqa"), source=F.lit(source), image=_image(p), qa_pairs=F.col("qa_pairs"), metadata=meta)
 
 
-def text_vqa(questions: DataFrame, ocr: DataFrame, path: PathOf, *, most: int | None = None) -> DataFrame:
-    """``ocr``: ``image_id, ocr_info, pos``; the last row of a picture counts."""
-    joined = joins.last_wins_join(questions, ocr.withColumnRenamed("pos", "ocr_pos"), ["image_id"], "ocr_pos")
+def text_vqa(questions: DataFrame, ocr: DataFrame, path: PathOf, *, most: int | None = None, mode: str = "fail") -> DataFrame:
+    """``ocr``: ``image_id, ocr_info, pos``; the last row of a picture counts. Ten answers, or none where they are withheld."""
+    withheld = {name: F.col("answers").isNull() | rule for name, rule in _ten(F.col("answers")).items()}
+    joined = joins.last_wins_join(validate.validate(questions, withheld, mode), ocr.withColumnRenamed("pos", "ocr_pos"), ["image_id"], "ocr_pos")
     return _run_vqa(joined, "image_id", "text_vqa", path, most=most, raised=False, details=["question_id", "ocr_info"])
 
 
@@ -136,9 +156,10 @@ def coco(images: DataFrame, split: str, path: PathOf) -> DataFrame:
 OCR_VQA_SPLITS = {"train": 1, "validation": 2, "test": 3}
 
 
-def ocr_vqa(books: DataFrame, keep: DataFrame, split: str, path: PathOf) -> DataFrame:
-    """Covers whose url is unique and whose picture is kept; ``keep``: ``image_url, keep``. A url without an entry fails."""
-    once = grouping.unique_only(books.filter(F.col("split") == OCR_VQA_SPLITS[split]), ["image_url"])
+def ocr_vqa(books: DataFrame, keep: DataFrame, split: str, path: PathOf, *, mode: str = "fail") -> DataFrame:
+    """Covers whose url is unique and whose picture is kept; ``keep``: ``image_url, keep``. A url without an entry fails. As many answers as questions."""
+    sound = validate.validate(books, {"same_length": validate.same_length(F.col("questions"), F.col("answers"))}, mode)
+    once = grouping.unique_only(sound.filter(F.col("split") == OCR_VQA_SPLITS[split]), ["image_url"])
     kept = joins.enforced_join(once, keep, ["image_url"]).filter("keep").filter(F.size("questions") > 0)
     pairs = F.transform(augment.zipped(F.col("questions"), F.col("answers")), lambda z: _pair(z["a"], z["b"]))
     p = path(F.col("id"))
@@ -211,12 +232,13 @@ def visual7w(images: DataFrame, split: str, path: PathOf, *, boxes: DataFrame |
     return to_record(out.join(listed, ["image_id", "slot", "chunk"]), task=F.lit("grounded_multiple_choice_vqa"), region=regions, metadata=meta, **common)
 
 
-def refcoco(images: DataFrame, regions: DataFrame, expressions: DataFrame, split: str, path: PathOf, *, source: str = "refcoco", task: str = "visual_grounding") -> DataFrame:
-    """Regions with their last expression, all of a picture in one record; each alone in test splits.
+def refcoco(images: DataFrame, regions: DataFrame, expressions: DataFrame, split: str, path: PathOf, *, source: str = "refcoco", task: str = "visual_grounding", mode: str = "fail") -> DataFrame:
+    """Regions with their last expression, all of a picture in one record; each alone in test splits. A box has four coordinates, none negative.
 
     ``regions``: ``annotation_id, image_id, x, y, w, h, pos``; ``expressions``: ``annotation_id, sentence, pos``.
     """
-    named = joins.last_wins_join(regions, expressions.withColumnRenamed("pos", "said"), ["annotation_id"], "said")
+    whole = validate.validate(regions, {"valid_box": validate.valid_box(F.array("x", "y", "w", "h"))}, mode)
+    named = joins.last_wins_join(whole, expressions.withColumnRenamed("pos", "said"), ["annotation_id"], "said")
     box = B.xywh_to_xyxy(F.array("x", "y", "w", "h")).cast("array<float>")
     region = F.struct(box.alias("bbox"), F.col("sentence").alias("phrase"), F.col("annotation_id").alias("id"))
     listed = named.groupBy("image_id").agg(grouping.ordered_list(region, "pos").alias("region"))
@@ -279,14 +301,16 @@ def visual_genome_relations(images: DataFrame, validation_ids: DataFrame, split:
     return to_record(rows, task=F.lit("relationship_detection"), source=F.lit("visual_genome"), image=_image(p), relation=F.col("items"), metadata=meta)
 
 
-def grit(pictures: DataFrame, *, least_side: int | None = None) -> DataFrame:
+def grit(pictures: DataFrame, *, least_side: int | None = None, mode: str = "fail") -> DataFrame:
     """``path, caption, width, height, original_width, original_height, noun_chunks, url``; chunks are (start, end, x1, y1, x2, y2, ...).
 
-    Regions and the caption's placeholders are numbered by the same sorted spans. Overlapping spans are not for this loader.
+    Regions and the caption's placeholders are numbered by the same sorted spans. Distinct spans of a caption may not overlap.
     """
     kept = pictures if least_side is None else pictures.filter(curation.min_size(F.col("width"), F.col("height"), F.col("original_width"), F.col("original_height"), least=least_side))
     chunks = F.transform("noun_chunks", lambda c: F.struct(c[0].cast("int").alias("start"), c[1].cast("int").alias("end"), c[2].alias("x1"), c[3].alias("y1"), c[4].alias("x2"), c[5].alias("y2")))
-    rows = kept.filter(F.size("noun_chunks") > 0).withColumn("_c", chunks)
+    spans = F.array_sort(F.array_distinct(F.transform("_c", lambda c: F.struct(c["start"], c["end"]))))
+    apart = F.forall(F.transform(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1)["end"] <= s["start"])), lambda ok: ok)
+    rows = validate.validate(kept.filter(F.size("noun_chunks") > 0).withColumn("_c", chunks), {"spans_apart": apart}, mode)
     regions = augment.regions_from_chunks(F.col("_c"), F.col("caption"), F.col("width"), F.col("height"))
     plain = F.transform(regions, lambda r: F.struct(r["bbox"].cast("array<float>").alias("bbox"), r["phrase"].alias("phrase")))
     marked = curation.markup(F.col("caption"), F.transform("_c", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
@@ -295,15 +319,16 @@ def grit(pictures: DataFrame, *, least_side: int | None = None) -> DataFrame:
     return to_record(rows, task=F.lit("grounded_captioning"), source=F.lit("grit"), image=_image(F.col("path")), caption=F.col("_marked"), region=F.col("_regions"), metadata=meta)
 
 
-def llava_pretrain(annotations: DataFrame, details: DataFrame, path: PathOf) -> DataFrame:
+def llava_pretrain(annotations: DataFrame, details: DataFrame, path: PathOf, *, mode: str = "fail") -> DataFrame:
     """Two files side by side by position: ``annotations`` (id, image, conversations, pos), ``details`` (id, image, url, pos).
 
-    Ids and pictures must agree. The first model turn is the caption, the first human turn the prompt.
+    Ids and pictures must agree, and a conversation has a human turn and a model turn. The first model turn is the caption, the first human turn the prompt.
     """
     right = details.select(F.col("pos").alias("right_pos"), "id", "image", "url")
     both = joins.positional_zip(annotations, right, "pos", "right_pos", check=["id", "image"])
     said = lambda who: F.get(F.filter("conversations", lambda t: t["role"] == who), F.lit(0))["text"]
-    rows = both.withColumn("caption", said("gpt")).withColumn("prompt", said("human"))
+    sound = validate.validate(both, {"two_turns": validate.two_turns(F.col("conversations"))}, mode)
+    rows = sound.withColumn("caption", said("gpt")).withColumn("prompt", said("human"))
     return _caption(rows, "llava_pretrain", path(F.col("image")), F.col("caption"), id=F.col("id"), url=F.col("url"), prompt=F.col("prompt"))
 
 
@@ -314,8 +339,9 @@ def llava_instruct(conversations: DataFrame, path: PathOf) -> DataFrame:
     return to_record(conversations, task=F.lit("chat"), source=F.lit("llava_instruct"), image=_image(p), chat=chat, metadata=pack_metadata(id=F.col("id"), image_path=p))
 
 
-def pope(questions: DataFrame, kind: str, path: PathOf) -> DataFrame:
-    """The label stays in the metadata: it is what is to be predicted."""
+def pope(questions: DataFrame, kind: str, path: PathOf, *, mode: str = "fail") -> DataFrame:
+    """The label, yes or no, stays in the metadata: it is what is to be predicted."""
+    questions = validate.validate(questions, {"label": validate.one_of(F.col("label"), "yes", "no")}, mode)
     p = path(F.col("image"))
     meta = pack_metadata(question_id=F.col("question_id"), answer=F.col("label"), image_path=p)
     return to_record(questions, task=F.lit("vqa"), source=F.lit(f"pope_{kind}"), image=_image(p), qa_pairs=F.array(_pair(F.col("text"), _no_answer())), metadata=meta)
@@ -338,18 +364,8 @@ def localized_narratives(rows: DataFrame, path: PathOf, *, window: float = 0.4)
 
     Narratives without traces go; a trace without points stays empty.
     """
-    keyed = rows.filter(F.size("traces") > 0).withColumn("_key", F.to_json(F.struct("image_id", "caption")))
-    scaled = keyed.withColumn("_scaled", F.transform("traces", lambda t: traces.clamp_scale(t, F.col("width"), F.col("height"))))
-    each = scaled.select("_key", F.posexplode("_scaled").alias("_trace", "_points")).withColumn("_id", F.concat_ws("#", F.col("_trace").cast("string"), "_key"))
-    placed = traces.segment_trace(each, "_id", "_points", window)
-    middle = placed.groupBy("_id", "segment").agg(traces.midpoint(F.array_sort(F.collect_set("place"))).alias("place"))
-    of_trace = middle.groupBy("_id").agg(F.array_sort(F.collect_list("place")).alias("_places"))
-    number, key = F.substring_index("_id", "#", 1).cast("int"), F.expr("substring(_id, locate('#', _id) + 1)")
-    chosen = of_trace.groupBy(key.alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct(number.alias("k"), "_places"))).alias("_kept"))
-    out = scaled.join(chosen, "_key", "left")
-
-    def thinned(points: Column, k: Column) -> Column:
-        return F.transform(F.coalesce(F.try_element_at("_kept", k), F.array().cast("array<int>")), lambda i: F.get(points, i))
-
-    out = out.withColumn("traces_downsampled", F.transform("_scaled", thinned))
+    scaled = rows.filter(F.size("traces") > 0).withColumn("_scaled", F.transform("traces", lambda t: traces.clamp_scale(t, F.col("width"), F.col("height"))))
+    out = scaled.withColumn("_kept", traces.middle_places(F.transform("_scaled", lambda t: F.transform(t, lambda p: p["t"].cast("double"))), window))
+    thinned = F.transform("_scaled", lambda points, k: F.transform(F.get("_kept", k), lambda i: F.get(points, i)))
+    out = out.withColumn("traces_downsampled", thinned)
     return _caption(out, "localized_narratives", path(F.col("image_id")), F.col("caption"), image_id=F.col("image_id"), traces_downsampled=F.col("traces_downsampled"), traces=F.col("traces"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenweave import sources, streaming
-from lumenweave.plans import evaluators, loaders
+from lumenweave.functions.text import format_bbox
+from lumenweave.plans import evaluators, loaders, sequence_queries
 from lumenweave.storage import new_path, read_tables
 
 from .registry import Registry
@@ -29,11 +30,13 @@ def _vqa(spark, folder):
 
 @q(
     "load_vqa_v2",
-    f"""WITH {_ANSWERED}, n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY question_id) - 1 AS k FROM q)
-    SELECT 'coco/' || lpad(image_id::VARCHAR, 12, '0') || '.jpg' AS path, count(*)::INTEGER AS n_pairs, string_agg(question, '|' ORDER BY question_id) AS questions FROM n GROUP BY image_id, k // 20""",
+    f"""WITH {_ANSWERED}, r AS (SELECT *, sum(new) OVER (ORDER BY question_id, question) AS run FROM (SELECT *, CASE WHEN image_id IS DISTINCT FROM lag(image_id) OVER (ORDER BY question_id, question) THEN 1 ELSE 0 END AS new FROM q)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY image_id, run ORDER BY question_id, question) - 1 AS k FROM r)
+    SELECT 'coco/' || lpad(image_id::VARCHAR, 12, '0') || '.jpg' AS path, count(*)::INTEGER AS n_pairs, string_agg(question, '|' ORDER BY question_id, question) AS questions FROM n GROUP BY image_id, run, k // 20""",
 )
 def _(spark, folder):
-    r = loaders.vqa_v2(*_vqa(spark, folder), loaders.coco_path("coco"))
+    """Questions in the order of their numbers; a picture that comes again after another one has a new record."""
+    r = loaders.vqa_v2(*_vqa(spark, folder), loaders.coco_path("coco"), mode="skip")
     return r.select("image.path", F.size("qa_pairs").alias("n_pairs"), F.array_join(F.col("qa_pairs")["question"], "|").alias("questions"))
 
 
@@ -137,7 +140,100 @@ def _(spark, folder):
     return evaluators.evaluate_boxes(truth, predictions, on="region_id", threshold=0.1)
 
 
-@q("evaluate_captions")  # n-gram overlap; tested on small cases
+@q(
+    "evaluate_text_vqa",
+    """WITH d AS (SELECT question_id, min(multiple_choice_answer) AS p, arg_min(answers, s) AS answers FROM (SELECT DISTINCT question_id, multiple_choice_answer, answers, CAST(list_transform(answers, lambda x: x.answer) AS VARCHAR) AS s FROM vqa_annotations WHERE answers IS NOT NULL) GROUP BY question_id)
+    SELECT round(avg(least(1.0, round(0.3 * len(list_filter(answers, lambda a: a.answer = lower(p))), 1))) * 100, 5) AS score, count(*) AS n FROM d""",
+)
+def _(spark, folder):
+    """Soft votes to five digits, on predictions with text after the end mark."""
+    (a,) = read_tables(spark, folder, "vqa_annotations")
+    said = F.transform("answers", lambda x: x["answer"])
+    d = a.filter("answers IS NOT NULL").groupBy("question_id").agg(F.min("multiple_choice_answer").alias("p"), F.min_by(said, F.to_json(said)).alias("answers"))
+    predictions = d.select("question_id", F.concat(F.coalesce("p", F.lit("?")), F.lit(".<|endoftext|>and more")).alias("prediction"))
+    return evaluators.evaluate_soft_votes(d.select("question_id", "answers"), predictions, digits=5)
+
+
+@q(
+    "prompt_with_words",
+    f"""WITH {_ONCE} SELECT record_id, 'Answer the question using a single word or phrase.' || chr(10) || 'OCR text:' || chr(10) || 'one two' || chr(10) || 'Question: ' || f || chr(10) || 'Answer: ' AS prompt
+    FROM (SELECT record_id, CASE WHEN regexp_matches(c, '[.?!]$') THEN c ELSE c || '.' END AS f FROM (SELECT record_id, upper(left(t, 1)) || lower(substr(t, 2)) AS c FROM (SELECT record_id, regexp_replace(qa_pairs[1].question, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS t FROM once WHERE qa_pairs[1].question IS NOT NULL)))""",
+)
+def _(spark, folder):
+    """The prompt of a question about a picture with words read from it."""
+    (r,) = read_tables(spark, folder, "records")
+    rows = r.dropDuplicates(["record_id"]).withColumn("q", F.get("qa_pairs", F.lit(0))["question"]).filter("q IS NOT NULL")
+    return rows.select("record_id", evaluators.prompt_vqa(F.col("q"), ocr_words=F.array(F.lit("one"), F.lit("two"))).alias("prompt"))
+
+
+@q(
+    "evaluate_true_false",
+    f"""WITH {_ONCE}, l AS (SELECT record_id, TRY_CAST(json_extract(metadata, '$.label') AS INTEGER) AS y, caption LIKE '%inside%' AS p FROM once WHERE task = 'image_text_match' AND json_valid(metadata) AND caption IS NOT NULL),
+    c AS (SELECT count(*) FILTER (p AND y = 1) AS tp, count(*) FILTER (p AND y = 0) AS fp, count(*) FILTER (NOT p AND y = 0) AS tn, count(*) FILTER (NOT p AND y = 1) AS fn FROM l)
+    SELECT (tp + tn) / (tp + fp + tn + fn) AS accuracy, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, (tp + fp) / (tp + fp + tn + fn) AS yes_share FROM c""",
+)
+def _(spark, folder):
+    """Captions true or false of a picture: the label's case counts, what follows the closing stop does not."""
+    (r,) = read_tables(spark, folder, "records")
+    label = F.from_json("metadata", "struct<label:int,_bad:string>", {"columnNameOfCorruptRecord": "_bad"})
+    rows = r.filter("task = 'image_text_match' AND caption IS NOT NULL").dropDuplicates(["record_id"]).withColumn("l", label).filter("l._bad IS NULL")
+    said = F.when(F.contains("caption", F.lit("inside")), "True").otherwise("False")
+    predictions = rows.select("record_id", F.concat(said, F.lit(".<|endoftext|>so")).alias("prediction"))
+    return evaluators.evaluate_yes_no(rows.select("record_id", F.col("l.label").alias("label")), predictions, "False", on="record_id", how="cased")
+
+
+@q(
+    "evaluate_box_choices",
+    f"""WITH {_ONCE}, e AS (SELECT record_id, len(region) AS n FROM once WHERE task = 'visual_grounding' AND len(region) BETWEEN 1 AND 20)
+    SELECT round(avg(CASE WHEN record_id % n = 1 THEN 1.0 ELSE 0.0 END) * 100, 2) AS accuracy FROM e""",
+)
+def _(spark, folder):
+    """Boxes to choose from by letter: the prompt lists them, the prediction's first segment is a letter."""
+    (r,) = read_tables(spark, folder, "records")
+    rows = r.filter("task = 'visual_grounding' AND size(region) BETWEEN 1 AND 20").dropDuplicates(["record_id"])
+    boxes = F.transform("region", lambda b: format_bbox(F.transform(b["bbox"], lambda v: v.cast("double"))))
+    asked = rows.select("record_id", F.pmod("record_id", F.size("region")).cast("int").alias("correct"), evaluators.prompt_choices(F.lit("which one?"), boxes, capitalized=False).alias("prompt"))
+    # The second letter, which only stands for a choice where there are two.
+    predictions = asked.select("record_id", F.concat(F.lit("B. "), F.coalesce(F.substring("prompt", 1, 3), F.lit("")), F.lit("<|endoftext|>")).alias("prediction"))
+    return evaluators.evaluate_letters(asked.select("record_id", "correct"), predictions, on="record_id")
+
+
+#: As caption_overlap; line breaks are taken out of the candidate first.
+_SCORES = (
+    sequence_queries.OVERLAP.replace("caption FROM once", "caption, 0 AS side FROM once", 1)
+    .replace("), w AS (", " UNION ALL SELECT record_id, image.path, replace(caption, chr(10), ''), 1 FROM once WHERE task = 'captioning' AND caption IS NOT NULL AND image.path IS NOT NULL), w AS (", 1)
+    .replace("USING (record_id))", "USING (record_id) WHERE side = 1)").replace("JOIN g USING (path)", "JOIN g USING (path) WHERE side = 0")
+    + " SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, count(*) AS n FROM o"
+)
+
+
+def _references(spark, folder):
+    (r,) = read_tables(spark, folder, "records")
+    return r.filter("task = 'captioning' AND caption IS NOT NULL").dropDuplicates(["record_id"]).select(F.col("image")["path"].alias("image_id"), "record_id", "caption").filter("image_id IS NOT NULL")
+
+
+@q("evaluate_nocaps", _SCORES)
+def _(spark, folder):
+    """References come from the metadata of whole records of the loader."""
+    rows = _references(spark, folder)
+    images = rows.groupBy("image_id").agg(F.array_sort(F.collect_list("caption")).alias("annotations_captions"))
+    made = loaders.nocaps(images.select("image_id", F.col("image_id").alias("image_file_name"), F.lit("u").alias("image_coco_url"), "annotations_captions"), loaders.in_folder("p"))
+    read = F.from_json("metadata", "struct<image_id:string,captions:array<string>>")
+    references = made.select(read.alias("m")).select("m.image_id", F.explode("m.captions").alias("reference"))
+    predictions = rows.groupBy("image_id").agg(F.concat(F.min_by("caption", "record_id"), F.lit("<|endoftext|>")).alias("prediction"))
+    return evaluators.evaluate_captions(references, predictions)
+
+
+@q("evaluate_text_caps", _SCORES)
+def _(spark, folder):
+    """References listed by picture in the order in which they come."""
+    rows = _references(spark, folder)
+    listed = evaluators.references_by_picture(rows, "image_id", "record_id")
+    predictions = rows.groupBy("image_id").agg(F.concat(F.min_by("caption", "record_id"), F.lit("<|endoftext|>more")).alias("prediction"))
+    return evaluators.evaluate_captions(listed.select("image_id", F.explode("references").alias("reference")), predictions)
+
+
+@q("evaluate_captions", _SCORES)
 def _(spark, folder):
     (r,) = read_tables(spark, folder, "records")
     rows = r.filter("task = 'captioning' AND caption IS NOT NULL").dropDuplicates(["record_id"]).select(F.col("image")["path"].alias("image_id"), "record_id", "caption").filter("image_id IS NOT NULL")
@@ -165,8 +261,11 @@ def _(spark, folder):
 
 @q("status_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
 def _(spark, folder):
-    orders = sources.read_parquet(spark, f"{folder}/orders.parquet", ignore_corrupt=True)
-    return orders.filter(F.col("o_orderstatus") == "F").select("o_orderkey")
+    """The status filter of the Parquet source, which reaches the scan."""
+    (orders,) = read_tables(spark, folder, "orders")
+    path = new_path(spark, "by-status")
+    sources.write_records(orders.select("o_orderkey", F.col("o_orderstatus").alias("status")), path, partitions=())
+    return sources.read_parquet(spark, path, status="F", ignore_corrupt=True).select("o_orderkey")
 
 
 @q("listed_files")  # names differ with the folder

@@ -101,11 +101,12 @@ def _(spark, folder):
     return _records(spark, folder, "source").filter("source <> 'docvqa'").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("short_or_full", "SELECT p_partkey, p_brand AS answer FROM part")
+@q("short_or_full", "SELECT p_partkey, 'short' AS arm, p_brand AS answer FROM part UNION ALL SELECT p_partkey, 'full', p_name FROM part")
 def _(spark, folder):
+    """One column or another by configuration; both arms."""
     (p,) = read_tables(spark, folder, "part")
-    short = True
-    return p.select("p_partkey", F.when(F.lit(short), F.col("p_brand")).otherwise(F.col("p_name")).alias("answer"))
+    arms = [p.select("p_partkey", F.lit("short" if short else "full").alias("arm"), F.when(F.lit(short), F.col("p_brand")).otherwise(F.col("p_name")).alias("answer")) for short in (True, False)]
+    return joins.union_all(arms)
 
 
 @q(
@@ -140,8 +141,10 @@ def _(spark, folder):
     JOIN (SELECT DISTINCT question_id, multiple_choice_answer FROM vqa_annotations) a ON q.question_id = a.question_id""",
 )
 def _(spark, folder):
+    """Every question that must have an answer, with it; one without would fail."""
     questions, answers = read_tables(spark, folder, "vqa_questions", "vqa_annotations")
-    return questions.select("question_id", "question").distinct().join(answers.select("question_id", "multiple_choice_answer").distinct(), "question_id")
+    asked = joins.semi_join(questions.select("question_id", "question").distinct(), answers, ["question_id"])
+    return joins.enforced_join(asked, answers.select("question_id", "multiple_choice_answer").distinct(), ["question_id"])
 
 
 @q("questions_without_answer", "SELECT DISTINCT question_id FROM vqa_questions q WHERE NOT EXISTS (SELECT 1 FROM vqa_annotations a WHERE a.question_id = q.question_id)")
@@ -231,12 +234,16 @@ def _(spark, folder):
     return rows.select("l_orderkey", F.col("pos").cast("long").alias("pos"), "z.a", "z.b")
 
 
-@q("lookup_elements", "SELECT n_nationkey, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+@q(
+    "lookup_elements",
+    "SELECT o_orderkey, a.c_name || '/' || coalesce(b.c_name, '-') AS names FROM orders LEFT JOIN customer a ON o_custkey = a.c_custkey LEFT JOIN customer b ON o_custkey + 7 = b.c_custkey",
+)
 def _(spark, folder):
-    n, r = read_tables(spark, folder, "nation", "region")
-    table = F.create_map(*[F.lit(x) for row in r.select("r_regionkey", "r_name").collect() for x in row])  # a fixed table of five regions
-    looked = n.select("n_nationkey", joins.lookup_elements(F.array("n_regionkey"), table).alias("x"))
-    return looked.select("n_nationkey", F.get("x", F.lit(0)).alias("r_name"))
+    """Ids of an array looked up in a table of any size, their order kept."""
+    o, c = read_tables(spark, folder, "orders", "customer")
+    listed = o.select("o_orderkey", F.array("o_custkey", F.col("o_custkey") + 7).alias("ids"))
+    found = joins.lookup_in_table(listed, ["o_orderkey"], "ids", c, "c_custkey", "c_name", "names")
+    return found.select("o_orderkey", F.array_join(F.transform("names", lambda n: F.coalesce(n, F.lit("-"))), "/").alias("names"))
 
 
 @q("position_lookup", "SELECT p_partkey, list_position(['ECONOMY', 'STANDARD', 'PROMO'], p_type)::BIGINT AS place FROM part WHERE p_type IN ('ECONOMY', 'STANDARD', 'PROMO')")
@@ -272,6 +279,17 @@ def _(spark, folder):
     return runs.groupBy("l_orderkey", "l_returnflag", "run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@q(
+    "run_group_whole",
+    """WITH m AS (SELECT *, CASE WHEN o_orderpriority IS DISTINCT FROM lag(o_orderpriority) OVER (ORDER BY o_orderkey) THEN 1 ELSE 0 END AS new FROM orders)
+    SELECT o_orderkey, o_orderpriority, (sum(new) OVER (ORDER BY o_orderkey))::BIGINT AS run_id FROM m""",
+)
+def _(spark, folder):
+    """Runs over the order of the whole table."""
+    (o,) = read_tables(spark, folder, "orders")
+    return grouping.run_groups(o.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey")
+
+
 @q("group_collect", f"WITH {_LINES} SELECT l_orderkey, string_agg(l_returnflag, '' ORDER BY pos) AS flags FROM lines GROUP BY l_orderkey")
 def _(spark, folder):
     got = grouping.group_collect(_lines(spark, folder), ["l_orderkey"], "l_returnflag", "pos")
@@ -299,6 +317,17 @@ def _(spark, folder):
     return got.select("phrase", F.size("items").cast("long").alias("n_items"), F.array_join("items", " ").alias("items"))
 
 
+@q(
+    "posting_lists",
+    f"""WITH {_PHRASES}, d AS (SELECT DISTINCT phrase, item FROM p WHERE item IS NOT NULL AND phrase IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY item) - 1 AS k FROM d)
+    SELECT phrase, k // 4 AS chunk, string_agg(item, ' ' ORDER BY item) AS items FROM n GROUP BY phrase, k // 4""",
+)
+def _(spark, folder):
+    """The inverted index in lists of bounded length."""
+    got = packing.posting_lists(_phrases(spark, folder).filter("item IS NOT NULL AND phrase IS NOT NULL"), "phrase", "item", 4)
+    return got.select("phrase", "chunk", F.array_join("items", " ").alias("items"))
+
+
 @q("phrase_frequency", f"WITH {_PHRASES} SELECT phrase, count(*) AS n FROM p GROUP BY phrase")
 def _(spark, folder):
     return curation.phrase_frequency(_phrases(spark, folder), "phrase", "shard", "item")
@@ -520,10 +549,10 @@ def _(spark, folder):
     return o.select("o_orderkey", "o_custkey", h.alias("h")).withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy("h")).cast("long")).drop("o_custkey")
 
 
-@q("hash_split")  # a seeded hash of Spark's own; the shares are tested
+@q("hash_split", "SELECT o_orderkey, CASE WHEN ('0x' || substr(md5('11:' || o_orderkey), 1, 8))::BIGINT % 1000000 < 900000 THEN 'train' ELSE 'validation' END AS new_split FROM orders")
 def _(spark, folder):
     (o,) = read_tables(spark, folder, "orders")
-    return curation.hash_split(o.select("o_orderkey"), "o_orderkey")
+    return curation.hash_split(o.select("o_orderkey"), "o_orderkey", portable=True)
 
 
 @q("template_choice", "SELECT p_partkey, (['first', 'second', 'third'])[p_partkey % 3 + 1] AS template FROM part")

@@ -377,7 +377,15 @@ def _(spark, folder):
     return metrics.shifted_labels(o.select("o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey", "o_orderkey", "o_orderpriority")
 
 
-@q("caption_overlap")  # n-gram overlap; tested on small cases
+#: Distinct pairs of words of a text, as metrics.caption_overlap takes them; a text of one word is itself.
+_PAIRS = r"""w AS (SELECT *, string_split(trim(regexp_replace(lower(caption), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM k),
+g AS (SELECT *, list_distinct(list_transform(range(0, greatest(len(w) - 2, 0) + 1), lambda i: array_to_string(w[i + 1 : i + 2], ' '))) AS g FROM w)"""
+OVERLAP = f"""WITH {_ONCE}, k AS (SELECT record_id, image.path AS path, caption FROM once WHERE task = 'captioning' AND caption IS NOT NULL AND image.path IS NOT NULL), {_PAIRS},
+c AS (SELECT path, g AS c FROM g JOIN (SELECT min(record_id) AS record_id FROM k GROUP BY path) USING (record_id)),
+o AS (SELECT path, max(len(list_intersect(c, g)) / len(c)) AS precision, max(len(list_intersect(c, g)) / len(g)) AS recall FROM c JOIN g USING (path) GROUP BY path)"""
+
+
+@q("caption_overlap", OVERLAP + " SELECT path, precision, recall FROM o")
 def _(spark, folder):
     r = _records(spark, folder, "task", "caption", "image").filter("task = 'captioning' AND caption IS NOT NULL")
     keyed = r.select(F.col("image")["path"].alias("path"), "record_id", "caption").filter("path IS NOT NULL")
@@ -386,7 +394,15 @@ def _(spark, folder):
     return metrics.caption_overlap(candidate, keyed.select("path", F.col("caption").alias("reference")), "path")
 
 
-@q("catalog", None)
+@q(
+    "catalog",
+    """SELECT corpus, task, corpus = 'llava_pretrain' AS in_pretraining,
+    corpus IN ('ai2d', 'aok_vqa', 'coco', 'docvqa', 'gqa', 'grit', 'infographics_vqa', 'llava_instruct', 'ocr_vqa', 'refcoco', 'refcoco_plus', 'refcocog', 'text_caps', 'visual7w', 'visual_genome', 'vqa_v2', 'vsr') AS in_instruction_tuning
+    FROM (SELECT unnest(['vqa_v2', 'gqa', 'text_vqa', 'docvqa', 'infographics_vqa', 'ocr_vqa', 'vizwiz_vqa', 'pope_adversarial', 'pope_popular', 'pope_random', 'visual_genome']) AS corpus, 'vqa' AS task
+    UNION ALL SELECT unnest(['text_caps', 'coco', 'llava_pretrain', 'nocaps', 'localized_narratives']), 'captioning' UNION ALL SELECT unnest(['aok_vqa', 'ai2d', 'visual7w']), 'multiple_choice_vqa'
+    UNION ALL SELECT unnest(['refcoco', 'refcoco_plus', 'refcocog', 'visual_genome']), 'visual_grounding' UNION ALL SELECT 'visual7w', 'grounded_multiple_choice_vqa' UNION ALL SELECT 'visual_genome', 'dense_captioning'
+    UNION ALL SELECT 'visual_genome', 'relationship_detection' UNION ALL SELECT 'grit', 'grounded_captioning' UNION ALL SELECT 'llava_instruct', 'chat' UNION ALL SELECT 'vsr', 'image_text_match')""",
+)
 def _(spark, folder):
     return catalog.catalog_table(spark)
 

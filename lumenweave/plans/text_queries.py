@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions import text as T
 from lumenweave.operators import curation
+from lumenweave.functions.metadata import variant
 from lumenweave.storage import read_tables
 
 from .registry import Registry
@@ -42,7 +43,12 @@ def _(spark, folder):
     return d.select("doc_id", T.upper_first(F.col("text")).alias("raised"))
 
 
-@q("remove_articles")  # word edges in any script: tested against brute force
+_SPACE = r"[\t\n\v\f\r \p{Z}\x1c-\x1f\x{85}]"
+#: SQL without word edges of all scripts: an article between other characters than letters, marks, digits and ties; twice, as two articles may share one of these.
+_BARE = r"regexp_replace({}, '(^|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])(?i:a|an|the|some)($|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])', '\1\2', 'g')"
+
+
+@q("remove_articles", f"SELECT doc_id, regexp_replace(regexp_replace({_BARE.format(_BARE.format('text'))}, '{_SPACE}+', ' ', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS bare FROM documents")
 def _(spark, folder):
     (d,) = read_tables(spark, folder, "documents")
     return d.select("doc_id", T.remove_articles(F.col("text")).alias("bare"))
@@ -96,11 +102,16 @@ def _(spark, folder):
     return o.groupBy("o_custkey").agg(T.ocr_context(F.collect_list(token)).alias("context"))
 
 
-@q("ocr_words", None)
+@q(
+    "ocr_words",
+    """WITH once AS (SELECT DISTINCT ON (record_id) * FROM records), m AS (SELECT record_id, json_extract(CASE WHEN json_valid(metadata) THEN metadata::JSON END, '$.ocr.ocr_info') AS l FROM once)
+    SELECT record_id, array_to_string(list_filter(list_transform(l::JSON[], lambda x: json_extract_string(x, '$.word')), lambda w: w IS NOT NULL), ' ') AS words FROM m WHERE json_type(l) = 'ARRAY'""",
+)
 def _(spark, folder):
     """The words read from each picture, joined by spaces."""
     (r,) = read_tables(spark, folder, "records")
-    words = F.from_json("metadata", "struct<ocr:struct<ocr_info:array<struct<word:string>>>>")["ocr"]["ocr_info"]["word"]
+    read = F.try_variant_get(variant(F.col("metadata")), "$.ocr.ocr_info", "array<variant>")
+    words = F.transform(read, lambda x: F.try_variant_get(x, "$.word", "string"))
     return r.dropDuplicates(["record_id"]).select("record_id", F.array_join(words, " ").alias("words")).filter("words IS NOT NULL")
 
 

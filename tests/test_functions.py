@@ -43,17 +43,9 @@ def test_format_text_marks(spark):
 
 
 def test_remove_articles(spark):
-    texts = ["The cat and a dog", "an apple\nthe   pear", "théa some été", "", None, "banana", "L'a the"]
-    brute = [None if t is None else re.sub(r"\s+", " ", re.sub(r"(?i)\b(a|an|the|some)\b", "", t)).strip() for t in texts]
-    assert column(spark, texts, "string", T.remove_articles) == brute
-
-
-def test_remove_articles_on_documents(spark):
-    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("text", T.remove_articles(F.col("text")).alias("x")).collect()
-    for r in rows:
-        if r.text is not None and "\x1f" not in r.text:
-            brute = re.sub(r"\s+", " ", re.sub(r"(?i)\b(a|an|the|some)\b", "", r.text, flags=re.ASCII if r.text.isascii() else 0))
-            assert re.sub(r"[\s ​　]+", "", r.x) == re.sub(r"[\s ​　]+", "", brute)
+    texts = ["The cat and a dog", "an apple\nthe   pear", "théa some été", "", None, "banana", "L'a the", "x\x1fa\xa0b", "a the an some", "\u3000A\u2003b", "the_a the-a"]
+    wanted = ["cat and dog", "apple pear", "théa été", "", None, "banana", "L'", "x b", "", "b", "the_a -"]
+    assert column(spark, texts, "string", T.remove_articles) == wanted
 
 
 def test_format_bbox(spark):
@@ -441,11 +433,17 @@ def test_dominant_color(spark):
 def test_loaders(spark):
     path = loaders.in_folder("d", ".jpg")
     questions = spark.createDataFrame([(1, 7, "a?", 0), (2, 7, "b?", 1), (3, 8, "c?", 2)], "question_id long, image_id long, question string, pos long")
-    answers = spark.createDataFrame([(i, "t", "o", [("x",), ("y",), ("y",)]) for i in (1, 2, 3)], "question_id long, question_type string, answer_type string, answers array<struct<answer:string>>")
+    answers = spark.createDataFrame([(i, "t", "o", [("x",)] * 4 + [("y",)] * 6) for i in (1, 2, 3)], "question_id long, question_type string, answer_type string, answers array<struct<answer:string>>")
     got = loaders.vqa_v2(questions, answers, path, most=1).collect()
     assert len(got) == 3
     assert got[0].qa_pairs[0].answer == "y"
     assert loaders.vqa_v2(questions, answers, path).count() == 2
+    again = questions.withColumn("pos", F.when(F.col("question_id") == 3, 1).otherwise(F.col("question_id") * 2 - 2))
+    assert sorted(len(r.qa_pairs) for r in loaders.vqa_v2(again, answers, path).collect()) == [1, 1, 1]  # pictures 7, 8, 7
+    nine = answers.withColumn("answers", F.when(F.col("question_id") == 2, F.slice("answers", 1, 9)).otherwise(F.col("answers")))
+    with pytest.raises(Exception, match="ten_answers"):
+        loaders.vqa_v2(questions, nine, path).collect()
+    assert sorted(len(r.qa_pairs) for r in loaders.vqa_v2(questions, nine, path, mode="skip").collect()) == [1, 1]
     with pytest.raises(Exception, match="no match"):
         loaders.vqa_v2(questions, answers.limit(1), path).collect()
     aok = spark.createDataFrame([(5, "q1", "w?", ["a", "b"], 1, ["r"]), (6, "q2", "v?", ["a", "b"], None, None)], "image_id long, question_id string, question string, choices array<string>, correct_choice_idx int, rationales array<string>")
@@ -472,6 +470,11 @@ def test_loaders(spark):
     assert {g.phrase for g in pointed[0].region} == {"r", "w", "x"}
     narrated = spark.createDataFrame([(1, "c", 10, 10, [[(0.5, 0.5, 0.0), (2.0, 0.5, 0.1), (0.1, 0.1, 0.9)], []])], "image_id long, caption string, width int, height int, traces array<array<struct<x:double,y:double,t:double>>>")
     assert json.loads(loaders.localized_narratives(narrated, path).first().metadata)["traces_downsampled"] == [[{"x": 10.0, "y": 5.0, "t": 0.1}], []]
+    # Two narratives of one picture with one caption keep their own traces.
+    twins = spark.createDataFrame([(1, "c", 10, 10, [[(0.1 * k, 0.5, 0.3 * k) for k in range(n)]]) for n in (1, 9)], narrated.schema)
+    assert sorted(len(json.loads(r.metadata)["traces_downsampled"][0]) for r in loaders.localized_narratives(twins, path).collect()) == [1, len(traces.segment_times([0.3 * k for k in range(9)], 0.4))]
+    with pytest.raises(Exception, match="spans_apart"):
+        loaders.grit(pictures.withColumn("noun_chunks", F.concat("noun_chunks", F.array(F.array(*[F.lit(float(v)) for v in (3, 7, 0, 0, 1, 1)]))))).collect()
 
 
 def test_more_loaders(spark):
@@ -505,10 +508,48 @@ def test_more_loaders(spark):
     caps = spark.createDataFrame([("i", "c", 1)], "image_id string, caption_str string, caption_id long")
     ocr = spark.createDataFrame([("i", ["old"], 0), ("i", ["new"], 1)], "image_id string, ocr_info array<string>, pos long")
     assert json.loads(loaders.text_caps(caps, ocr, path).first().metadata)["ocr"] == ["new"]
-    quest = spark.createDataFrame([("i", 1, "q", ["a"], 0)], "image_id string, question_id long, question string, answers array<string>, pos long")
+    quest = spark.createDataFrame([("i", 1, "q", ["a"] * 10, 0)], "image_id string, question_id long, question string, answers array<string>, pos long")
     assert loaders.text_vqa(quest, ocr, path).first().qa_pairs[0].answer == "a"
 
 
+def test_runs_over_the_whole_table(spark, monkeypatch):
+    monkeypatch.setattr("lumenweave.operators.ranking.ROWS_A_BUCKET", 7)
+    rng = random.Random(3)
+    keys = [rng.choice(["a", "b", None]) for _ in range(200)] + ["c"] * 60
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, pos long").repartition(5)
+    run, wanted = 0, []
+    for i, k in enumerate(keys):
+        run += i == 0 or k != keys[i - 1]
+        wanted.append((i, run))
+    assert sorted((r.pos, r.run_id) for r in grouping.run_groups(df, "k", "pos").collect()) == wanted
+    assert grouping.run_groups(df.limit(0), "k", "pos").count() == 0
+
+
+def test_hot_keys_are_packed_alike(spark):
+    df = spark.createDataFrame([(None if i % 3 == 0 else f"k{i % 7}", i) for i in range(300)], "k string, pos long")
+    plain = {(r.k, r.chunk): r["items"] for r in packing.pack(df, ["k"], ["pos"], 5, "pos").collect()}
+    hot = {(r.k, r.chunk): r["items"] for r in packing.pack(df, ["k"], ["pos"], 5, "pos", rows_a_key=40).collect()}
+    assert plain == hot
+    assert packing.pack(df.limit(0), ["k"], ["pos"], 5, "pos").count() == 0
+
+
+def test_hot_join(spark):
+    left = spark.createDataFrame([("h", i) for i in range(50)] + [("a", 1), ("b", 2), (None, 3)], "k string, v long")
+    right = spark.createDataFrame([("h", "H"), ("a", "A")], "k string, w string")
+    hot = joins.hot_keys(left.groupBy("k").count(), "count", 53, hot_rows=20)
+    assert [r.k for r in hot.collect()] == ["h"]
+    for how in ("inner", "left"):
+        assert sorted(map(str, joins.hot_join(left, right, ["k"], hot, how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_first_existing_keeps_equal_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "z")], "n int, name string").withColumn("m", F.create_map(F.lit("k"), F.col("n")))
+    listing = spark.createDataFrame([("x/a",), ("y/a",)], "path string")
+    got = joins.first_existing(df, [F.concat(F.lit("w/"), F.col("name")), F.concat(F.lit("y/"), F.col("name")), F.concat(F.lit("x/"), F.col("name"))], listing, "path")
+    assert sorted((r.n, r.found_path or "") for r in got.collect()) == [(1, "y/a"), (1, "y/a"), (2, "")]
+    assert got.columns == ["n", "name", "m", "found_path"]
+
+
 def test_evaluators(spark):
     truth = spark.createDataFrame([(1, "Yes"), (2, "no"), (3, "x")], "question_id int, answer string")
     said = spark.createDataFrame([(1, "YES.<|endoftext|>junk"), (2, "yes<|endoftext|>")], "question_id int, prediction string")
