@@ -82,12 +82,12 @@ def _set_of(states: Column) -> Column:
 
 
 def list_state(node: Column, depth: int) -> Column:
-    """Inner transition: a list's state is ``list`` and the set of its children's states, to ``depth`` levels."""
+    """Inner transition: a list's state is ``list`` and the set of its children's states, to ``depth`` levels; an object's state has its fields and theirs."""
     items = F.try_variant_get(node, "$", "array<variant>")
     if depth > 1:
-        child = lambda x: F.when(F.schema_of_variant(x).startswith("ARRAY"), list_state(x, depth - 1)).otherwise(node_state(x))
+        child = lambda x: F.when(F.schema_of_variant(x).startswith("ARRAY"), list_state(x, depth - 1)).otherwise(variant_state(x))
     else:
-        child = node_state
+        child = variant_state
     return F.when(items.isNotNull(), F.concat(F.lit("list"), _set_of(F.transform(items, child)))).otherwise(node_state(node))
 
 
@@ -205,7 +205,21 @@ def subtype_table(nodes: DataFrame, child: str) -> DataFrame:
     return nodes.filter(F.col("child") == child).select(*keys, *[c.alias(n) for n, c in columns.items()])
 
 
+def _flat_fields(row: DataFrame) -> list[Column]:
+    """The columns, boxes as columns of their own: ``x1, y1, x2, y2``, how many coordinates there are, and the text of those beyond the fourth."""
+    out = []
+    for f in row.schema.fields:
+        if f.dataType.typeName() != "array":
+            out.append(F.col(f.name))
+            continue
+        prefix = f.name.removesuffix("bbox")
+        out += [F.get(f.name, F.lit(i)).alias(f"{prefix}{c}") for i, c in enumerate(("x1", "y1", "x2", "y2"))]
+        more = F.when(F.size(f.name) > 4, F.to_json(F.slice(f.name, F.lit(5), F.size(f.name))))
+        out += [F.when(F.col(f.name).isNotNull(), F.size(f.name)).alias(f"{prefix}n_coords"), more.alias(f"{prefix}more_coords")]
+    return out
+
+
 def native_table(records: DataFrame, child: str) -> DataFrame:
-    """The typed rows of one list column: ``record_id``, ``pos`` and the element's fields."""
+    """The typed rows of one list column: ``record_id``, ``pos`` and the element's fields, all flat."""
     once = records.select("record_id", F.posexplode(child)).filter("col IS NOT NULL").select("record_id", F.col("pos").cast("long").alias("pos"), "col.*")
-    return once.dropDuplicates(["record_id", "pos"])
+    return once.select(*_flat_fields(once)).dropDuplicates(["record_id", "pos"])
