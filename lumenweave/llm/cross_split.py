@@ -2,20 +2,30 @@
 
 Distinct pictures of the evaluation side are cut into shards, and each shard is
 put into a compressed full-text index; the distinct pictures of the training
-side are streamed through backward search. A picture key matches as a whole
-text. A thumbnail's 64 places stand in a ring of 16 blocks of four, in a seeded
-order; from every block on, the 16 places that follow are a text of symbols, the
-grey levels in four steps. If two thumbnails differ by at most ``limit`` in all,
-there is a block from which on every run of m blocks differs by at most
-m/16 of it (else the ring could be cut into runs that together exceed it). So
-backward search follows every symbol as long as the summed distance from the
-levels to the symbols' steps stays within that share, and no pair is missed.
-Few texts that are left in a range are compared by their levels at once. Matches
-are merged into candidates and counted, and the exact distance decides.
+side are streamed through backward search. A thumbnail's 64 places stand in a ring
+of 16 blocks of four, in a seeded order; from every block on, the 16 places that
+follow are a text of symbols, the grey levels in four steps. If two thumbnails
+differ by at most ``limit`` in all, there is a block from which on every run of m
+blocks differs by at most m/16 of it (else the ring could be cut into runs that
+together exceed it). So backward search follows every symbol as long as the summed
+distance from the levels to the symbols' steps stays within that share, and no pair
+is missed. Few texts that are left in a range are compared by their levels at once.
+
+A match is a span of four blocks with the distance of each. The spans of a pair
+are merged: where they cover the whole ring, its distance is known and decides;
+where what they cover exceeds the limit, the pair is dropped; only what is left is
+compared by all levels.
 
 A training text only visits shards that hold last symbols within its share: rows
-are routed by them, so nothing is broadcast and no side is repeated as a whole. Copies of
-one thumbnail or key are one text; record pairs come last, by membership.
+are routed by them, so nothing is broadcast and no side is repeated as a whole. If
+many evaluation texts end alike, as of almost empty pages, they are hot: they are
+dealt to several shards and meet the training texts in blocks, and their texts go on
+round the whole ring, so that a match is a maximal one and only pairs within the
+limit come out, however many texts agree in one span.
+
+Equal picture keys meet in a join. Copies of one thumbnail or key are one text;
+record pairs come last, by membership, in equi-joins whose skewed partitions Spark
+splits. The report is made from links and counts of members, without record pairs.
 
 Defined cases: null splits are on neither side; records without a key and
 without bytes of 64 levels match nothing; repeated rows of a record count once;
@@ -47,18 +57,18 @@ LOOKED_UP = 8
 NARROW, TEXTS_AT_ONCE, PAIRS_AT_ONCE = 8, 4_096, 1_000_000
 _MARK = 5  # code of the end of the first block's text
 _ROUTED = pa.schema([("shard", pa.int32()), ("side", pa.int8()), ("kind", pa.int8()), ("text_id", pa.int64()), ("text", pa.binary())])
-_CANDIDATE = pa.schema([("kind", pa.int8()), ("train_id", pa.int64()), ("eval_id", pa.int64()), ("spans", pa.int32())])
+_MATCH = pa.schema([("train_id", pa.int64()), ("eval_id", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
 
 def _starts() -> np.ndarray:
-    """For every block of the ring, the positions of its text; the block itself comes last, as search goes backwards."""
+    """For every block of the ring, all positions from it on; the block itself comes last, as search goes backwards."""
     ring = np.random.default_rng(1).permutation(POSITIONS)
-    return np.stack([ring[(np.arange(LENGTH)[::-1] + BLOCK * b) % POSITIONS] for b in range(BLOCKS)])
+    return np.stack([ring[(np.arange(POSITIONS)[::-1] + BLOCK * b) % POSITIONS] for b in range(BLOCKS)])
 
 
 def _shares(limit: int) -> np.ndarray:
-    """The largest summed difference after each place of a text, from its end."""
-    return limit * (np.arange(LENGTH) // BLOCK + 1) // BLOCKS
+    """The largest summed difference after each place of the ring, from a text's end."""
+    return limit * (np.arange(POSITIONS) // BLOCK + 1) // BLOCKS
 
 
 def sides(records: DataFrame) -> DataFrame:
@@ -87,104 +97,146 @@ def _costs() -> np.ndarray:
     return np.maximum(np.maximum(low - level, level - high), 0).astype(np.int16)
 
 
-def _router(shards: int, parts: int, prefix: int, limit: int):
-    """``parts``: shards for the texts of one block, by their last ``prefix`` symbols."""
+def _buckets(levels: np.ndarray, side: np.ndarray, prefix: int, shares: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, bucket)``: the last ``prefix`` symbols that each text has (evaluation) or that are within its share (training)."""
+    letters = len(EDGES) + 1
+    row, bucket, spent = np.arange(len(levels)), np.zeros(len(levels), np.int64), np.zeros(len(levels), np.int64)
+    for k in range(prefix):
+        total = spent[:, None] + costs[levels[row, POSITIONS - 1 - k]]
+        at, symbol = np.nonzero(total <= np.where(side[row] == 1, shares[k], 0)[:, None])
+        row, bucket, spent = row[at], bucket[at] * letters + symbol, total[at, symbol]
+    return row, bucket
+
+
+def _levels(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+
+
+def _counter(prefix: int):
+    """How many evaluation texts of a batch end in each bucket of each block."""
+    starts, shares, costs = _starts(), _shares(0), _costs()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = _levels(batch)
+            for b in range(BLOCKS):
+                _, bucket = _buckets(levels[:, starts[b]], np.zeros(len(levels), np.int8), prefix, shares, costs)
+                value, n = np.unique(bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), b, np.int32)), pa.array(value), pa.array(n.astype(np.int64))], names=["block", "bucket", "n"])
+
+    return count
+
+
+def _router(shards: int, parts: int, prefix: int, limit: int, hot: dict[tuple[int, int], tuple[int, int]]):
+    """``parts``: shards for the texts of one block, by their last ``prefix`` symbols. ``hot``: block and bucket -> first shard and k, which has k * k shards."""
     starts, shares, costs = _starts(), _shares(limit), _costs()
     letters = len(EDGES) + 1
 
+    def rows_of(shard: np.ndarray, side: np.ndarray, b: int, ids: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
+        flat = pa.py_buffer(np.ascontiguousarray(text).tobytes())
+        offsets = pa.py_buffer(np.arange(0, text.shape[1] * (len(ids) + 1), text.shape[1], dtype=np.int32).tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shard.astype(np.int32)), pa.array(side), pa.array(np.full(len(ids), b, np.int8)), pa.array(ids), pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets, flat])], schema=_ROUTED
+        )
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             side, ids = batch.column("side").to_numpy(), batch.column("text_id").to_numpy()
-            levels = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+            levels = _levels(batch)
             for b in range(BLOCKS):
                 text = levels[:, starts[b]]
-                row, bucket, spent = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-                for k in range(prefix):
-                    total = spent[:, None] + costs[text[row, LENGTH - 1 - k]]
-                    # The evaluation side has its own symbols only.
-                    at, symbol = np.nonzero(total <= np.where(side[row] == 1, shares[k], 0)[:, None])
-                    row, bucket, spent = row[at], bucket[at] * letters + symbol, total[at, symbol]
+                row, bucket = _buckets(text, side, prefix, shares, costs)
+                for (block, value), (first, k) in hot.items() if hot else ():
+                    if block != b:
+                        continue
+                    met = bucket == value
+                    at, own = row[met], ids[row[met]] % k
+                    row, bucket = row[~met], bucket[~met]
+                    if len(at):
+                        # Evaluation texts take a row of the square of shards, training texts a column: each two meet once.
+                        every = np.arange(k)[None, :]
+                        shard = first + np.where(side[at, None] == 0, own[:, None] * k + every, every * k + own[:, None])
+                        again = np.repeat(at, k)
+                        yield rows_of(shard.ravel(), side[again], b, ids[again], text[again])
                 shard = (b * parts + bucket * parts // letters**prefix) % shards
                 # A text goes to a shard once, even if several of its variants lie there.
                 _, one = np.unique(row * shards + shard, return_index=True)
                 row, shard = row[one], shard[one]
-                flat = pa.py_buffer(np.ascontiguousarray(text[row]).tobytes())
-                offsets = pa.py_buffer(np.arange(0, LENGTH * (len(row) + 1), LENGTH, dtype=np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.astype(np.int32)), pa.array(side[row]), pa.array(np.full(len(row), b, np.int8)), pa.array(ids[row]), pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, flat])], schema=_ROUTED
-                )
+                if len(row):
+                    yield rows_of(shard, side[row], b, ids[row], text[row, -LENGTH:])
 
     return route
 
 
-KEY = 99  # kind of the rows that carry picture keys
-
-
 class _Shard:
-    """The index of one shard's evaluation texts, built when its first training text arrives."""
+    """The index of one shard's evaluation texts, built when its first training text arrives. All its texts have one length."""
 
     def __init__(self, limit: int) -> None:
         self.shares, self.costs = _shares(limit), _costs()
         self.ids: dict[int, list[np.ndarray]] = {}
         self.texts: dict[int, list[bytes]] = {}
-        self.index: dict[str, tuple] | None = None
+        self.index: tuple | None = None
 
     def add(self, kind: int, ids: np.ndarray, texts: list[bytes]) -> None:
         self.ids.setdefault(kind, []).append(ids)
         self.texts.setdefault(kind, []).extend(texts)
 
     def build(self) -> None:
-        self.index = {}
-        thumbs = [k for k in self.ids if k != KEY]
-        if thumbs:
-            levels = np.frombuffer(b"".join(t for k in thumbs for t in self.texts[k]), np.uint8).reshape(-1, LENGTH)
-            marks = np.repeat(_MARK + np.array(thumbs), [len(self.texts[k]) for k in thumbs]).astype(np.uint8)
-            index = FMIndex(np.hstack([_symbols(levels), marks[:, None]]).ravel(), LENGTH + 1)
-            tables = {k: index.ending_in(_MARK + k, len(EDGES) + 1, LOOKED_UP) for k in thumbs}
-            self.index["levels"] = (index, tables, np.concatenate([x for k in thumbs for x in self.ids[k]]), np.ascontiguousarray(levels.T).astype(np.int16))
-        if KEY in self.ids:
-            # Every key stands between two marks, 1; its bytes follow as they are.
-            joined = b"\x01" + b"\x01".join(self.texts[KEY]) + b"\x01"
-            lengths = np.array([len(t) + 1 for t in self.texts[KEY]])
-            self.index["keys"] = (FMIndex(np.frombuffer(joined, np.uint8), int(lengths.max()) + 1), np.concatenate(self.ids[KEY]), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-
-    def find(self, kind: int, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """``(text, evaluation id)`` of all matches."""
-        if kind == KEY:
-            if "keys" not in self.index:
-                return np.empty(0, np.int64), np.empty(0, np.int64)
-            index, ids, starts = self.index["keys"]
-            rows, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            lengths = np.array([len(t) for t in texts])
-            for n in np.unique(lengths):
-                which = np.flatnonzero(lengths == n)
-                patterns = np.frombuffer(b"".join(b"\x01" + texts[i] + b"\x01" for i in which), np.uint8).reshape(-1, n + 2)
-                q, position = index.locate(*index.search(patterns))
-                rows.append(which[q])
-                found.append(ids[np.searchsorted(starts, position)])
-            return np.concatenate(rows), np.concatenate(found)
-        if "levels" not in self.index:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        index, tables, ids, held = self.index["levels"]
+        kinds = list(self.ids)
+        length = len(self.texts[kinds[0]][0])
+        levels = np.frombuffer(b"".join(t for k in kinds for t in self.texts[k]), np.uint8).reshape(-1, length)
+        marks = np.repeat(_MARK + np.array(kinds), [len(self.texts[k]) for k in kinds]).astype(np.uint8)
+        index = FMIndex(np.hstack([_symbols(levels), marks[:, None]]).ravel())
+        tables = {k: index.ending_in(_MARK + k, len(EDGES) + 1, LOOKED_UP) for k in kinds}
+        self.index = (index, tables, np.concatenate([x for k in kinds for x in self.ids[k]]), np.ascontiguousarray(levels.T).astype(np.int16))
+
+    def find(self, kind: int, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(text, evaluation id, distances of the blocks from the text's end on)`` of all matches."""
+        index, tables, ids, held = self.index
         if kind not in tables:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        levels = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, LENGTH)
-        q, low, high = index.search_within(tables[kind], len(EDGES) + 1, LOOKED_UP, self.costs[levels], self.shares, NARROW)
-        rows, found, asked = [np.empty(0, np.int64)], [np.empty(0, np.int64)], levels.T.astype(np.int16)
+            return
+        length = len(held)
+        levels = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, length)
+        shares = self.shares[:length]
+        q, low, high = index.search_within(tables[kind], len(EDGES) + 1, LOOKED_UP, self.costs[levels], shares, NARROW)
+        asked = levels.T.astype(np.int16)
         cuts = np.flatnonzero(np.diff(np.cumsum(high - low) // PAIRS_AT_ONCE)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(q)], strict=True):
             own, position = index.locate(q[a:b], low[a:b], high[a:b])
-            text = position // (LENGTH + 1)
+            text = position // (length + 1)
             spent = np.zeros(len(own), np.int32)
-            for place in range(LENGTH - 1, -1, -1):
+            for place in range(length - 1, -1, -1):
                 spent = spent + np.abs(asked[place][own] - held[place][text])
-                near = np.flatnonzero(spent <= self.shares[LENGTH - 1 - place])
+                near = np.flatnonzero(spent <= shares[length - 1 - place])
                 own, text, spent = own[near], text[near], spent[near]
-            rows.append(own)
-            found.append(ids[text])
-        return np.concatenate(rows), np.concatenate(found)
+            if len(own):
+                apart = np.abs(asked[:, own] - held[:, text])[::-1].reshape(length // BLOCK, BLOCK, -1).sum(1)
+                yield own, ids[text], apart.astype(np.int64)
+
+
+def _span(kind: int, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A match's blocks in two words of eight bytes: bit 7 says that a block is covered, the others are its distance.
+
+    Equal blocks have equal bytes, so spans of a pair are merged by OR. A distance above 127 is not kept; all levels decide then.
+    """
+    words = np.zeros((2, apart.shape[1]), np.uint64)
+    for m, d in enumerate(apart):
+        block = (kind + m) % BLOCKS
+        words[block // 8] |= np.where(d < 128, d | 128, 0).astype(np.uint64) << np.uint64(8 * (block % 8))
+    return words[0].view(np.int64), words[1].view(np.int64)
+
+
+def _covered(word: str) -> Column:
+    return F.bit_count(F.col(word).bitwiseAND(F.lit(-0x7F7F7F7F7F7F7F80)))
+
+
+def _distance(word: str) -> Column:
+    total = F.lit(0).cast("long")
+    for i in range(8):
+        total = total + F.shiftrightunsigned(word, 8 * i).bitwiseAND(F.lit(127))
+    return total
 
 
 def _searcher(limit: int):
@@ -202,16 +254,14 @@ def _searcher(limit: int):
                 if side[a] == 0:
                     shard.add(int(kind[a]), ids[a:b], texts)
                     continue
+                if not shard.ids:
+                    continue
                 if shard.index is None:
                     shard.build()
-                if not shard.index:
-                    continue
                 for i in range(0, b - a, TEXTS_AT_ONCE):
-                    q, found = shard.find(int(kind[a]), texts[i : i + TEXTS_AT_ONCE])
-                    if len(q):
-                        own = ids[a + i : b][q]
-                        code = np.full(len(q), 1 if kind[a] == KEY else 0, np.int8)
-                        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(own), pa.array(found), pa.array(np.ones(len(q), np.int32))], schema=_CANDIDATE)
+                    for q, found, apart in shard.find(int(kind[a]), texts[i : i + TEXTS_AT_ONCE]):
+                        low, high = _span(int(kind[a]), apart)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a + i : b][q]), pa.array(found), pa.array(low), pa.array(high)], schema=_MATCH)
 
     return search
 
@@ -227,50 +277,57 @@ def _exact(limit: int):
     return check
 
 
-def _ordered(base: DataFrame, shard_texts: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    thumbs, keys = write_table(_texts(base, "bytes"), "thumbnails"), _texts(base, "key")
+def _ordered(thumbs: DataFrame, shard_texts: int, limit: int) -> DataFrame:
+    """The texts of all blocks, each shard's together, its evaluation side first."""
     n = thumbs.filter("side = 0").count()
     parts = max(1, -(-n // shard_texts))
     shards = BLOCKS * parts if parts > 1 else max(1, -(-n * BLOCKS // shard_texts))
-    prefix = 0
+    prefix, hot = 0, {}
     while parts > 1 and (len(EDGES) + 1) ** prefix < 16 * parts and prefix < LENGTH - 4:
         prefix += 1
-    routed = thumbs.mapInArrow(_router(shards, parts, prefix, limit), "shard int, side tinyint, kind tinyint, text_id long, text binary")
-    by_key = keys.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "side", F.lit(KEY).cast("tinyint").alias("kind"), "text_id", F.encode("key", "utf-8").alias("text"))
-    together = routed.unionByName(by_key)
-    return thumbs, together.repartitionById(min(shards, 100_000), F.col("shard")).sortWithinPartitions("shard", "side", "kind")
+    if prefix:
+        counted = thumbs.filter("side = 0").select("bytes").mapInArrow(_counter(prefix), "block int, bucket long, n long").groupBy("block", "bucket").agg(F.sum("n").alias("n"))
+        # Fewer than half as many as there are shards: each has more texts than two shards.
+        for r in counted.filter(F.col("n") > 2 * shard_texts).orderBy("block", "bucket").collect():
+            k = -(-r.n // shard_texts)
+            hot[r.block, r.bucket] = (shards + sum(m * m for _, m in hot.values()), k)
+    whole = shards + sum(k * k for _, k in hot.values())
+    routed = thumbs.mapInArrow(_router(shards, parts, prefix, limit, hot), "shard int, side tinyint, kind tinyint, text_id long, text binary")
+    return routed.repartitionById(min(whole, 100_000), F.col("shard")).sortWithinPartitions("shard", "side", "kind")
 
 
-def linked_texts(base: DataFrame, *, limit: int = 6 * POSITIONS, shard_texts: int = 40_000) -> tuple[DataFrame, DataFrame]:
-    """``(by thumbnail, by key)``, each ``train_id, eval_id``: the smallest record of each matching text.
+def linked_texts(base: DataFrame, *, limit: int = 6 * POSITIONS, shard_texts: int = 40_000) -> DataFrame:
+    """``train_id, eval_id``: the smallest records of all pairs of thumbnails within the limit.
 
     ``limit``: largest sum of grey level differences. ``shard_texts``: texts that an index holds.
     """
-    thumbs, ordered = _ordered(base, shard_texts, limit)
-    found = write_table(ordered.mapInArrow(_searcher(limit), "kind tinyint, train_id long, eval_id long, spans int"), "matches")
-    merged = found.groupBy("kind", "train_id", "eval_id").agg(F.sum("spans").alias("spans"))
-    candidates = merged.filter("kind = 0").select("train_id", "eval_id")
+    thumbs = write_table(_texts(base, "bytes"), "thumbnails")
+    found = write_table(_ordered(thumbs, shard_texts, limit).mapInArrow(_searcher(limit), "train_id long, eval_id long, low long, high long"), "matches")
+    merged = found.groupBy("train_id", "eval_id").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+    known = merged.select("train_id", "eval_id", (_covered("low") + _covered("high")).alias("covered"), (_distance("low") + _distance("high")).alias("apart"))
+    possible = write_table(known.filter(F.col("apart") <= limit), "possible")
+    rest = possible.filter(F.col("covered") < BLOCKS)
     levels = lambda side, a, b: thumbs.filter(F.col("side") == side).select(F.col("text_id").alias(a), F.col("bytes").alias(b))
-    paired = candidates.join(levels(1, "train_id", "a"), "train_id").join(levels(0, "eval_id", "b"), "eval_id")
+    paired = rest.join(levels(1, "train_id", "a"), "train_id").join(levels(0, "eval_id", "b"), "eval_id")
     near = paired.select("train_id", "eval_id", "a", "b").mapInArrow(_exact(limit), "train_id long, eval_id long")
-    return near, merged.filter("kind = 1").select("train_id", "eval_id")
+    return possible.filter(F.col("covered") == BLOCKS).select("train_id", "eval_id").unionByName(near)
 
 
-def _members(base: DataFrame, column: str, links: DataFrame, side: int, name: str) -> DataFrame:
-    """``name`` of the text and ``record_id`` of its records, for texts that have a link."""
-    own = base.filter((F.col("side") == side) & F.col(column).isNotNull()).select(column, "record_id")
-    first = own.groupBy(column).agg(F.min("record_id").alias(name)).join(links.select(name).distinct(), name, "left_semi")
-    return own.join(first, column).select(name, F.col("record_id").alias(f"record_{side}"))
+def _members(base: DataFrame, links: DataFrame, side: int, name: str) -> DataFrame:
+    """``name`` of the thumbnail and ``record_id`` of its records, for thumbnails that have a link."""
+    own = base.filter((F.col("side") == side) & F.col("bytes").isNotNull()).select("bytes", "record_id")
+    first = own.groupBy("bytes").agg(F.min("record_id").alias(name)).join(links.select(name).distinct(), name, "left_semi")
+    return own.join(first, "bytes").select(name, F.col("record_id").alias(f"record_{side}"))
 
 
 def overlaps(base: DataFrame, **options: int) -> DataFrame:
     """``train_record, eval_record``: every pair of records that share a picture, once."""
-    near, same = linked_texts(base, **options)
-    pairs = []
-    for column, links in (("bytes", write_table(near, "near")), ("key", write_table(same, "same"))):
-        train, evaluation = _members(base, column, links, 1, "train_id"), _members(base, column, links, 0, "eval_id")
-        pairs.append(links.join(train, "train_id").join(evaluation, "eval_id").select(F.col("record_1").alias("train_record"), F.col("record_0").alias("eval_record")))
-    return pairs[0].unionByName(pairs[1]).distinct()
+    links = write_table(linked_texts(base, **options), "near")
+    near = links.join(_members(base, links, 1, "train_id"), "train_id").join(_members(base, links, 0, "eval_id"), "eval_id")
+    keyed = lambda side, name: base.filter((F.col("side") == side) & F.col("key").isNotNull()).select("key", F.col("record_id").alias(name))
+    same = keyed(1, "train_record").join(keyed(0, "eval_record"), "key")
+    pairs = near.select(F.col("record_1").alias("train_record"), F.col("record_0").alias("eval_record"))
+    return pairs.unionByName(same.select("train_record", "eval_record")).distinct()
 
 
 def found_pairs(pairs: DataFrame) -> DataFrame:
@@ -278,9 +335,24 @@ def found_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(a, b).alias("record_a"), F.greatest(a, b).alias("record_b"))
 
 
-def report(pairs: DataFrame, base: DataFrame, source: Column) -> DataFrame:
-    """``split, source, n_records, n_pairs``: evaluation records with a picture of the training side, and their pairs."""
-    counted = pairs.groupBy(F.col("eval_record").alias("record_id")).agg(F.count(F.lit(1)).alias("n"))
-    once = base.filter("side = 0").groupBy("record_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
-    joined = counted.join(once, "record_id").withColumn("source", source)
-    return joined.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n").alias("n_pairs"))
+def report(base: DataFrame, source: Column, **options: int) -> DataFrame:
+    """``split, source, n_records, n_pairs``: evaluation records with a picture of the training side, and their pairs.
+
+    A record's pairs are those by its key and those by its thumbnail without those by both: members are counted by
+    key, by thumbnail and by both, and no pair of records is made.
+    """
+    links = write_table(linked_texts(base, **options), "near")
+    first = base.filter("bytes IS NOT NULL").groupBy("side", "bytes").agg(F.min("record_id").alias("text_id"))
+    once = base.withColumn("source", source).dropDuplicates(["record_id"]).select("record_id", "side", "split", "source", "key", "bytes")
+    counted = once.join(first, ["side", "bytes"], "left").groupBy("side", "split", "source", "key", "text_id").agg(F.count(F.lit(1)).alias("n"))
+    kinds = write_table(counted, "kinds")
+    train, evaluation = kinds.filter("side = 1"), kinds.filter("side = 0")
+    by_key = train.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("by_key"))
+    of_text = train.filter("text_id IS NOT NULL").groupBy(F.col("text_id").alias("train_id")).agg(F.sum("n").alias("m"))
+    by_text = links.join(of_text, "train_id").groupBy(F.col("eval_id").alias("text_id")).agg(F.sum("m").alias("by_text"))
+    of_both = train.filter("text_id IS NOT NULL AND key IS NOT NULL").groupBy(F.col("text_id").alias("train_id"), "key").agg(F.sum("n").alias("m"))
+    asked = evaluation.filter("key IS NOT NULL AND text_id IS NOT NULL").select("key", F.col("text_id").alias("eval_id")).distinct()
+    by_both = links.join(asked, "eval_id").join(of_both, ["train_id", "key"]).groupBy("key", F.col("eval_id").alias("text_id")).agg(F.sum("m").alias("by_both"))
+    joined = evaluation.join(by_key, "key", "left").join(by_text, "text_id", "left").join(by_both, ["key", "text_id"], "left").na.fill(0, ["by_key", "by_text", "by_both"])
+    pairs = F.col("by_key") + F.col("by_text") - F.col("by_both")
+    return joined.withColumn("pairs", pairs).filter("pairs > 0").groupBy("split", "source").agg(F.sum("n").alias("n_records"), F.sum(F.col("n") * F.col("pairs")).alias("n_pairs"))

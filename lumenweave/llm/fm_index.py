@@ -1,8 +1,7 @@
-"""A compressed full-text index (Burrows-Wheeler transform with sampled ranks) searched for many patterns at once.
+"""A compressed full-text index (Burrows-Wheeler transform with sampled ranks and positions) searched for many patterns at once.
 
-Suffixes are ordered by their first ``depth`` symbols, which is enough for
-patterns of up to ``depth`` symbols: a backward step only needs rows whose next
-symbols are below those of the pattern to lie before its range.
+Suffixes are sorted whole, by doubling the number of symbols that are compared, so
+that a step back leads from each row to the row of the position before.
 """
 
 from __future__ import annotations
@@ -10,10 +9,12 @@ from __future__ import annotations
 import numpy as np
 
 _BLOCK = 32
+#: Every so many positions of the text are kept; the others are found by stepping back to one of them.
+_SAMPLE = 4
 
 
-def _order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes in the order of their first ``depth`` symbols or more."""
+def _order(codes: np.ndarray) -> np.ndarray:
+    """The suffixes in their order; the last symbol occurs once."""
     n = len(codes)
     bits = max(1, int(codes.max(initial=1)).bit_length())
     step = 64 // bits
@@ -27,7 +28,7 @@ def _order(codes: np.ndarray, depth: int) -> np.ndarray:
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) + 1
-        if covered >= depth or rank.max() == n:
+        if rank.max() == n:
             return order
         after = np.concatenate([rank[covered:], np.zeros(min(covered, n), np.int64)])[:n]
         key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
@@ -38,17 +39,21 @@ def _order(codes: np.ndarray, depth: int) -> np.ndarray:
 class FMIndex:
     """``codes``: the text as symbols from 1 upwards; a terminator 0 is added."""
 
-    def __init__(self, codes: np.ndarray, depth: int) -> None:
+    def __init__(self, codes: np.ndarray) -> None:
         text = np.concatenate([codes.astype(np.uint8), np.zeros(1, np.uint8)])
-        self.rows = _order(text, depth).astype(np.int32)
+        rows = _order(text).astype(np.int32)
         n, sigma = len(text), int(text.max()) + 1
-        bwt = text[self.rows - 1]  # row -1 wraps round to the terminator
+        bwt = text[rows - 1]  # row -1 wraps round to the terminator
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:sigma].astype(np.int64)
         blocks = n // _BLOCK + 1
         self.bwt = np.concatenate([bwt, np.full(blocks * _BLOCK - n, 255, np.uint8)]).reshape(blocks, _BLOCK)
         self.sampled = np.zeros((blocks, sigma), np.int32)
         for c in range(sigma):
             self.sampled[1:, c] = np.cumsum((self.bwt == c).sum(1))[:-1]
+        kept = rows % _SAMPLE == 0
+        self.positions = rows[kept]
+        self.kept = np.concatenate([kept, np.zeros(blocks * _BLOCK - n, bool)]).reshape(blocks, _BLOCK)
+        self.kept_before = np.concatenate([[0], np.cumsum(self.kept.sum(1))[:-1]]).astype(np.int32)
         self.size, self.sigma = n, sigma
 
     def ranks(self, symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -96,23 +101,10 @@ class FMIndex:
             low, high = self.extend(symbols, np.repeat(low, letters), np.repeat(high, letters))
         return low, high
 
-    def search_from(self, table: tuple[np.ndarray, np.ndarray], letters: int, length: int, patterns: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``search`` of patterns before a mark whose last ``length`` symbols are looked up in the table of ``ending_in``."""
-        q, number = np.arange(len(patterns)), np.zeros(len(patterns), np.int64)
-        last = patterns.shape[1]
-        for j in range(last - 1, last - length - 1, -1):
-            symbols, second = patterns[q, j].astype(np.int64), other[q, j].astype(np.int64)
-            more = np.flatnonzero(second)
-            number = np.concatenate([number * letters + symbols - 1, number[more] * letters + second[more] - 1])
-            q = np.concatenate([q, q[more]])
-        low, high = table[0][number], table[1][number]
-        alive = low < high
-        return self._go_on(q[alive], low[alive], high[alive], last - length - 1, patterns, other)
-
     def search_within(self, table: tuple[np.ndarray, np.ndarray], letters: int, length: int, costs: np.ndarray, shares: np.ndarray, narrow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(pattern, low, high)`` of all texts before a mark whose summed cost stays within the share of each place, from the last backwards.
 
-        ``costs``: pattern, place, letter. ``shares``: the largest sum after each place from the end. ``table``: see ``search_from``.
+        ``costs``: pattern, place, letter. ``shares``: the largest sum after each place from the end. ``table``: of ``ending_in``, whose ``length`` symbols are looked up.
         A range of up to ``narrow`` rows is not searched on, so it may hold texts that exceed later shares.
         """
         q, number, spent = np.arange(len(costs), dtype=np.int32), np.zeros(len(costs), np.int32), np.zeros(len(costs), np.int16)
@@ -148,4 +140,17 @@ class FMIndex:
         """``(pattern, position in the text)`` of every occurrence in the ranges."""
         n = high - low
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(q, n), self.rows[np.repeat(low, n) + within].astype(np.int64)
+        row = np.repeat(low, n) + within
+        position = np.zeros(len(row), np.int64)
+        left = np.arange(len(row))
+        for steps in range(_SAMPLE):
+            block, rest = row // _BLOCK, row % _BLOCK
+            here = self.kept[block, rest]
+            b, r = block[here], rest[here]
+            position[left[here]] = self.positions[self.kept_before[b] + (self.kept[b] & (np.arange(_BLOCK)[None, :] < r[:, None])).sum(1)] + steps
+            left, row = left[~here], row[~here]
+            if not len(left):
+                break
+            symbols = self.bwt[row // _BLOCK, row % _BLOCK].astype(np.int64)
+            row = self.first[symbols] + self.ranks(symbols, row)
+        return np.repeat(q, n), position

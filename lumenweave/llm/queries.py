@@ -54,20 +54,18 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- 3
 
 
-def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _sides(spark: SparkSession, folder: str) -> DataFrame:
     (records,) = read_tables(spark, folder, "records")
-    base = write_table(cross_split.sides(records), "sides")
-    return base, cross_split.overlaps(base)
+    return write_table(cross_split.sides(records), "sides")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return cross_split.found_pairs(_overlaps(spark, folder)[1])
+    return cross_split.found_pairs(cross_split.overlaps(_sides(spark, folder)))
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluation records whose picture is in the training side, per split and source."""
-    base, pairs = _overlaps(spark, folder)
-    return cross_split.report(pairs, base, mixing.spelled(F.col("source")))
+    return cross_split.report(_sides(spark, folder), mixing.spelled(F.col("source")))
 
 
 # ---------------------------------------------------------------- 5

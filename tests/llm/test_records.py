@@ -145,9 +145,9 @@ def test_what_counts_as_formatting(spark, a, b, same):
 
 def test_index_finds_every_occurrence():
     rng = random.Random(1)
-    for depth, letters in ((6, 3), (40, 2), (12, 120)):
+    for letters in (3, 2, 120):
         text = np.array([rng.randint(1, letters) for _ in range(2_000)] + [1] * 200, np.uint8)
-        index = FMIndex(text, depth)
+        index = FMIndex(text)
         for n in (1, 2, 5, 6):
             patterns = np.array([[rng.randint(1, letters + 1) for _ in range(n)] for _ in range(60)] + [[1] * n], np.uint8)
             q, at = index.locate(*index.search(patterns))
@@ -158,15 +158,16 @@ def test_index_finds_every_occurrence():
                 assert found[i] == {k for k in range(len(text) - n + 1) if (text[k : k + n] == p).all()}
 
 
-def test_looked_up_ranges_equal_searched_ones():
+def test_search_within_equals_brute_force():
     rng = np.random.default_rng(2)
-    texts = rng.integers(1, 5, (300, 16)).astype(np.uint8)
-    index = FMIndex(np.hstack([texts, np.full((300, 1), 5, np.uint8)]).ravel(), 17)
-    asked = np.vstack([texts[:50], rng.integers(1, 5, (50, 16))]).astype(np.uint8)
-    other = np.where(rng.random(asked.shape) < 0.3, asked % 4 + 1, 0).astype(np.uint8)
-    a = index.search(np.hstack([asked, np.full((100, 1), 5, np.uint8)]), np.hstack([other, np.zeros((100, 1), np.uint8)]))
-    b = index.search_from(index.ending_in(5, 4, 6), 4, 6, asked, other)
-    assert sorted(zip(*(x.tolist() for x in a), strict=True)) == sorted(zip(*(x.tolist() for x in b), strict=True))
+    texts, asked = rng.integers(1, 5, (300, 16)).astype(np.uint8), rng.integers(0, 3, (60, 16, 4)).astype(np.int16)
+    index = FMIndex(np.hstack([texts, np.full((300, 1), 5, np.uint8)]).ravel())
+    shares = np.arange(16) // 4 * 2 + 2
+    q, low, high = index.search_within(index.ending_in(5, 4, 6), 4, 6, asked, shares, 0)
+    own, position = index.locate(q, low, high)
+    cost = asked[:, np.arange(16)[None, :], texts - 1][:, :, ::-1].cumsum(2)
+    assert set(zip(own.tolist(), (position // 17).tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero((cost <= shares).all(2))), strict=True))
+    assert len(own) > 20
 
 
 def near_pictures(rng, n):
@@ -214,6 +215,40 @@ def test_connected_patches(spark, records, shard_texts):
     assert len(got) >= 150
 
 
+def test_almost_empty_pages_are_met_in_blocks(spark, records):
+    """White pages that differ in some places: all agree in many spans, and only pairs within the limit come out of the search."""
+    rng = np.random.default_rng(11)
+    rows, pixels = [], []
+    for i in range(240):
+        page = np.full(64, 250, np.uint8)
+        page[rng.choice(64, 14, replace=False)] = rng.integers(20, 120, 14)
+        near = page.copy()
+        near[rng.integers(0, 64)] -= 20
+        for split, picture in (("train", page), ("val", near if i % 4 == 0 else np.roll(page, 7))):
+            rows.append({"record_id": len(rows), "split": split, "image": (None, bytearray(picture.tobytes())), "metadata": "{}"})
+            pixels.append(picture.astype(int))
+    base = cross_split.sides(records(*rows))
+    ordered = cross_split._ordered(cross_split._texts(base, "bytes"), 20, 384)
+    sizes = [r["count"] for r in ordered.filter("side = 0").groupBy("shard").count().collect()]
+    assert ordered.filter(F.octet_length("text") == 64).count() > 0
+    assert max(sizes) < 100  # of 240 texts of each block, most of which end alike
+    wanted = {(min(a, b), max(a, b)) for a in range(0, 480, 2) for b in range(1, 480, 2) if np.abs(pixels[a] - pixels[b]).sum() <= 384}
+    assert {tuple(r) for r in cross_split.found_pairs(cross_split.overlaps(base, shard_texts=20)).collect()} == wanted
+    assert len(wanted) >= 60
+
+
+def test_spans_of_a_pair_are_merged(spark):
+    apart = np.array([[3], [0], [96], [127]])
+    words = [cross_split._span(k, apart) for k in (0, 0, 6, 14)]
+    df = spark.createDataFrame([(int(a[0]), int(b[0])) for a, b in words], "low long, high long").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+    row = df.select((cross_split._covered("low") + cross_split._covered("high")).alias("c"), (cross_split._distance("low") + cross_split._distance("high")).alias("d")).first()
+    # Blocks 0-3, 6-9 and 14, 15, 0, 1; where two spans say different things of a block, OR takes both.
+    assert row.c == 10
+    assert row.d == (3 | 96) + (0 | 127) + 96 + 127 + 226 + 3 + 0
+    over = cross_split._span(2, np.array([[128], [1]]))
+    assert (int(over[0][0]) >> 16) & 255 == 0
+
+
 def test_same_keys(spark, records):
     def row(i, split, path, coco=None):
         return {"record_id": i, "split": split, "image": (path, None), "metadata": json.dumps({"coco_id": coco})}
@@ -237,6 +272,22 @@ def test_report(spark):
     assert found.distinct().count() == found.count()
 
 
+def test_report_counts_pairs_by_key_and_picture_once(spark, records):
+    rng = random.Random(4)
+    pictures = [bytearray([v] * 64) for v in (10, 12, 90)]
+    rows = [
+        {"record_id": i, "split": rng.choice(["train", "val", "test", None]), "source": rng.choice(["COCO", "coco ", None]), "image": (rng.choice([None, "coco/1.jpg", "coco/2.jpg"]), rng.choice([None, *pictures])), "metadata": "{}"}
+        for i in range(120)
+    ]
+    base = cross_split.sides(records(*rows, *rows[:9]))
+    pairs = cross_split.overlaps(base).collect()
+    split = {r["record_id"]: (r["split"], (r["source"] or "").strip().lower() or None) for r in rows}
+    wanted = Counter(split[p.eval_record] for p in pairs)
+    people = Counter(split[e] for e in {p.eval_record for p in pairs})
+    got = {(r.split, r.source): (r.n_records, r.n_pairs) for r in cross_split.report(base, mixing.spelled(F.col("source"))).collect()}
+    assert got == {k: (people[k], n) for k, n in wanted.items()}
+
+
 # ---------------------------------------------------------------- 5
 
 
