@@ -1,12 +1,13 @@
 """Per-document text statistics, and prose told from lists, tables and junk.
 
 All counts are vectorized over the lines and words of an Arrow batch. Published
-fixed thresholds give the reasons for which a document fails as prose. For the
-document's kind the same counts are taken of each line; fixed thresholds on
-bullets, separators, symbols, repetition and common words name a line's kind and
-the rule that did so, and the kind that holds more than half of the characters
-is the document's. Repetition may have any period: words are compared, and
-characters on lines with hardly any spaces.
+fixed thresholds are applied to a document's statistics, and every rule that it
+fails is recorded as a reason. A document that fails none is prose. For one that
+fails, the same counts are taken of each line; fixed thresholds on bullets,
+separators, symbols, repetition and common words name a line's kind and the rule
+that did so, and the kind that holds more than half of the characters is the
+document's. Repetition may have any period: words are compared, and characters on
+lines with hardly any spaces.
 
 Defined cases: null, empty and blank texts have zero counts, no failures, no
 kind; very long texts are measured whole; repeated rows stay; extra columns are
@@ -39,7 +40,12 @@ LIMITS = {
     "punctuated_lines": (0.12, 1.0),
     "short_lines": (0.0, 0.67),
     "repeated_lines": (0.0, 0.3),
+    "repeated_passages": (0.0, 0.1),
+    "common_word_share": (0.3, 1.0),
+    "special_characters": (0.0, 0.4),
 }
+#: Words of the passages whose repetition is limited. Published with the limit.
+PASSAGE = 10
 KINDS = ("list", "table", "junk")
 _LETTERS, _DIGITS, _SPACES = r"[\p{L}\p{M}]", r"\p{N}", r"[\s\p{Z}]"
 _PLAIN = r"""[.,;:!?"'()\-–—…«»“”„‘’¿¡。、，！？：；（）「」『』・/%&]"""
@@ -58,7 +64,7 @@ _UNSPACED = 20
 _STATS = [
     ("n_chars", "long"), ("word_count", "long"), ("line_count", "long"), ("mean_word_length", "double"), ("symbol_ratio", "double"),
     ("punctuated_line_share", "double"), ("bullet_line_share", "double"), ("ellipsis_line_share", "double"), ("short_line_share", "double"),
-    ("repeated_line_share", "double"), ("alphabetic_word_share", "double"), ("common_word_count", "long"), ("common_word_share", "double"),
+    ("repeated_line_share", "double"), ("repeated_passage_share", "double"), ("alphabetic_word_share", "double"), ("common_word_count", "long"), ("common_word_share", "double"), ("special_character_share", "double"),
     ("list_share", "double"), ("table_share", "double"), ("junk_share", "double"), ("kind", "string"), ("kind_rule", "string"), ("failures", "array<string>"),
 ]
 
@@ -140,6 +146,20 @@ def _repeated_words(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return marked
 
 
+def _in_passages(codes: np.ndarray, doc: np.ndarray, length: int = PASSAGE) -> np.ndarray:
+    """Words within a passage of the length that occurs again in its document."""
+    marked = np.zeros(len(codes), bool)
+    if len(codes) < length:
+        return marked
+    starts = np.flatnonzero(doc[length - 1 :] == doc[: len(doc) - length + 1])
+    _, number, times = np.unique(_window_keys(codes, doc, length)[starts], return_inverse=True, return_counts=True)
+    change = np.zeros(len(codes) + 1, np.int64)
+    again = starts[times[number] > 1]
+    np.add.at(change, again, 1)
+    np.add.at(change, again + length, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def _repeated_characters(lines: pa.Array, doc: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """How many characters of each chosen line lie within a stretch that repeats; 0 for the others."""
     line = np.flatnonzero(chosen)
@@ -164,7 +184,7 @@ class Measure:
         return {
             "line": line, "size": size, "alphabetic": _has(words, _LETTERS),
             "common": pc.is_in(bare, value_set=self.common).to_numpy(zero_copy_only=False), "repeated": _repeated_words(codes, line_doc[line]),
-            "longest": size,
+            "passages": _in_passages(codes, line_doc[line]),
         }
 
     def _line_kinds(self, lines: pa.Array, doc: np.ndarray, n: np.ndarray, words: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -234,6 +254,7 @@ class Measure:
         n = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
         words = self._words(lines, doc)
         kind, rule = self._line_kinds(lines, doc, n, words)
+        special = _count(lines, r"[\pP\pS\pN\s]")
         by_line = lambda weights=None: np.bincount(doc, weights=weights, minlength=count)
         word_doc = doc[words["line"]]
         by_word = lambda weights=None: np.bincount(word_doc, weights=weights, minlength=count)
@@ -250,14 +271,16 @@ class Measure:
             "mean_word_length": _share(by_word(words["size"]), n_words), "symbol_ratio": _share(by_line(symbols), n_words),
             "punctuated_line_share": _share(by_line(_has(lines, _ENDS)), n_lines), "bullet_line_share": _share(by_line(_has(lines, _BULLET)), n_lines),
             "ellipsis_line_share": _share(by_line(_has(lines, r"(…|\.\.\.)\s*$")), n_lines), "short_line_share": _share(by_line(n < 30), n_lines),
-            "repeated_line_share": _share(by_line(again), n_lines), "alphabetic_word_share": _share(by_word(words["alphabetic"]), n_words),
+            "repeated_line_share": _share(by_line(again), n_lines), "repeated_passage_share": _share(by_word(words["size"] * words["passages"]), by_word(words["size"])), "alphabetic_word_share": _share(by_word(words["alphabetic"]), n_words),
             "common_word_count": by_word(words["common"]).astype(np.int64), "common_word_share": _share(by_word(words["common"]), n_words),
+            "special_character_share": _share(by_line(special), by_line(n)),
         }
         chars = by_line(n)
         shares = np.stack([_share(by_line(n * (kind == k)), chars) for k in range(len(KINDS))])
-        best = np.where((shares > 0.5).any(0), shares.argmax(0), -1)
-        measured = {"word_count": n_words, "common_words": s["common_word_count"]} | {k: s[c] for k, c in (("mean_word_length", "mean_word_length"), ("symbol_ratio", "symbol_ratio"), ("bullet_lines", "bullet_line_share"), ("ellipsis_lines", "ellipsis_line_share"), ("alphabetic_words", "alphabetic_word_share"), ("punctuated_lines", "punctuated_line_share"), ("short_lines", "short_line_share"), ("repeated_lines", "repeated_line_share"))}
+        measured = {"word_count": n_words, "common_words": s["common_word_count"]} | {k: s[c] for k, c in (("mean_word_length", "mean_word_length"), ("symbol_ratio", "symbol_ratio"), ("bullet_lines", "bullet_line_share"), ("ellipsis_lines", "ellipsis_line_share"), ("alphabetic_words", "alphabetic_word_share"), ("punctuated_lines", "punctuated_line_share"), ("short_lines", "short_line_share"), ("repeated_lines", "repeated_line_share"), ("repeated_passages", "repeated_passage_share"), ("common_word_share", "common_word_share"), ("special_characters", "special_character_share"))}
         failing = {k: (v < LIMITS[k][0]) | (v > LIMITS[k][1]) for k, v in measured.items()}
+        fails = np.any(list(failing.values()), axis=0)
+        best = np.where(fails & (shares > 0.5).any(0), shares.argmax(0), -1)
         main = self._main_rules(doc, n, kind, rule, best)
         return {k: v.tolist() for k, v in s.items()} | {f"{k}_share": shares[i].tolist() for i, k in enumerate(KINDS)} | {
             "kind": [KINDS[b] if b >= 0 else None for b in best], "kind_rule": main,
