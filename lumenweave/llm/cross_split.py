@@ -188,7 +188,7 @@ class _Shard:
         length = len(self.texts[kinds[0]][0])
         levels = np.frombuffer(b"".join(t for k in kinds for t in self.texts[k]), np.uint8).reshape(-1, length)
         marks = np.repeat(_MARK + np.array(kinds), [len(self.texts[k]) for k in kinds]).astype(np.uint8)
-        index = FMIndex(np.hstack([_symbols(levels), marks[:, None]]).ravel())
+        index = FMIndex(np.hstack([_symbols(levels), marks[:, None]]).ravel(), length + 1)
         tables = {k: index.ending_in(_MARK + k, len(EDGES) + 1, LOOKED_UP) for k in kinds}
         self.index = (index, tables, np.concatenate([x for k in kinds for x in self.ids[k]]), np.ascontiguousarray(levels.T).astype(np.int16))
 
@@ -204,8 +204,7 @@ class _Shard:
         asked = levels.T.astype(np.int16)
         cuts = np.flatnonzero(np.diff(np.cumsum(high - low) // PAIRS_AT_ONCE)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(q)], strict=True):
-            own, position = index.locate(q[a:b], low[a:b], high[a:b])
-            text = position // (length + 1)
+            own, text = index.locate(q[a:b], low[a:b], high[a:b])
             spent = np.zeros(len(own), np.int32)
             for place in range(length - 1, -1, -1):
                 spent = spent + np.abs(asked[place][own] - held[place][text])

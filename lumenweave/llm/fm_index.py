@@ -1,7 +1,7 @@
-"""A compressed full-text index (Burrows-Wheeler transform with sampled ranks and positions) searched for many patterns at once.
+"""A compressed full-text index (Burrows-Wheeler transform with sampled ranks) searched for many patterns at once.
 
-Suffixes are sorted whole, by doubling the number of symbols that are compared, so
-that a step back leads from each row to the row of the position before.
+For each row the number of its text is kept, in as few bytes as the texts need, not
+its place in it: the places follow from the length of what was searched.
 """
 
 from __future__ import annotations
@@ -9,12 +9,10 @@ from __future__ import annotations
 import numpy as np
 
 _BLOCK = 32
-#: Every so many positions of the text are kept; the others are found by stepping back to one of them.
-_SAMPLE = 4
 
 
-def _order(codes: np.ndarray) -> np.ndarray:
-    """The suffixes in their order; the last symbol occurs once."""
+def _order(codes: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes in the order of their first ``depth`` symbols or more: enough for patterns of up to ``depth`` symbols."""
     n = len(codes)
     bits = max(1, int(codes.max(initial=1)).bit_length())
     step = 64 // bits
@@ -28,7 +26,7 @@ def _order(codes: np.ndarray) -> np.ndarray:
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) + 1
-        if rank.max() == n:
+        if covered >= depth or rank.max() == n:
             return order
         after = np.concatenate([rank[covered:], np.zeros(min(covered, n), np.int64)])[:n]
         key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
@@ -37,11 +35,11 @@ def _order(codes: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """``codes``: the text as symbols from 1 upwards; a terminator 0 is added."""
+    """``codes``: texts of ``length`` symbols each, from 1 upwards, one after the other; a terminator 0 is added. ``depth``: symbols of the longest pattern, if longer."""
 
-    def __init__(self, codes: np.ndarray) -> None:
+    def __init__(self, codes: np.ndarray, length: int = 1, depth: int = 0) -> None:
         text = np.concatenate([codes.astype(np.uint8), np.zeros(1, np.uint8)])
-        rows = _order(text).astype(np.int32)
+        rows = _order(text, max(length, depth)).astype(np.int32)
         n, sigma = len(text), int(text.max()) + 1
         bwt = text[rows - 1]  # row -1 wraps round to the terminator
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:sigma].astype(np.int64)
@@ -50,10 +48,7 @@ class FMIndex:
         self.sampled = np.zeros((blocks, sigma), np.int32)
         for c in range(sigma):
             self.sampled[1:, c] = np.cumsum((self.bwt == c).sum(1))[:-1]
-        kept = rows % _SAMPLE == 0
-        self.positions = rows[kept]
-        self.kept = np.concatenate([kept, np.zeros(blocks * _BLOCK - n, bool)]).reshape(blocks, _BLOCK)
-        self.kept_before = np.concatenate([[0], np.cumsum(self.kept.sum(1))[:-1]]).astype(np.int32)
+        self.texts = (rows // length).astype(np.min_scalar_type(n // length))
         self.size, self.sigma = n, sigma
 
     def ranks(self, symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -137,20 +132,7 @@ class FMIndex:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def locate(self, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(pattern, position in the text)`` of every occurrence in the ranges."""
+        """``(pattern, number of the text)`` of every occurrence in the ranges."""
         n = high - low
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        row = np.repeat(low, n) + within
-        position = np.zeros(len(row), np.int64)
-        left = np.arange(len(row))
-        for steps in range(_SAMPLE):
-            block, rest = row // _BLOCK, row % _BLOCK
-            here = self.kept[block, rest]
-            b, r = block[here], rest[here]
-            position[left[here]] = self.positions[self.kept_before[b] + (self.kept[b] & (np.arange(_BLOCK)[None, :] < r[:, None])).sum(1)] + steps
-            left, row = left[~here], row[~here]
-            if not len(left):
-                break
-            symbols = self.bwt[row // _BLOCK, row % _BLOCK].astype(np.int64)
-            row = self.first[symbols] + self.ranks(symbols, row)
-        return np.repeat(q, n), position
+        return np.repeat(q, n), self.texts[np.repeat(low, n) + within].astype(np.int64)

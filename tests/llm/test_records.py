@@ -147,7 +147,7 @@ def test_index_finds_every_occurrence():
     rng = random.Random(1)
     for letters in (3, 2, 120):
         text = np.array([rng.randint(1, letters) for _ in range(2_000)] + [1] * 200, np.uint8)
-        index = FMIndex(text)
+        index = FMIndex(text, depth=6)
         for n in (1, 2, 5, 6):
             patterns = np.array([[rng.randint(1, letters + 1) for _ in range(n)] for _ in range(60)] + [[1] * n], np.uint8)
             q, at = index.locate(*index.search(patterns))
@@ -161,12 +161,12 @@ def test_index_finds_every_occurrence():
 def test_search_within_equals_brute_force():
     rng = np.random.default_rng(2)
     texts, asked = rng.integers(1, 5, (300, 16)).astype(np.uint8), rng.integers(0, 3, (60, 16, 4)).astype(np.int16)
-    index = FMIndex(np.hstack([texts, np.full((300, 1), 5, np.uint8)]).ravel())
+    index = FMIndex(np.hstack([texts, np.full((300, 1), 5, np.uint8)]).ravel(), 17)
     shares = np.arange(16) // 4 * 2 + 2
     q, low, high = index.search_within(index.ending_in(5, 4, 6), 4, 6, asked, shares, 0)
-    own, position = index.locate(q, low, high)
+    own, found = index.locate(q, low, high)
     cost = asked[:, np.arange(16)[None, :], texts - 1][:, :, ::-1].cumsum(2)
-    assert set(zip(own.tolist(), (position // 17).tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero((cost <= shares).all(2))), strict=True))
+    assert set(zip(own.tolist(), found.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero((cost <= shares).all(2))), strict=True))
     assert len(own) > 20
 
 
