@@ -1,12 +1,13 @@
 """Texts of varying length packed into sequences of fixed capacity.
 
-Pattern packing by non-negative least squares. The lengths are counted; patterns
-of one to three lengths that fill a sequence are enumerated on a grid of at most
-``GRID`` steps; how often each is used is fitted to the counts by non-negative
-least squares and rounded down. What is left over goes, longest first, into the
-sequence with the least sufficient room. All of this works on counts by length,
-so its size depends on the capacity alone. Texts then take the places of their
-length in the order of a seeded hash, by exact rank.
+Pattern packing by non-negative least squares. The lengths are counted on a grid of
+at most ``GRID`` steps; how often each pattern of up to ``MOST_LENGTHS`` lengths that
+fill a sequence is used is fitted to the counts by non-negative least squares and
+rounded down. Patterns are not listed: the one that improves the fit most is found
+among all of them by a table of best sums. What is left over goes, longest first,
+into the sequence with the least sufficient room. All of this works on counts by
+length, so its size depends on the capacity alone. Texts then take the places of
+their length in the order of a seeded hash, by exact rank.
 
 A text longer than the capacity fills whole sequences; only its rest is packed.
 
@@ -28,48 +29,69 @@ from pyspark.sql import functions as F
 
 from lumenweave.operators.ranking import rank_in_group
 
-GRID = 128
+GRID, MOST_LENGTHS = 256, 8
 #: Capacities above this would need larger tables of counts than a driver should hold.
 MOST_CAPACITY = 4_000_000
 
 
-def patterns_of(steps: int) -> list[tuple[int, ...]]:
-    """One to three lengths, descending, that add up to ``steps``."""
-    out = [(steps,)] + [(a, steps - a) for a in range(steps - 1, (steps - 1) // 2, -1) if steps - a <= a]
-    for a in range(steps - 2, 0, -1):
-        for b in range(min(a, steps - a - 1), 0, -1):
-            c = steps - a - b
-            if 1 <= c <= b:
-                out.append((a, b, c))
-    return out
-
+def best_pattern(gain: np.ndarray, steps: int, most: int = MOST_LENGTHS) -> tuple[float, tuple[int, ...]]:
+    """The pattern of up to ``most`` lengths that add up to ``steps`` with the largest sum of gains, and that sum.
 
-def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, most_steps: int = 3_000) -> np.ndarray:
-    """``x >= 0`` with the least ``|a x - b|``, by active sets."""
-    n = a.shape[1]
-    x, active = np.zeros(n), np.zeros(n, bool)
-    gradient = a.T @ (b - a @ x)
-    tolerance = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0.0)))
-    for _ in range(most_steps):
-        free = np.where(active, -np.inf, gradient)
-        k = int(np.argmax(free))
-        if free[k] <= tolerance:
+    ``gain`` has a place for each length from 0; lengths that can't be used have minus infinity.
+    """
+    total, length = np.arange(steps + 1)[:, None], np.arange(1, steps + 1)[None, :]
+    before = np.where(total >= length, total - length, steps + 1)
+    value = np.full(steps + 2, -np.inf)
+    value[0] = 0.0
+    choices, best, at = [], -np.inf, 0
+    for j in range(most):
+        sums = value[before] + gain[None, 1:]
+        choice = sums.argmax(1)
+        choices.append(choice)
+        value = np.append(sums[np.arange(steps + 1), choice], -np.inf)
+        if value[steps] > best:
+            best, at = float(value[steps]), j
+    pattern, rest = [], steps
+    for j in range(at, -1, -1) if best > -np.inf else ():
+        pattern.append(int(choices[j][rest]) + 1)
+        rest -= pattern[-1]
+    return best, tuple(sorted(pattern, reverse=True))
+
+
+def fit_patterns(totals: np.ndarray, most: int = MOST_LENGTHS) -> dict[tuple[int, ...], float]:
+    """How often each pattern is used: non-negative least squares of the counts of each length, by active sets.
+
+    All patterns take part: the one with the steepest gradient enters, until none improves the fit.
+    """
+    steps = len(totals) - 1
+    usable = totals > 0
+    patterns: list[tuple[int, ...]] = []
+    columns, x = np.zeros((steps + 1, 0)), np.zeros(0)
+    left, last = totals.astype(float), np.inf
+    tolerance = 0.05  # of an item; repeats are rounded down to whole ones
+    while (left**2).sum() < last * (1 - 1e-12):
+        last = (left**2).sum()
+        gain, pattern = best_pattern(np.where(usable, left, -np.inf), steps, most)
+        if gain <= tolerance or pattern in patterns:
             break
-        active[k] = True
+        patterns.append(pattern)
+        columns = np.hstack([columns, np.bincount(pattern, minlength=steps + 1)[:, None]])
+        x = np.append(x, 0.0)
         while True:
-            which = np.flatnonzero(active)
-            s = np.linalg.lstsq(a[:, which], b, rcond=None)[0]
-            if len(s) == 0 or s.min() > 0:
-                x[:] = 0
-                x[which] = s
+            gram = columns.T @ columns
+            try:
+                s = np.linalg.solve(gram, columns.T @ totals)
+            except np.linalg.LinAlgError:
+                s = np.linalg.lstsq(columns, totals, rcond=None)[0]
+            if not len(s) or s.min() > 0:
+                x = s
                 break
             bad = s <= 0
-            step = x[which][bad] / np.maximum(x[which][bad] - s[bad], 1e-300)
-            x[which] += step.min() * (s - x[which])
-            active[which[x[which] <= 1e-12]] = False
-            x[~active] = 0
-        gradient = a.T @ (b - a @ x)
-    return x
+            x = x + (x[bad] / np.maximum(x[bad] - s[bad], 1e-300)).min() * (s - x)
+            kept = x > 1e-12
+            patterns, columns, x = [p for p, k in zip(patterns, kept, strict=True) if k], columns[:, kept], x[kept]
+        left = totals - columns @ x
+    return dict(zip(patterns, x.tolist(), strict=True))
 
 
 @dataclass
@@ -108,32 +130,34 @@ def pack_counts(counts: dict[int, int], capacity: int, *, grid: int = GRID) -> l
             totals[at(length)] += counts[length]
     left = Counter({k: n for k, n in counts.items() if n})
     filled: list[Container] = []
-    if totals.any():
-        candidates = [p for p in patterns_of(steps) if all(totals[s] for s in p)]
-        if candidates:
-            matrix = np.zeros((steps + 1, len(candidates)))
-            for j, p in enumerate(candidates):
-                for s in p:
-                    matrix[s, j] += 1
-            repeats = np.floor(nonnegative_least_squares(matrix, totals) + 1e-6).astype(int)
-            for j in np.argsort(-repeats, kind="stable"):
-                p, free = candidates[j], Counter()
-                for s in p:
-                    free[s] += 1
-                n = min([int(repeats[j]), *[int(totals[s]) // k for s, k in free.items()]])
-                if n <= 0:
-                    continue
-                slots = []
-                for s in p:
-                    totals[s] -= n
-                    slots.append(_take(stock, s, n))
-                filled += _zip_runs(slots)
+    _reserve(stock, totals, sum((at(k) * width - k) * n for k, n in counts.items()))
+    for p, repeats in sorted(fit_patterns(totals).items(), key=lambda x: (-x[1], x[0])):
+        free = Counter(p)
+        n = min([int(repeats + 1e-6), *[int(totals[s]) // k for s, k in free.items()]])
+        if n <= 0:
+            continue
+        slots = []
+        for s in p:
+            totals[s] -= n
+            slots.append(_take(stock, s, n))
+        filled += _zip_runs(slots)
     for c in filled:
         for length in c.lengths:
             left[length] -= c.count
     return _best_fit(filled, {k: n for k, n in left.items() if n}, capacity)
 
 
+def _reserve(stock: dict[int, list[list[int]]], totals: np.ndarray, free: int) -> None:
+    """Keeps the shortest items for the room that rounding up to the grid leaves: as many of their tokens as ``free``."""
+    for step in np.flatnonzero(totals):
+        held = sum(length * n for length, n in stock[step])
+        if held > free:
+            break
+        free -= held
+        stock[step].clear()
+        totals[step] = 0
+
+
 def _zip_runs(slots: list[list[list[int]]]) -> list[Container]:
     out, at = [], [0] * len(slots)
     slots = [[run[:] for run in s] for s in slots]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections import Counter
 
@@ -102,13 +103,42 @@ def test_packing_is_tight(capacity):
     assert n <= 1.01 * sequence_packing.lower_bound(counts, capacity) + 1
 
 
-def test_nonnegative_least_squares():
+def test_best_pattern_equals_brute_force():
     rng = np.random.default_rng(1)
-    for _ in range(10):
-        a, x = rng.random((12, 20)), np.maximum(rng.normal(size=20), 0)
-        s = sequence_packing.nonnegative_least_squares(a, a @ x)
-        assert s.min() >= 0
-        assert np.abs(a @ s - a @ x).max() < 1e-6
+    for steps in (1, 5, 9):
+        gain = np.where(rng.random(steps + 1) < 0.2, -np.inf, rng.normal(size=steps + 1))
+        brute = max((sum(gain[list(p)]) for n in range(1, 5) for p in itertools.combinations_with_replacement(range(1, steps + 1), n) if sum(p) == steps), default=-np.inf)
+        best, pattern = sequence_packing.best_pattern(gain, steps, 4)
+        assert best == pytest.approx(brute)
+        assert best == -np.inf or (sum(pattern) == steps and sum(gain[list(pattern)]) == pytest.approx(best))
+
+
+def test_patterns_fit_the_counts():
+    rng = np.random.default_rng(4)
+    patterns = [(9, 1), (5, 5), (4, 3, 3), (2, 2, 2, 2, 2), (6, 4)]
+    totals = np.zeros(11)
+    for p in patterns:
+        n = rng.integers(50, 400)
+        for s in p:
+            totals[s] += n
+    fitted = sequence_packing.fit_patterns(totals)
+    assert all(sum(p) == 10 and x > 0 for p, x in fitted.items())
+    assert np.abs(sum(x * np.bincount(p, minlength=11) for p, x in fitted.items()) - totals).max() < 1
+    assert sequence_packing.fit_patterns(np.zeros(5)) == {}
+
+
+def test_most_items_come_from_patterns():
+    """Six and more lengths in a sequence: what is left for best fit is a minority."""
+    rng = np.random.default_rng(0)
+    counts = Counter(np.clip(rng.lognormal(4.8, 1, 60_000).astype(int), 1, 1023).tolist())
+    held, best_fit = [], sequence_packing._best_fit
+    try:
+        sequence_packing._best_fit = lambda filled, left, capacity: held.append(sum(left.values())) or best_fit(filled, left, capacity)
+        packed = sequence_packing.pack_counts(counts, 1024)
+    finally:
+        sequence_packing._best_fit = best_fit
+    assert held[0] < 0.25 * sum(counts.values())
+    assert sum(c.count for c in packed) <= 1.01 * sequence_packing.lower_bound(counts, 1024)
 
 
 def test_sequences_of_a_table(spark):
