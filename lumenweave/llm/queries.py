@@ -12,15 +12,18 @@ from lumenweave.storage import read_tables, write_table
 # ---------------------------------------------------------------- 1
 
 
+def memberships(records: DataFrame, targets: DataFrame) -> DataFrame:
+    """``record_id, pattern, size``: the targets that each record may serve, by the source and task of its rows; a record whose rows name several may serve each of them."""
+    same = {c: mixing.spelled(F.col(c)) for c in ("source", "task")}
+    pairs = F.broadcast(targets.select("target_no", same["source"].alias("s"), same["task"].alias("t")))  # a fixed table
+    serving = records.select("record_id", same["source"].alias("s"), same["task"].alias("t")).join(pairs, ["s", "t"])
+    return serving.groupBy("record_id").agg(F.array_sort(F.collect_set("target_no")).alias("pattern")).withColumn("size", F.lit(1).cast("long"))
+
+
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     records, wanted = read_tables(spark, folder, "records", "mix_targets")
     targets = wanted.withColumn("target_no", F.row_number().over(Window.orderBy("source", "task")))  # a fixed table
-    pairs = F.broadcast(targets.select("target_no", mixing.spelled(F.col("source")).alias("s"), mixing.spelled(F.col("task")).alias("t")))
-    once = records.groupBy("record_id").agg(F.min("source").alias("source"), F.min("task").alias("task"))
-    spelled = once.select("record_id", mixing.spelled(F.col("source")).alias("s"), mixing.spelled(F.col("task")).alias("t"))
-    patterns = pairs.groupBy("s", "t").agg(F.array_sort(F.collect_list("target_no")).alias("pattern"))
-    members = spelled.join(F.broadcast(patterns), ["s", "t"]).select("record_id", "pattern", F.lit(1).cast("long").alias("size"))
-    chosen, report = mixing.mix(members, targets)
+    chosen, report = mixing.mix(memberships(records, targets), targets)
     return targets, chosen, report
 
 

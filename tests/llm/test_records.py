@@ -67,6 +67,17 @@ def test_mixture_of_nothing(spark):
     assert (chosen.count(), report.count()) == (0, 0)
 
 
+def test_records_of_several_sources_reach_the_flow(spark, records):
+    """Rows of one record that name two sources: it may serve both, and the flow gives it to the one in need."""
+    rows = [{"record_id": i, "source": "A", "task": "t"} for i in range(60)] + [{"record_id": i, "source": " b", "task": "T"} for i in range(30, 60)] + [{"record_id": 70, "source": "a", "task": "u"}, {"record_id": 71}]
+    wanted = spark.createDataFrame([(1, "a", "t", 0.5, 1), (2, "B", "t", 0.5, 1)], "target_no int, source string, task string, target_share double, max_repeats int")
+    found = queries.memberships(records(*rows, *rows[:5]), wanted)
+    assert Counter(tuple(r.pattern) for r in found.collect()) == {(1,): 30, (1, 2): 30}
+    chosen, report = mixing.mix(found, wanted)
+    assert Counter(r.target_no for r in chosen.collect() for _ in range(r.n_uses)) == {1: 30, 2: 30}
+    assert {r.target_no: r.actual_share for r in report.collect()} == {1: 0.5, 2: 0.5}
+
+
 def test_flow_prefers_unused_records():
     flows = mixing.route({(1,): 10, (1, 2): 10}, [mixing.Target(1, 0.5, 3), mixing.Target(2, 0.5, 3)], {1: 10, 2: 10})
     assert all(r == 0 for _, r, _ in flows)
