@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,37 @@ def normalize_pixels(pixels: Column, mean: Column, std: Column, *, rescale: floa
     return F.transform(pixels, lambda v: (v.cast("double") * rescale - mean) / std)
 
 
+def bilinear_weights(source: int, target: int) -> np.ndarray:
+    """How much each place of the source counts for each place of the target: a triangle around its centre, as wide as a target's step if that is more than one."""
+    step = source / target
+    centre, place = (np.arange(target) + 0.5) * step, np.arange(source) + 0.5
+    weight = np.maximum(0.0, 1.0 - np.abs(place[None, :] - centre[:, None]) / max(step, 1.0))
+    return weight / weight.sum(1, keepdims=True)
+
+
+def resize_pixels(pixels: Column, height: Column, width: Column, target_height: Column, target_width: Column) -> Column:
+    """One channel, rows one after the other, resized by bilinear weights; null where the sides are not those of the array.
+
+    Pictures of one size in a batch are resized at once.
+    """
+
+    @F.pandas_udf("array<double>")
+    def resized(values: pd.Series, h: pd.Series, w: pd.Series, th: pd.Series, tw: pd.Series) -> pd.Series:
+        sides = pd.DataFrame({"h": h, "w": w, "th": th, "tw": tw})
+        out = pd.Series([None] * len(values), dtype=object)
+        for (a, b, c, d), rows in sides.dropna().groupby(["h", "w", "th", "tw"]).groups.items():
+            a, b, c, d = int(a), int(b), int(c), int(d)
+            own = [i for i in rows if values[i] is not None and min(a, b, c, d) > 0 and len(values[i]) == a * b]
+            if own:
+                stacked = np.stack([np.asarray(values[i], float) for i in own]).reshape(-1, a, b)
+                made = bilinear_weights(a, c) @ stacked @ bilinear_weights(b, d).T
+                for i, picture in zip(own, made, strict=True):
+                    out[i] = picture.ravel()
+        return out
+
+    return resized(pixels.cast("array<double>"), height, width, target_height, target_width)
+
+
 def pad_image(pixels: Column, height: int, width: int, size: int, value: float = 1.0) -> Column:
     """One channel padded at the right and the bottom to a square."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.concat(F.slice(pixels, (r * width + 1).cast("int"), F.lit(width)), F.array_repeat(F.lit(value).cast("double"), size - width)))

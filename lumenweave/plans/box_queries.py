@@ -181,6 +181,23 @@ def _(spark, folder):
     return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("v"))
 
 
+_WEIGHTS = "w{0} AS (SELECT j, x, g / sum(g) OVER (PARTITION BY j) AS g FROM (SELECT j, x, greatest(0.0, 1 - abs(x + 0.5 - (j + 0.5) * 8 / {0}) / greatest(8.0 / {0}, 1)) AS g FROM range(0, {0}) AS a(j), range(0, 8) AS b(x)))"
+
+
+@q(
+    "resize_pixels",
+    f"""WITH {_WEIGHTS.format(4)}, {_WEIGHTS.format(12)}, p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(0, 64) AS t(i)),
+    r AS (SELECT vec_id, y, w12.j AS j, sum(v * g) AS v FROM p JOIN w12 USING (x) GROUP BY vec_id, y, w12.j)
+    SELECT vec_id, w4.j * 12 + r.j AS pos, round(sum(v * g), 6) + 0 AS v FROM r JOIN w4 ON w4.x = r.y GROUP BY vec_id, w4.j, r.j""",
+)
+def _(spark, folder):
+    """Fewer rows and more columns: 8 by 8 to 4 by 12."""
+    (e,) = read_tables(spark, folder, "embeddings")
+    made = A.resize_pixels(F.col(_VEC), F.lit(8), F.lit(8), F.lit(4), F.lit(12))
+    rows = e.select("vec_id", F.posexplode(made).alias("pos", "v"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
 @q("channel_first", "SELECT vec_id, i AS pos, round(embedding[(i % 16) * 4 + i // 16 + 1]::DOUBLE, 6) AS v FROM embeddings, range(0, 64) AS t(i)")
 def _(spark, folder):
     (e,) = read_tables(spark, folder, "embeddings")

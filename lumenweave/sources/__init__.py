@@ -44,9 +44,9 @@ def read_parquet(spark: SparkSession, path: str | list[str], *, status: str | No
 
 
 def read_lines(spark: SparkSession, path: str | list[str], name: str = "line") -> DataFrame:
-    """Stripped lines of text files; empty ones go."""
+    """Stripped lines of text files, sorted; empty ones go. A join with them drops the sort."""
     line = F.regexp_replace("value", r"^\s+|\s+$", "")
-    return spark.read.text(path).select(line.alias(name)).filter(F.col(name) != "")
+    return spark.read.text(path).select(line.alias(name)).filter(F.col(name) != "").orderBy(name)
 
 
 def file_stem(path: Column) -> Column:

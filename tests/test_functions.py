@@ -17,7 +17,7 @@ from lumenweave.functions import boxes as B
 from lumenweave.functions import text as T
 from lumenweave.functions.metadata import fields, picture_key, variant
 from lumenweave.operators import augment, curation, grouping, joins, metrics, packing, ranking, sequence, traces, validate
-from lumenweave.plans import evaluators, loaders
+from lumenweave.plans import evaluators, loaders, standard
 
 from .conftest import SMALL
 
@@ -294,6 +294,31 @@ def test_catalog(spark):
     assert catalog.catalog_table(spark).filter("in_pretraining").count() == 1
 
 
+def test_settings_reach_the_loaders(spark):
+    """Every corpus of the catalog has a loader, and sizes come from the settings."""
+    questions = spark.createDataFrame([(i, 7, "a?", i) for i in range(5)], "question_id long, image_id long, question string, pos long")
+    answers = spark.createDataFrame([(i, "t", "o", [("x",)] * 10) for i in range(5)], "question_id long, question_type string, answer_type string, answers array<struct<answer:string>>")
+    chat = spark.createDataFrame([("1", "i", [("human", "say"), ("gpt", "cap")], 0), ("2", "j", [("human", "say")], 1)], "id string, image string, conversations array<struct<role:string,text:string>>, pos long")
+    made = {"vqa_v2": {"questions": questions, "answers": answers}, "llava_pretrain": {"annotations": chat, "details": chat.select("id", "image", F.lit("u").alias("url"), "pos")}}
+    found = standard.standard_loaders(lambda corpus, split: made[corpus], "d", catalog.Settings(annotations_per_image=2), mode="skip")
+    assert found.keys() == catalog.CORPORA.keys()
+    assert sorted(len(r.qa_pairs) for r in catalog.subset(found, "vqa_v2", "train").collect()) == [1, 2, 2]
+    assert catalog.subset(found, "vqa_v2", "test").count() == 5
+    assert [r.caption for r in catalog.subset(found, "pretrain", "train").collect()] == ["cap"]
+    with pytest.raises(ValueError, match="no split"):
+        found["vqa_v2"]("vqa", "dev")
+    fetched = standard.with_arguments(loaders.llava_pretrain, lambda task, split: {**made["llava_pretrain"], "path": loaders.in_folder(split), "mode": "skip"})
+    assert fetched("captioning", "train").first().image.path == "train/i"
+
+
+def test_resize_pixels(spark):
+    df = spark.createDataFrame([([1.0, 3.0, 5.0, 7.0], 2, 2), ([2.0] * 12, 3, 4), ([1.0], 3, 3), (None, 2, 2)], "p array<double>, h int, w int")
+    got = [r[0] for r in df.select(A.resize_pixels(F.col("p"), F.col("h"), F.col("w"), F.lit(1), F.lit(2))).collect()]
+    assert got[0] == pytest.approx([3.0, 5.0])
+    assert got[1] == pytest.approx([2.0, 2.0])
+    assert got[2:] == [None, None]
+
+
 def test_markup(spark):
     spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((6, 9), (2, 5), (6, 9))])
     assert one(spark, curation.markup(F.lit("A cat dog!"), spans)) == "A ||cat <coords_0>|| ||dog <coords_1><coords_2>||!"
