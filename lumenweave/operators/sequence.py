@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions.arrays import MASKED_LABEL, PADDING, pad
 from lumenweave.functions.text import answer_letter, fill_placeholders, format_bbox, format_text, strip, without_image_mark
+from lumenweave.operators.validate import has_payload, validate
 
 EOS = "<|endoftext|>"
 #: The prompt of each task. Fixed values.
@@ -143,13 +144,16 @@ def turns_itm(caption: Column, label: Column, *, with_answers: bool) -> Column:
     return F.concat(asked, F.array(_turn(answer, True)))
 
 
-def turns_of(records: DataFrame, *, with_answers: bool = True, name: str = "turns") -> DataFrame:
+def turns_of(records: DataFrame, *, with_answers: bool = True, name: str = "turns", mode: str = "fail") -> DataFrame:
     """The turns of every record by its task; a task without a template raises.
 
+    A record needs what its task's template shows (questions, a caption, regions, a chat): ``mode`` says what becomes of one
+    that lacks it, see ``validate``.
     Multiple choice records have their choices in ``metadata.choices``, image-text pairs their label in ``metadata.label``.
     """
     meta = F.from_json("metadata", "struct<choices:array<string>,label:int,ocr_text:string,prompt:string>")
-    df = records.withColumn("_m", meta)
+    needed = has_payload(F.col("task"), F.col("caption"), F.col("region"), F.col("qa_pairs"), F.col("chat"))
+    df = validate(records, {"payload": needed}, mode).withColumn("_m", meta)
     questions = F.transform("qa_pairs", lambda p: F.struct(p["question"].alias("question"), p["answer"].alias("answer"), F.col("_m.choices").alias("choices")))
     t, source = F.col("task"), F.col("source")
     boxes = F.transform("region", lambda r: r["bbox"])

@@ -12,7 +12,7 @@ from lumenweave.operators import metrics, sequence, validate
 from lumenweave.storage import read_tables
 
 from .registry import Registry
-from .text_queries import _sql_format
+from .text_queries import _STRIP, _sql_format
 
 R = Registry()
 QUERIES, ORACLE, q = R.queries, R.oracle, R.query
@@ -97,7 +97,7 @@ _ASK = "CASE WHEN source IN ('docvqa', 'infographics_vqa') THEN {cased} ELSE {pl
 
 
 def _asked(c: str) -> str:
-    stripped = rf"regexp_replace(regexp_replace({c}, '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')"
+    stripped = _STRIP.format(c)
     cased = f"CASE WHEN regexp_matches({stripped}, '[.?!]$') THEN {stripped} ELSE {stripped} || '.' END"
     return _ASK.format(cased=cased, plain=_sql_format(c))
 
@@ -119,7 +119,7 @@ w AS (SELECT *, list_position(c, an)::INTEGER AS k FROM m WHERE list_contains(c,
 
 
 def _capital(x: str) -> str:
-    s = rf"regexp_replace(regexp_replace({x}, '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')"
+    s = _STRIP.format(x)
     return f"upper(left({s}, 1)) || lower(substr({s}, 2))"
 
 
@@ -160,10 +160,11 @@ def _(spark, folder):
     return rows.select("record_id", *_joined(sequence.turns_itm(F.col("caption"), F.col("l.label"), with_answers=True)))
 
 
-@q("turns_by_task", f"WITH {_ONCE} SELECT task, count(*) AS n FROM once WHERE task IN ('captioning', 'chat', 'vqa', 'image_text_match') AND (caption IS NOT NULL OR task IN ('chat', 'vqa')) GROUP BY task")
+@q("turns_by_task", f"WITH {_ONCE} SELECT task, count(*) AS n FROM once WHERE task IN ('captioning', 'chat', 'vqa', 'image_text_match') AND CASE task WHEN 'vqa' THEN len(qa_pairs) > 0 WHEN 'chat' THEN len(chat) > 0 ELSE caption IS NOT NULL END GROUP BY task")
 def _(spark, folder):
-    r = _records(spark, folder, "task", "caption", "qa_pairs", "region", "chat", "source", "metadata").filter("task IN ('captioning', 'chat', 'vqa', 'image_text_match') AND (caption IS NOT NULL OR task IN ('chat', 'vqa'))")
-    return sequence.turns_of(r).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    """Records that lack what their template shows are left out."""
+    r = _records(spark, folder, "task", "caption", "qa_pairs", "region", "chat", "source", "metadata").filter("task IN ('captioning', 'chat', 'vqa', 'image_text_match')")
+    return sequence.turns_of(r, mode="skip").groupBy("task").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _captions(spark, folder):

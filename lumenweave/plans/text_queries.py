@@ -16,7 +16,8 @@ QUERIES, ORACLE, q = R.queries, R.oracle, R.query
 
 _ONCE = "once AS (SELECT DISTINCT ON (record_id) * FROM records)"
 #: DuckDB's expression for each formatting step.
-_STRIP = r"regexp_replace(regexp_replace({0}, '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')"
+_WHITE = r"[ \t\n\r\f\v\x1c-\x1f\x{{85}}\p{{Z}}]"
+_STRIP = rf"regexp_replace(regexp_replace({{0}}, '^{_WHITE}+', ''), '{_WHITE}+$', '')"
 
 
 def _sql_format(c: str) -> str:
