@@ -406,7 +406,7 @@ def defective_pairs(records: DataFrame, common_words: DataFrame, *, hot_share: f
     several = F.col("text").rlike(r"[\s\p{Z}]|[^\p{Lu}\p{Ll}\p{N}\p{P}]{6,}")
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     near = write_table(neighbours(texts.filter(several).select("text"), parts=parts), "signals")
-    signals = cut_words(near, texts, common)
+    signals = write_table(cut_words(near, texts, common), "cut-words")  # read for hot texts and for the others
     limits = [r.n_chars for r in length_limits(texts.filter(several)).collect()]  # a few lengths
 
     is_filled = F.coalesce(F.col("answer").rlike(r"[\p{L}\p{N}]"), F.lit(False))

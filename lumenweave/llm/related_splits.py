@@ -200,7 +200,7 @@ def assign_splits(grouped: DataFrame, targets: DataFrame, *, seed: int = 29, **h
             start += k
     table = F.broadcast(spark.createDataFrame(runs, "size long, low long, high long, new_split string"))  # sizes times splits
     ranked = rank_in_group(sizes, ["size"], "root", seed=seed, rows=sum(n for _, n in histogram))
-    placed = ranked.join(table, "size").filter("rank >= low AND rank < high").select("root", "new_split")
+    placed = write_table(ranked.join(table, "size").filter("rank >= low AND rank < high").select("root", "new_split"), "placed")
     hot_roots = hot_keys(sizes.select("root", "size"), "size", sum(s * n for s, n in histogram), **hot)
     return hot_join(grouped, placed, ["root"], hot_roots)
 
