@@ -16,7 +16,9 @@ ignored; empty tables give no rows; without common words their share is 0.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +49,10 @@ LIMITS = {
 #: Words of the passages whose repetition is limited. Published with the limit.
 PASSAGE = 10
 KINDS = ("list", "table", "junk")
-_LETTERS, _DIGITS, _SPACES = r"[\p{L}\p{M}]", r"\p{N}", r"[\s\p{Z}]"
-_PLAIN = r"""[.,;:!?"'()\-–—…«»“”„‘’¿¡。、，！？：；（）「」『』・/%&]"""
-_BLOCKS = r"[\x{2500}-\x{25FF}\x{FFFD}\x{0080}-\x{009F}]"
+_LETTERS = r"[\p{L}\p{M}]"
+_PLAIN = """.,;:!?"'()-–—…«»“”„‘’¿¡。、，！？：；（）「」『』・/%&"""
+#: Kinds of characters, one bit each: letters and marks, digits, spaces, box drawing and broken ones, usual punctuation, all that are special, ASCII letters.
+KINDS_OF_CHARACTERS = ("letters", "digits", "spaces", "blocks", "plain", "special", "ascii_letters")
 _ENDS = r"""[.!?。！？…]["'”’»)\]]*\s*$"""
 _BOUNDARY = r"""[.!?。！？]["'”’»)]*[\s　]+\S|。\S"""
 _BULLET = r"^\s*([-*•+–—▪◦‣·]\s+\S|\(?[0-9]{1,4}[.)]\s+\S|\(?[a-zA-Z][.)]\s+\S|[0-9]{1,4}x\s+\S|#[0-9]+\s+\S|\[[ xX]?\]\s+\S)"
@@ -69,6 +72,36 @@ _STATS = [
 ]
 
 
+def _kinds_of(code: int) -> int:
+    c = chr(code)
+    category = unicodedata.category(c)
+    white = c in " \t\n\r\f\v"
+    bits = (
+        category[0] in "LM", category[0] == "N", white or category[0] == "Z", 0x2500 <= code <= 0x25FF or code == 0xFFFD or 0x80 <= code <= 0x9F,
+        c in _PLAIN, category[0] in "PSN" or white, c.isascii() and c.isalpha(),
+    )
+    return sum(1 << i for i, bit in enumerate(bits) if bit)
+
+
+@cache
+def _character_table() -> np.ndarray:
+    """The kinds of all characters of the basic plane; the others are looked up as they come."""
+    return np.array([0 if 0xD800 <= code < 0xE000 else _kinds_of(code) for code in range(0x10000)], np.uint8)
+
+
+def count_characters(lines: pa.Array, n: np.ndarray) -> dict[str, np.ndarray]:
+    """How many characters of each kind each line has; ``n``: its length, above 0."""
+    codes = np.frombuffer("".join(lines.to_pylist()).encode("utf-32-le"), np.uint32)
+    kinds = _character_table()[np.minimum(codes, 0xFFFF)]
+    far = np.flatnonzero(codes > 0xFFFF)
+    if len(far):
+        values, which = np.unique(codes[far], return_inverse=True)
+        kinds[far] = np.array([_kinds_of(int(v)) for v in values], np.uint8)[which]
+    starts = np.cumsum(n) - n
+    count = lambda bit: np.add.reduceat((kinds >> bit & 1).astype(np.int64), starts) if len(n) else np.zeros(0, np.int64)
+    return {name: count(bit) for bit, name in enumerate(KINDS_OF_CHARACTERS)}
+
+
 def _count(texts: pa.Array, pattern: str) -> np.ndarray:
     return pc.count_substring_regex(texts, pattern).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -133,15 +166,17 @@ def _mark_long_periods(codes: np.ndarray, doc: np.ndarray, marked: np.ndarray) -
 def _repeated_words(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Words, or characters, within a stretch that repeats with some period at least four times."""
     marked = np.zeros(len(codes), bool)
+    own = doc.astype(np.int64) * (int(codes.max(initial=0)) + 1) + codes
     for period in range(1, min(_MOST_PERIOD, len(codes) - 1) + 1):
-        same = (codes[period:] == codes[:-period]) & (doc[period:] == doc[:-period])
-        number, lengths = _runs(same, doc[period:])
-        if not len(lengths):
+        at = np.flatnonzero(own[period:] == own[:-period])
+        least = max(3 * period, 8)
+        if len(at) < least:
             continue
-        long = (number >= 0) & (lengths[number] >= max(3 * period, 8))
-        at = np.flatnonzero(long)
-        marked[at + period] = True
-        marked[at] = True
+        # Runs of places one after the other; none crosses from one document to the next.
+        first = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1])
+        lengths = np.diff(np.append(first, len(at)))
+        for k in np.flatnonzero(lengths >= least):
+            marked[at[first[k]] : at[first[k]] + lengths[k] + period] = True
     _mark_long_periods(codes, doc, marked)
     return marked
 
@@ -187,7 +222,7 @@ class Measure:
             "passages": _in_passages(codes, line_doc[line]),
         }
 
-    def _line_kinds(self, lines: pa.Array, doc: np.ndarray, n: np.ndarray, words: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _line_kinds(self, lines: pa.Array, doc: np.ndarray, n: np.ndarray, words: dict[str, np.ndarray], characters: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The kind of each line (-1 is prose) and the rule that named it."""
         count = len(n)
         per_line = lambda weights=None: np.bincount(words["line"], weights=weights, minlength=count)
@@ -196,8 +231,7 @@ class Measure:
         unspaced = (n_words > 0) & (word_chars >= _UNSPACED * n_words)
         if unspaced.any():
             repeated = np.maximum(repeated, _repeated_characters(lines, doc, unspaced))
-        letters, digits, spaces, blocks = (_count(lines, p) for p in (_LETTERS, _DIGITS, _SPACES, _BLOCKS))
-        plain = _count(lines, _PLAIN)
+        letters, digits, spaces, blocks, plain = (characters[k] for k in ("letters", "digits", "spaces", "blocks", "plain"))
         other = np.maximum(n - letters - digits - spaces - plain, 0)
         marks = n - letters - digits - spaces
         pipes, tabs, gaps = _count(lines, r"\|"), _count(lines, "\t"), _count(pc.utf8_rtrim_whitespace(lines), r"\S {2,}")
@@ -208,7 +242,7 @@ class Measure:
         ascii_run = _has(lines, r"[A-Za-z0-9+/=_\-]{40,}")
         hexes = _count(lines, r"\b[0-9a-fA-F]{2}\b")
         common_share = _share(common, n_words)
-        garbled = (marks > 0.08 * n) & (common_share < 0.12) & (other >= 1) & (_count(lines, "[A-Za-z]") > 0.5 * letters)
+        garbled = (marks > 0.08 * n) & (common_share < 0.12) & (other >= 1) & (characters["ascii_letters"] > 0.5 * letters)
         kind, rule = np.full(count, -1), np.full(count, "", dtype=object)
 
         def name(where: np.ndarray, what: str, why: str) -> None:
@@ -253,8 +287,8 @@ class Measure:
         lines, doc = lines.filter(pa.array(visible)), doc[visible]
         n = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
         words = self._words(lines, doc)
-        kind, rule = self._line_kinds(lines, doc, n, words)
-        special = _count(lines, r"[\pP\pS\pN\s]")
+        characters = count_characters(lines, n)
+        kind, rule = self._line_kinds(lines, doc, n, words, characters)
         by_line = lambda weights=None: np.bincount(doc, weights=weights, minlength=count)
         word_doc = doc[words["line"]]
         by_word = lambda weights=None: np.bincount(word_doc, weights=weights, minlength=count)
@@ -273,7 +307,7 @@ class Measure:
             "ellipsis_line_share": _share(by_line(_has(lines, r"(…|\.\.\.)\s*$")), n_lines), "short_line_share": _share(by_line(n < 30), n_lines),
             "repeated_line_share": _share(by_line(again), n_lines), "repeated_passage_share": _share(by_word(words["size"] * words["passages"]), by_word(words["size"])), "alphabetic_word_share": _share(by_word(words["alphabetic"]), n_words),
             "common_word_count": by_word(words["common"]).astype(np.int64), "common_word_share": _share(by_word(words["common"]), n_words),
-            "special_character_share": _share(by_line(special), by_line(n)),
+            "special_character_share": _share(by_line(characters["special"]), by_line(n)),
         }
         chars = by_line(n)
         shares = np.stack([_share(by_line(n * (kind == k)), chars) for k in range(len(KINDS))])

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,6 +104,16 @@ def test_packing_is_tight(capacity):
     assert n <= 1.01 * sequence_packing.lower_bound(counts, capacity) + 1
 
 
+def test_characters_are_counted_by_kind():
+    lines = ["aé1 \t.«x»", "漢字、かな！", "a\u0301 😀 𝔸𝟙 │█\ufffd", "\u00a0\u3000\x85", "$+<~`|^=", "\u2028x"]
+    patterns = {"letters": r"[\p{L}\p{M}]", "digits": r"\p{N}", "spaces": r"[\s\p{Z}]", "blocks": r"[\x{2500}-\x{25FF}\x{FFFD}\x{0080}-\x{009F}]", "special": r"[\pP\pS\pN\s]", "ascii_letters": "[A-Za-z]"}
+    got = text_quality.count_characters(pa.array(lines), np.array([len(x) for x in lines]))
+    for name, pattern in patterns.items():
+        assert got[name].tolist() == pc.count_substring_regex(pa.array(lines), pattern).to_pylist(), name
+    assert got["plain"].tolist() == [sum(c in text_quality._PLAIN for c in x) for x in lines]
+    assert text_quality.count_characters(pa.array([], pa.string()), np.zeros(0, int))["letters"].tolist() == []
+
+
 def test_best_pattern_equals_brute_force():
     rng = np.random.default_rng(1)
     for steps in (1, 5, 9):
