@@ -84,8 +84,11 @@ def plain_question(text: str | None) -> str:
     return re.sub(r"\s*<image>\s*", " ", text or "").strip()
 
 
+_NOT_ALPHANUMERIC = re.compile(r"[\W_]+")
+
+
 def _bare(text: str) -> str:
-    return "".join(c for c in text.casefold() if c.isalnum())
+    return _NOT_ALPHANUMERIC.sub("", text.casefold())
 
 
 def is_copy(question: str, answer: str) -> bool:
@@ -94,7 +97,7 @@ def is_copy(question: str, answer: str) -> bool:
     if not q:
         return False
     body = _ASKED.sub("", answer)
-    for text in (answer, body, _ANSWERED.sub("", body), _ANSWERED.sub("", answer)):
+    for text in dict.fromkeys((answer, body, _ANSWERED.sub("", body), _ANSWERED.sub("", answer))):
         a = _bare(text)
         if a and len(a) % len(q) == 0 and a == q * (len(a) // len(q)):
             return True
@@ -120,13 +123,16 @@ class Languages:
 
     def guess(self, text: str) -> tuple[str | None, float, int]:
         """``(language or None, how far it leads, words)``."""
-        kana = sum("぀" <= c <= "ヿ" for c in text)
-        han = sum("一" <= c <= "鿿" for c in text)
-        letters = sum(c.isalpha() for c in text)
-        if letters and (kana + han) * 2 > letters:
-            return ("ja" if kana else None), float(kana), letters
+        letters = cyrillic = 0
+        if not text.isascii():
+            kana = sum("぀" <= c <= "ヿ" for c in text)
+            han = sum("一" <= c <= "鿿" for c in text)
+            letters = sum(c.isalpha() for c in text)
+            cyrillic = sum("Ѐ" <= c <= "ӿ" for c in text)
+            if letters and (kana + han) * 2 > letters:
+                return ("ja" if kana else None), float(kana), letters
         words = [w.replace("’", "'").casefold() for w in _WORDS.findall(text)]
-        if letters and sum("Ѐ" <= c <= "ӿ" for c in text) * 2 > letters:
+        if letters and cyrillic * 2 > letters:
             return "ru", float(len(words)), len(words)
         score: Counter[str] = Counter()
         for w in words:
