@@ -22,7 +22,7 @@ def tumbling_segment(t: Column, window: float) -> Column:
     return F.floor(t / window)
 
 
-def segment_starts(times: np.ndarray, window: float) -> tuple[np.ndarray, int]:
+def segment_starts(times: np.ndarray, window: float) -> tuple[list[int], int]:
     """``(first place of each segment, places used)`` of an ordered trace.
 
     A single point, or a trace that ends before the first window does, is one
@@ -33,30 +33,31 @@ def segment_starts(times: np.ndarray, window: float) -> tuple[np.ndarray, int]:
     """
     n = len(times)
     if n == 0:
-        return np.empty(0, np.int64), 0
+        return [], 0
     if n == 1 or times[-1] < window:
-        return np.zeros(1, np.int64), n
-    starts, step, rising = [0], int(times[0] // window) + 1, bool((times[1:] >= times[:-1]).all())
-    at = 1
-    while True:
-        # The first place after the window's end; times that do not rise are looked through.
-        if rising:
-            at = max(at, int(np.searchsorted(times, step * window, side="right")))
-        else:
-            late = np.flatnonzero(times[at:] > step * window)
-            at = at + int(late[0]) if len(late) else n
-        if at >= n:
-            break
+        return [0], n
+    starts, step = [0], int(times[0] // window) + 1
+    late = times > step * window
+    at = 1 + int(late[1:].argmax()) if late[1:].any() else n
+    while at < n:
         starts.append(at)
-        at, step = at + 1, step + 1
+        step += 1
+        # The first place after the next window's end, looked for in stretches that double.
+        at, width, end = at + 1, 16, step * window
+        while at < n:
+            late = times[at : at + width] > end
+            if late.any():
+                at += int(late.argmax())
+                break
+            at, width = at + width, width * 2
     used = n - 1 if starts[-1] == n - 1 else n
-    return np.array(starts[:-1] if used < n else starts, np.int64), used
+    return starts[:-1] if used < n else starts, used
 
 
 def segment_times(times: list[float], window: float) -> list[list[int]]:
     """The places of each segment; see ``segment_starts``."""
     starts, used = segment_starts(np.asarray(times, float), window)
-    return [list(range(a, b)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), used], strict=True)] if len(starts) else []
+    return [list(range(a, b)) for a, b in zip(starts, [*starts[1:], used], strict=True)] if starts else []
 
 
 def segment_trace(df: DataFrame, key: str, points: str, window: float) -> DataFrame:
@@ -70,15 +71,20 @@ def segment_trace(df: DataFrame, key: str, points: str, window: float) -> DataFr
         for batch in batches:
             lists = batch.column("t")
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            rows, segments, places = [], [], []
-            for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)):
-                starts, used = segment_starts(flat[offsets[i] : offsets[i + 1]], window)
-                sizes = np.diff(np.append(starts, used))
-                rows.append(np.full(used if len(starts) else 0, i))
-                segments.append(np.repeat(np.arange(len(starts)), sizes))
-                places.append(np.arange(used if len(starts) else 0))
-            if rows:
-                columns = [batch.column("k").take(pa.array(np.concatenate(rows))), *[pa.array(np.concatenate(x).astype(np.int32)) for x in (segments, places)]]
+            valid, starts, counts, used = lists.is_valid().to_numpy(zero_copy_only=False), [], [], []
+            for i in range(len(lists)):
+                own, n = segment_starts(flat[offsets[i] : offsets[i + 1]], window) if valid[i] else ([], 0)
+                starts += own
+                counts.append(len(own))
+                used.append(n if own else 0)
+            counts, used, starts = np.array(counts, np.int64), np.array(used, np.int64), np.array(starts, np.int64)
+            before = np.cumsum(used) - used  # points of the traces before each one
+            new = np.zeros(int(used.sum()) + 1, np.int64)
+            new[starts + np.repeat(before, counts)] = 1
+            row = np.repeat(np.arange(len(lists)), used)
+            segment = np.cumsum(new[:-1]) - 1 - np.repeat(np.cumsum(counts) - counts, used)
+            if len(row):
+                columns = [batch.column("k").take(pa.array(row)), pa.array(segment.astype(np.int32)), pa.array((np.arange(len(row)) - before[row]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "segment", "place"])
 
     times = df.select(F.col(key).alias("k"), F.transform(points, lambda p: p["t"].cast("double")).alias("t"))
@@ -92,7 +98,7 @@ def middle_places(times: Column, window: float) -> Column:
     def middles(batch: pd.Series) -> pd.Series:
         def one(trace: np.ndarray | None) -> list[int]:
             starts, used = segment_starts(np.asarray([] if trace is None else trace, float), window)
-            return (starts + np.diff(np.append(starts, used)) // 2).tolist() if len(starts) else []
+            return [a + (b - a) // 2 for a, b in zip(starts, [*starts[1:], used], strict=True)] if starts else []
 
         return pd.Series([None if traces is None else [one(t) for t in traces] for traces in batch])
 
