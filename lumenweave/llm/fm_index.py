@@ -6,6 +6,8 @@ its place in it: the places follow from the length of what was searched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 _BLOCK = 32
@@ -90,10 +92,16 @@ class FMIndex:
 
     def ending_in(self, mark: int, letters: int, length: int) -> tuple[np.ndarray, np.ndarray]:
         """The ranges of all texts of ``length`` symbols from 1 to ``letters`` before the mark, numbered from their last symbol on."""
+        return self.ending_among(mark, [np.arange(1, letters + 1)] * length)
+
+    def ending_among(self, mark: int, symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of all texts before the mark that have one of the ``symbols`` of each place, from the last on, and numbered in that order.
+
+        An empty range stands where its text would be, so those of neighbouring last symbols are one range together.
+        """
         low, high = self.extend(np.array([mark]), np.array([0]), np.array([self.size]))
-        for _ in range(length):
-            symbols = np.tile(np.arange(1, letters + 1), len(low))
-            low, high = self.extend(symbols, np.repeat(low, letters), np.repeat(high, letters))
+        for of_place in symbols:
+            low, high = self.extend(np.tile(of_place, len(low)), np.repeat(low, len(of_place)), np.repeat(high, len(of_place)))
         return low, high
 
     def search_within(self, table: tuple[np.ndarray, np.ndarray], letters: int, length: int, costs: np.ndarray, shares: np.ndarray, narrow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,29 +113,41 @@ class FMIndex:
         q, number, spent = np.arange(len(costs), dtype=np.int32), np.zeros(len(costs), np.int32), np.zeros(len(costs), np.int16)
         last, filled = costs.shape[1], table[0] < table[1]
         by_place = np.ascontiguousarray(costs.transpose(1, 2, 0))
-
-        def branch(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """The rows that go on, their letters and their sums."""
+        for k in range(length):
             totals = [spent + by_place[last - 1 - k, c][q] for c in range(letters)]
             kept = [np.flatnonzero(t <= shares[k]) for t in totals]
-            return np.concatenate(kept), np.repeat(np.arange(letters, dtype=np.int32), [len(x) for x in kept]), np.concatenate([t[x] for t, x in zip(totals, kept, strict=True)])
-
-        for k in range(length):
-            at, letter, spent = branch(k)
+            at, letter = np.concatenate(kept), np.repeat(np.arange(letters, dtype=np.int32), [len(x) for x in kept])
+            spent = np.concatenate([t[x] for t, x in zip(totals, kept, strict=True)])
             number = number[at] * letters + letter
             some = np.flatnonzero(filled.reshape(letters ** (k + 1), -1).any(1)[number])
             q, number, spent = q[at[some]], number[some], spent[some]
-        low, high = table[0][number], table[1][number]
+        return self.search_on((q, table[0][number], table[1][number], spent), range(length, last), lambda k, q, c: by_place[last - 1 - k, c][q], lambda _: letters, shares, narrow)
+
+    def search_on(self, begun: tuple[np.ndarray, ...], places: range, cost: Callable, letters: Callable[[int], int], shares: np.ndarray, narrow: int, together: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(pattern, low, high)`` of the ranges that stay within the shares when ``begun`` (pattern, low, high, sum) is searched on over ``places``, counted from the end.
+
+        ``cost(place, patterns, letter)``; of ``together`` places that follow each other only the largest cost counts. ``letters(place)``: how many there are.
+        A range of up to ``narrow`` rows is not searched on, so it may hold texts that exceed later shares.
+        """
+        q, low, high, spent = begun
+        most = np.zeros(len(q), np.int16)
         found = []
-        for k in range(length, last):
+        for k in places:
             wide = high - low > narrow
             found.append((q[~wide], low[~wide], high[~wide]))
-            q, low, high, spent = q[wide], low[wide], high[wide], spent[wide]
-            at, letter, spent = branch(k)
-            q = q[at]
+            q, low, high, spent, most = q[wide], low[wide], high[wide], spent[wide], most[wide]
+            if not len(q):
+                break
+            largest = [np.maximum(most, cost(k, q, c)) for c in range(letters(k))]
+            kept = [np.flatnonzero(spent + m <= shares[k]) for m in largest]
+            at, letter = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(x) for x in kept])
+            most = np.concatenate([m[x] for m, x in zip(largest, kept, strict=True)])
+            q, spent = q[at], spent[at]
             low, high = self.extend(letter + 1, low[at], high[at])
             alive = low < high
-            q, low, high, spent = q[alive], low[alive], high[alive], spent[alive]
+            q, low, high, spent, most = q[alive], low[alive], high[alive], spent[alive], most[alive]
+            if (k + 1) % together == 0:
+                spent, most = spent + most, np.zeros(len(q), np.int16)
         found.append((q, low, high))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 

@@ -248,6 +248,20 @@ def test_almost_empty_pages_are_met_in_blocks(spark, records):
     assert len(wanted) >= 60
 
 
+def test_training_texts_visit_few_shards(spark, records):
+    """What is shuffled and searched for a training text must hardly grow with the number of shards; pairs are found all the same."""
+    rng = np.random.default_rng(13)
+    pictures = np.clip(rng.normal(128, 44, (6_400, 64)), 0, 255).astype(np.uint8)
+    pictures = np.concatenate([pictures, np.clip(pictures[:200].astype(int) + rng.integers(-9, 10, (200, 64)), 0, 255).astype(np.uint8)])
+    base = cross_split.sides(records(*[{"record_id": i, "split": "val" if i < 6_400 else "train", "image": (None, bytearray(p.tobytes())), "metadata": "{}"} for i, p in enumerate(pictures)]))
+    ordered = cross_split._ordered(cross_split._texts(base, "bytes"), 100, 384)
+    assert ordered.filter("side = 1").count() < 200 * 64  # of 512 shards
+    got = {tuple(r) for r in cross_split.found_pairs(cross_split.overlaps(base, shard_texts=1_600)).collect()}
+    near = np.abs(pictures[6_400:, None].astype(np.int16) - pictures[None, :6_400]).sum(2) <= 384
+    assert got == {(int(b), int(a) + 6_400) for a, b in zip(*np.nonzero(near), strict=True)}
+    assert len(got) >= 190
+
+
 def test_spans_of_a_pair_are_merged(spark):
     apart = np.array([[3], [0], [96], [127]])
     words = [cross_split._span(k, apart) for k in (0, 0, 6, 14)]
